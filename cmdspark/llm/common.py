@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A key is hot when it holds more than one row in HOT_SHARE, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_dir: list[str] = []
 
 
@@ -41,6 +43,14 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     return materialize(df.groupBy(key).count().filter(F.col("count") * share > F.lit(total)).select(key), "hot")
 
 
+def bound_batches(df: DataFrame, size: str = "32m") -> DataFrame:
+    """Have Arrow batches to Python end at ``size`` as well as at their number of rows, unless the session sets its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, size)
+    return df
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Inner join on ``key``, of which ``right`` has one row each.
 
