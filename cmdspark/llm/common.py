@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cmdspark.functions.shipping import ship_package
+
 #: A key is hot when it holds more than one row in HOT_SHARE, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
@@ -44,7 +46,8 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
 
 
 def bound_batches(df: DataFrame, size: str = "32m") -> DataFrame:
-    """Have Arrow batches to Python end at ``size`` as well as at their number of rows, unless the session sets its own."""
+    """Make ready for Python tasks: this package is sent along, and Arrow batches end at ``size`` too unless the session sets its own bound."""
+    ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES, None) is None:
         conf.set(BATCH_BYTES, size)

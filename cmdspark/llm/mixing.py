@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_count
+from .common import bound_batches, materialize, words_count
 
 
 def fill_targets(sources: DataFrame, budget_share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
@@ -37,11 +37,15 @@ def fill_targets(sources: DataFrame, budget_share: float, cap: float, weights: t
     )
 
 
+#: Words that proportional shares leave to the knapsack: four times the longest document, but no more than this.
+KNAPSACK_WORDS = 100_000
+
+
 def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that the words taken come as near ``budget`` as can be.
 
-    Longest first, each length gets its proportional share, error carried on, but for a remainder of
-    some of the longest documents; a bounded knapsack over the documents left then fills that
+    Longest first, each length gets its proportional share, error carried on, but for a remainder that
+    holds some of the longest documents; a bounded knapsack over the documents left then fills that
     remainder exactly where lengths allow. Work is bounded by lengths x remainder, not by documents.
     """
     taken = np.zeros(len(lengths), dtype=np.int64)
@@ -51,7 +55,7 @@ def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
     if budget >= total:
         return counts.copy()
     order = np.argsort(-lengths, kind="stable")
-    spare = min(budget, 2 * int(np.median(lengths[lengths > 0])) + 64)
+    spare = min(budget, max(2 * int(np.median(lengths[lengths > 0])) + 64, min(4 * int(lengths.max()), KNAPSACK_WORDS)))
     share, want, got = (budget - spare) / total, 0.0, 0
     for i in order:
         length, count = int(lengths[i]), int(counts[i])
@@ -112,7 +116,7 @@ def mix(
     """
     order = F.xxhash64(F.lit(seed), F.col("id"))
     table = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"))
+        bound_batches(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"))
         .withColumn("rid", F.monotonically_increasing_id())
         .withColumn("draw", order)
         .withColumn("bucket", F.pmod(F.shiftright("draw", 8), F.lit(buckets)).cast("int")),
