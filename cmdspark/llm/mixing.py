@@ -84,6 +84,8 @@ def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
         if reach[rest]:
             break
     at = int(np.flatnonzero(reach)[-1])
+    if total - budget < rest - at:
+        return counts.copy()
     while at:
         i = last[at]
         taken[i] += 1

@@ -155,6 +155,8 @@ class Matcher:
         return hits
 
 
+#: Texts that score this or more are toxic.
+THRESHOLD = 0.7
 #: Weight that a text needs to be called toxic: this much, and this much more for each thousand characters.
 NEEDED, NEEDED_PER_1000 = 2.5, 0.2
 
@@ -197,6 +199,18 @@ def score_toxicity(
     return rows.mapInArrow(lambda it: _score(it, lexicon, exceptions), f"id {kind}, weight double, score double").withColumnRenamed("id", id_col)
 
 
+def _drop_toxic(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], exceptions: tuple[str, ...], text_col: str, threshold: float) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(lexicon, exceptions)
+    for batch in batches:
+        texts = (item.as_py() or "" for item in batch.column(text_col))
+        yield batch.filter(pa.array([score_from(matcher.weight(t), len(t)) < threshold for t in texts], pa.bool_()))
+
+
+def drop_toxic(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores under ``threshold``. One pass, no shuffle."""
+    return bound_batches(docs).mapInArrow(lambda it: _drop_toxic(it, lexicon, exceptions, text_col, threshold), docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_fold(F.col("doc_id"), 3) != 1)
@@ -204,6 +218,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"),
         "score",
-        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         "weight",
     )
