@@ -9,9 +9,9 @@ SECTIONS = ("COMMAND", "TITLE", "DESCRIPTION", "SYNTAX", "OPTIONS", "EXAMPLES")
 
 
 def read_html(spark: SparkSession, folder: str, pattern: str = "man_*.htm") -> DataFrame:
-    """(path, html) of the files; bytes that aren't UTF-8 are dropped."""
+    """(path, html) of the files; bytes that aren't UTF-8 are dropped, as are replacement characters that stand for such bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     return files.select("path", text.alias("html"))
 
 
@@ -35,7 +35,7 @@ def read_sections(spark: SparkSession, folder: str) -> DataFrame:
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """S3: (script_id, text), a file each."""
     texts = spark.read.text(path, wholetext=True)
-    return texts.select(F.col("_metadata.file_path").alias("script_id"), F.replace("value", F.lit("�"), F.lit("")).alias("text"))
+    return texts.select(F.col("_metadata.file_path").alias("script_id"), F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("text"))
 
 
 def section_text(records: DataFrame) -> DataFrame:
