@@ -14,11 +14,12 @@ from cmdspark.operators.advice import DEFAULT_RULES, RARE, StateRules
 ADVICE = "session_id string, seq long, command string, valid boolean, warnings array<string>, suggestions array<string>"
 
 
-def advise_stream(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, idle_minutes: int = 24 * 60, max_model: int = 1_000_000) -> DataFrame:
+def advise_stream(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, idle_minutes: int | None = 24 * 60, max_model: int = 1_000_000) -> DataFrame:
     """The advice of ``advise`` for a stream with the same columns; rows of one batch are taken in order of seq.
 
     The state of a session is its flags and its last valid command; it goes after ``idle_minutes``
-    without a command. The model has a row for each pair of commands; its size is checked.
+    without a command, or is kept if that is None; with a time limit Spark runs batches for as long as
+    the query lives, so a query that should end with its input needs None. The model has a row for each pair of commands; its size is checked.
     """
     ship_package(log.sparkSession)
     rows = prob.select("from", "to", "prob").limit(max_model + 1).collect()
@@ -61,8 +62,9 @@ def advise_stream(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_R
                 flags |= dict(changed(r.command, r.cmd_line))
                 prev = r.command
         state.update((*[bool(flags[f]) for f in rules.flags], prev))
-        state.setTimeoutDuration(idle_minutes * 60_000)
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame(out, columns=["session_id", "seq", "command", "valid", "warnings", "suggestions"])
 
     kept = ", ".join(f"{f} boolean" for f in rules.flags) + ", prev string"
-    return log.groupBy("session_id").applyInPandasWithState(step, ADVICE, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return log.groupBy("session_id").applyInPandasWithState(step, ADVICE, kept, "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -54,17 +54,16 @@ def test_probabilities_sum_to_one(spark):
 
 
 def test_stream_gives_the_advice_of_the_batch(spark, log, prob, tmp_path):
-    """A9 = A8, over two micro-batches that both hold rows of one session."""
-    source = str(tmp_path / "in")
-    log.filter("seq <= 4").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(log.schema).parquet(source)
-    query = advise_stream(stream, prob).writeStream.format("memory").queryName("advice").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        query.processAllAvailable()
-        log.filter("seq > 4").coalesce(1).write.mode("append").parquet(source)
-        query.processAllAvailable()
-        got = sorted((r["session_id"], r["seq"], r["warnings"], r["suggestions"]) for r in spark.table("advice").collect())
-    finally:
-        query.stop()
+    """A9 = A8, over two runs on one checkpoint that both hold rows of one session."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ("seq <= 4", "seq > 4"):
+        log.filter(part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source)
+        query = advise_stream(stream, prob, idle_minutes=None).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+        try:
+            assert query.awaitTermination(120)
+        finally:
+            query.stop()
+    got = sorted((r["session_id"], r["seq"], r["warnings"], r["suggestions"]) for r in spark.read.parquet(out).collect())
     want = sorted((r["session_id"], r["seq"], r["warnings"], r["suggestions"]) for r in advice.advise(log, prob).collect())
     assert got == want
