@@ -88,6 +88,8 @@ def prob_minhash(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs:
     document's places were reached. Places of two documents agree with the probability Jaccard
     similarity of their weights. ``element`` may have 44 bits, ``doc`` is ascending.
     """
+    if m > 2048:
+        raise ValueError("a draw has 11 bits for the place")
     first = np.full(docs * m, np.inf)
     winner = np.zeros(docs * m, np.uint64)
     latest = np.full(docs, np.inf)

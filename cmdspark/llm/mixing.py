@@ -37,7 +37,7 @@ def fill_targets(sources: DataFrame, budget_share: float, cap: float, weights: t
     )
 
 
-#: Words that proportional shares leave to the knapsack: four times the longest document, but no more than this.
+#: Budgets up to this are left to the knapsack whole; of larger ones four times the longest document, but no more than this.
 KNAPSACK_WORDS = 100_000
 
 
@@ -55,7 +55,7 @@ def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
     if budget >= total:
         return counts.copy()
     order = np.argsort(-lengths, kind="stable")
-    spare = min(budget, max(2 * int(np.median(lengths[lengths > 0])) + 64, min(4 * int(lengths.max()), KNAPSACK_WORDS)))
+    spare = budget if budget <= KNAPSACK_WORDS else min(budget, max(2 * int(np.median(lengths[lengths > 0])) + 64, min(4 * int(lengths.max()), KNAPSACK_WORDS)))
     share, want, got = (budget - spare) / total, 0.0, 0
     for i in order:
         length, count = int(lengths[i]), int(counts[i])

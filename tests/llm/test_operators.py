@@ -334,7 +334,7 @@ def test_near_duplicates_hard_rows(hard, empty):
 
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
-    m, n = 4096, 300
+    m, n = 2048, 300
     e = rng.integers(0, 1 << 44, n).astype(np.uint64)
     w1, w2 = rng.integers(1, 5, n).astype(float), rng.integers(1, 5, n).astype(float)
     w1[:40] = 0
@@ -342,7 +342,7 @@ def test_signatures_estimate_probability_jaccard():
     a, b = w1 > 0, w2 > 0
     sig = minhash.prob_minhash(np.concatenate([e[a], e[b]]), np.repeat([0, 1], [a.sum(), b.sum()]), np.concatenate([w1[a], w2[b]]), 2, m)
     exact = sum(1 / np.maximum(w1 / w1[i], w2 / w2[i]).sum() for i in range(n) if w1[i] and w2[i])
-    assert abs((sig[0] == sig[1]).mean() - exact) < 0.03
+    assert abs((sig[0] == sig[1]).mean() - exact) < 0.04
 
 
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
