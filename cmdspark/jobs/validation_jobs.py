@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdspark.operators import rules, validation
+from cmdspark.operators import mining, rules, validation
 from cmdspark.operators.cleaning import clean
 
 from .mining_jobs import table
@@ -58,6 +58,16 @@ def n_clean_lines(spark, sf_dir):
     return lines(spark, sf_dir).select("event_id", clean(F.col("cmd_line"), known).alias("clean_line"))
 
 
+def t9_line_flags(spark, sf_dir):
+    flagged = mining.line_flags(lines(spark, sf_dir).withColumnRenamed("cmd_line", "line"))
+    return flagged.select("event_id", F.array_join(F.array_sort("flags"), " ").alias("flags"))
+
+
+def t10_flag_usage(spark, sf_dir):
+    named = mining.match_commands(lines(spark, sf_dir).withColumnRenamed("cmd_line", "line"), [c[0] for c in CATALOGUE])
+    return mining.flag_usage(named)
+
+
 def v1_tokens(spark, sf_dir):
     parsed = validation.split_line(lines(spark, sf_dir))
     return parsed.select("event_id", "command", F.array_join("flags", " ").alias("flags"), F.array_join("positionals", " ").alias("positionals"))
@@ -127,7 +137,7 @@ def r4_rule_status(spark, sf_dir):
     return rules.with_rules(part_catalogue(spark, sf_dir)).select("command", F.col("rules.status").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (n_clean_lines, v1_tokens, v10_structure, v3_level1, v9_script_level1, v11_level2, v22_level3, v28_findings, v28_report, v4_suggestions, r1_flag_rules, r2_mutex_groups, r3_positionals, r4_rule_status)}
+QUERIES = {f.__name__: f for f in (t9_line_flags, t10_flag_usage, n_clean_lines, v1_tokens, v10_structure, v3_level1, v9_script_level1, v11_level2, v22_level3, v28_findings, v28_report, v4_suggestions, r1_flag_rules, r2_mutex_groups, r3_positionals, r4_rule_status)}
 
 _EVENT_LINES = f"""
 WITH li AS (SELECT event_id, user_id::VARCHAR AS session_id,
@@ -188,7 +198,12 @@ v3 AS (SELECT v2.*, coalesce(l3, '') AS l3, l2_valid AND l3 IS NULL AS valid FRO
 _PARTS = """
 WITH p AS (SELECT p_partkey AS k, 'part_' || p_partkey AS command, array_to_string(string_split(lower(p_type), ' '), '|') AS choices, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AS ok FROM part)
 """
+_FLAGS = "list_distinct(regexp_extract_all(cmd_line, '-([a-zA-Z_][a-zA-Z0-9_]*)', 1))"
 SQL = {
+    "t9_line_flags": _EVENT_LINES + f"SELECT event_id, array_to_string(list_sort({_FLAGS}), ' ') AS flags FROM li",
+    "t10_flag_usage": _EVENT_LINES
+    + f"""SELECT DISTINCT command, unnest({_FLAGS}) AS flag, 1 AS present FROM (SELECT cmd_line, list_filter(string_split(cmd_line, ' ')[1:3], lambda w: lower(w) IN ('view', 'click', 'purchase', 'signup', 'error'))[1] AS command FROM li)
+          WHERE command IS NOT NULL""",
     "n_clean_lines": _EVENT_LINES + f"SELECT event_id, {_GLUED} AS clean_line FROM li",
     "v1_tokens": _EVENT_LINES + _RAW_TOKENS
     + """SELECT event_id, command, coalesce(string_agg(CASE WHEN starts_with(tok, '-') THEN split_part(tok, '=', 1) END, ' ' ORDER BY pos), '') AS flags,
