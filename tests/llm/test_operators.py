@@ -513,5 +513,41 @@ def test_mined_rules_against_brute_force(spark):
     assert {k for k, v in hits.items() if v == "block"} == {r[0] for r in with_both}
 
 
+def test_every_mined_rule_against_all_subsets_of_tokens(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        tokens = [f"t{k}" for k in range(5) if rng.random() < 0.5]
+        label = rng.choice(["block", "allow"], p=[0.9, 0.1]) if "t0" in tokens and rng.random() < 0.7 else ("allow" if "t1" in tokens and rng.random() < 0.4 else None)
+        rows.append((i, tokens, label))
+    support, confidence, coverage = 0.03, 0.8, 0.5
+    total = sum(1 for r in rows if r[1] or r[2])
+    want = {}
+    for mask in range(1, 32):
+        need = {f"t{k}" for k in range(5) if mask >> k & 1}
+        having = [r[2] for r in rows if need <= set(r[1])]
+        labelled = [x for x in having if x is not None]
+        for verdict in ("block", "allow"):
+            n = labelled.count(verdict)
+            if n >= support * total and n >= confidence * len(labelled) and len(labelled) >= coverage * len(having):
+                want[frozenset(need), verdict] = (n / len(labelled), n / total, len(labelled) / len(having))
+    kept = {k: v for k, v in want.items() if not any(o[1] == k[1] and o[0] < k[0] and w[0] >= v[0] for o, w in want.items())}
+    assert kept and len(kept) < len(want)
+    df = spark.createDataFrame(rows, "key long, tokens array<string>, label string")
+    got = {(frozenset(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"], r["coverage"]) for r in url_filter.mine_rules(df, support, confidence, coverage).collect()}
+    assert got.keys() == kept.keys()
+    for k, v in got.items():
+        assert v == pytest.approx(kept[k])
+
+
+def test_a_mined_rule_judges_urls_without_a_rule(spark):
+    urls = [f"http://{h}/de/{i}" for i in range(10) for h in ("a.net", "b.example.com", "c.org")] + [f"http://c.org/en/{i}" for i in range(100, 110)]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    for r in got:
+        assert (r["rule"] is None) == (r["host"] == "c.org")
+        assert r["verdict"] == ("allow" if r["path"].startswith("/en/") else "block")
+        assert (r["mined_rule"] is not None) == (r["host"] == "c.org" and r["path"].startswith("/de/"))
+
+
 def test_urls_empty(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
