@@ -302,9 +302,9 @@ def near_duplicates(
     placed = members.filter("members > 2").select("bucket", "node", "members").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = (
         placed.groupBy("bucket")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"), F.max("members").alias("members"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("and_who"), F.max("members").alias("members"))
         .filter("low <> high")
-        .groupBy("who", "members").agg(F.min("bucket").alias("bucket"))  # bands whose buckets have the same members need one comparison
+        .groupBy("who", "and_who", "members").agg(F.min("bucket").alias("bucket"))  # bands whose buckets have the same members need one comparison
         .select("bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     )
     spread = (
