@@ -1,4 +1,4 @@
-"""Near-duplicate classes of documents: ProbMinHash over weighted five-word shingles, banding, exact verification."""
+"""Near-duplicate classes of documents: ProbMinHash over five-word shingles, banding, exact verification."""
 
 from __future__ import annotations
 
@@ -147,12 +147,10 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
             docs = len(own)
             words, word_doc = word_hashes(data, bounds)
             shingle, doc = shingle_hashes(words, word_doc, docs)
-            key = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (shingle >> np.uint64(20)))
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(head, len(key)))
-            key = key[head]
+            key = np.unique((doc.astype(np.uint64) << np.uint64(44)) | (shingle >> np.uint64(20)))
             element, doc = key & np.uint64((1 << 44) - 1), (key >> np.uint64(44)).astype(np.int64)
-            signature = prob_minhash(element, doc, 1.0 + np.log(np.maximum(count, 1)), docs, m)
+            # of equal weights: places agree with the set Jaccard similarity, the one that _verify asks for
+            signature = prob_minhash(element, doc, np.ones(len(element)), docs, m)
             band = mix64((mix64(signature.reshape(docs, bands, rows) + salt) * (salt | np.uint64(1))).sum(axis=2, dtype=np.uint64)).view(np.int64)
             some = np.bincount(doc, minlength=docs) > 0
             flat = pa.array(band[some].ravel())
@@ -257,8 +255,8 @@ def near_duplicates(
     A class is a connected component of documents whose sets of five-word shingles have a Jaccard
     similarity of ``threshold`` or more; its class_id is its least id, the one kept.
 
-    1. Copies (equal sequences of words) become one node, its weighted shingles one ProbMinHash signature
-       (weight: 1 + ln of a shingle's count), cut into bands.
+    1. Copies (equal sequences of words) become one node, its set of shingles one ProbMinHash signature
+       (all weights 1, so that it estimates the criterion however often a shingle is repeated), cut into bands.
     2. Every member of a bucket is paired with the bucket's leader, chosen by a hash of band and node: as
        many pairs as members. Pairs are verified on whole shingle sets and their components found.
     3. Buckets that still have several components are compared in blocks of ``block`` members, each pair

@@ -321,6 +321,25 @@ def test_near_duplicates_against_brute_force(spark):
         assert got == want
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    rng = np.random.default_rng(6)
+    docs = []
+    for _ in range(16):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        docs.append(" ".join(base))
+        for edits in (0, 3):  # set Jaccard 0.98 and about 0.86 with the base, however often the lines are repeated
+            copy = list(base)
+            for at in rng.integers(0, 160, edits):
+                copy[at] = f"e{rng.integers(0, 10**6)}"
+            docs.append(" ".join(copy + base[-40:] * 200))
+    rows = list(enumerate(docs))
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 16
+    for block in (512, 2):
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table(spark, [(d, t, "s") for d, t in rows]), block=block).collect()}
+        assert got == want
+
+
 def test_near_duplicates_hard_rows(hard, empty):
     rows = minhash.near_duplicates(hard).collect()
     assert len(rows) == 10
