@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,11 @@ CAPACITY = 2048
 #: Pieces that one task packs at once, and rounds of exchange at most.
 GROUP_PIECES, ROUNDS = 50_000, 4
 
-_encoders: dict[str, object] = {}
+#: The fast encoder's pattern matcher gives up on runs of about a million blanks; texts with runs this long don't reach it.
+#: A run is entered at its start only, so that the search takes one pass.
+_LONG_RUN = re.compile(r"(?<!\s)\s{50000}")
+
+_encoders: dict[str, tuple] = {}
 
 
 def tokenizer_folder() -> str:
@@ -28,21 +33,30 @@ def tokenizer_folder() -> str:
     return os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def _encoder(folder: str):
-    """The byte-level vocabulary as a fast encoder; it gives the ids of byte_bpe_50k.json, strings of special tokens read as plain text."""
+def _encoder(folder: str) -> tuple:
+    """The tokenizer of byte_bpe_50k.json, a fast encoder with the same vocabulary, and a pattern of the special tokens, which only the former knows."""
     if folder not in _encoders:
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
+        exact = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
         with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[folder] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        special = re.compile("|".join(re.escape(t.content) for t in exact.get_added_tokens_decoder().values()) or r"(?!)")
+        _encoders[folder] = exact, fast, special
     return _encoders[folder]
 
 
 def token_ids(text: str, folder: str) -> np.ndarray:
-    """Ids of a text and the closing id 0, as little-endian 32-bit numbers."""
-    return np.array([*_encoder(folder).encode_ordinary(text), 0], dtype="<u4")
+    """Ids of a text by byte_bpe_50k.json and the closing id 0, as little-endian 32-bit numbers."""
+    exact, fast, special = _encoder(folder)
+    if special.search(text) or _LONG_RUN.search(text):
+        ids = exact.encode(text, add_special_tokens=False).ids
+    else:
+        ids = fast.encode_ordinary(text)
+    return np.array([*ids, 0], dtype="<u4")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, folder: str) -> Iterator[pa.RecordBatch]:

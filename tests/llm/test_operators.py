@@ -144,6 +144,15 @@ def test_ids_are_those_of_the_vocabulary_file():
         assert packing.token_ids(text, packing.tokenizer_folder()).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "one<|endoftext|> two <|endoftext|>", "<|endoftext", "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "\u00a0" * 1_000_000 + " x", "a " * 500_000, "  x" * 300_000])
+def test_special_tokens_and_long_runs_have_the_ids_of_the_vocabulary_file(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(text, packing.tokenizer_folder()).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_packing_hard_rows(hard, empty):
     rows = packing.pack_documents(hard).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter({1: 1, 2: 2, 3: 1, 4: 1, None: 2, 5: 1, 6: 1, 7: 1})
