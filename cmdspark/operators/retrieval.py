@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from cmdspark.functions.shipping import ship_package
 
 DIMENSIONS = 256
+#: Queries or documents of one block, and documents that are multiplied with a block of queries at once.
+BLOCK_ROWS, PRODUCT_ROWS = 4096, 1024
 
 
 def normalise(text: Column) -> Column:
@@ -77,20 +79,39 @@ def _local_top(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.n
     yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_doc[q, at]), pa.array(best_sim[q, at])], ["query_id", "doc_id", "similarity"])
 
 
-def top_documents(docs: DataFrame, queries: DataFrame, k: int = 3, max_queries: int = 10_000) -> DataFrame:
+def _pair_top(docs: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """For each query of a block the best k documents of a block; queries of equal width are asked together."""
+    asked: dict[int, list[tuple]] = {}
+    for query_id, vector in zip(queries.column("query_id").to_pylist(), queries.column("embedding"), strict=True):
+        asked.setdefault(len(vector), []).append((query_id, vector.as_py()))
+    parts = []
+    for rows in asked.values():
+        ids = np.array([q for q, _ in rows], dtype=np.int64)
+        matrix = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), -1)
+        parts += _local_top(iter(docs.to_batches(max_chunksize=PRODUCT_ROWS)), ids, matrix, k)
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("similarity", pa.float64())])
+    return pa.Table.from_batches(parts, schema) if parts else schema.empty_table()
+
+
+def top_documents(docs: DataFrame, queries: DataFrame, k: int = 3, query_block: int = BLOCK_ROWS, doc_block: int = BLOCK_ROWS) -> DataFrame:
     """Q3, Q4: (query_id, rank, doc_id, similarity): the k nearest documents of each query, ties by id.
 
-    ``queries`` (query_id, embedding) is a stated set whose size is checked; it goes to every task, which
-    multiplies it with its documents batch by batch and keeps k for each query. Only queries x k x tasks
-    rows are shuffled.
+    Both sides are dealt by hash to blocks of about the given numbers of rows, and every pair of blocks is
+    one task, which multiplies the two batch by batch and keeps k for each query. The driver sees two
+    counts only, and neither side has a limit.
     """
-    rows = queries.select("query_id", "embedding").filter("embedding is not null").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"over {max_queries} queries: ask in several sets")
     ship_package(docs.sparkSession)
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    matrix = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    local = docs.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(lambda it: _local_top(it, ids, matrix, k), "query_id long, doc_id long, similarity double")
+    asked = queries.select(F.col("query_id").cast("long"), "embedding").filter("embedding is not null")
+    held = docs.select(F.col("doc_id").cast("long"), "embedding")
+    query_blocks, doc_blocks = (max(1, -(-df.count() // n)) for df, n in ((asked, query_block), (held, doc_block)))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(*df.columns), F.lit(blocks))
+        return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+    left = dealt(held, "doc_place", doc_blocks, "query_place", query_blocks).groupBy("query_place", "doc_place")
+    right = dealt(asked, "query_place", query_blocks, "doc_place", doc_blocks).groupBy("query_place", "doc_place")
+    local = left.cogroup(right).applyInArrow(lambda d, q: _pair_top(d, q, k), "query_id long, doc_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "similarity")
 
