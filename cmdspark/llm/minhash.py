@@ -249,8 +249,9 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     block: int = BLOCK,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: id, class_id, class_size, kept.
+    """One row per input row: id, class_id, class_size, kept; and ``row_col``, unique numbers stored with the rows, where it is given.
 
     A class is a connected component of documents whose sets of five-word shingles have a Jaccard
     similarity of ``threshold`` or more; its class_id is its least id, the one kept.
@@ -267,9 +268,10 @@ def near_duplicates(
     rows with the least id just one is kept. Other columns are ignored. An empty table gives an empty
     result.
     """
-    text = bound_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    text = bound_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), number.alias("rid"))
     signed = materialize(
-        text.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
+        text.mapInArrow(
             lambda it: _sign(it, bands, rows), "id long, rid long, node binary, bands array<long>, signature binary"
         ),
         "signatures",
@@ -323,7 +325,7 @@ def near_duplicates(
     by_node = grouped.select("node", "comp").join(classes, "comp").select("node", F.col("keep.id").alias("class_id"), F.col("keep.rid").alias("keep_rid"), "size")
     rows_ = signed.select("id", "rid", "node")
     return skew_join(rows_, by_node, "node", hot_keys(rows_, "node")).select(
-        F.col("id").alias(id_col), "class_id", F.col("size").cast("long").alias("class_size"), (F.col("rid") == F.col("keep_rid")).alias("kept")
+        F.col("id").alias(id_col), "class_id", F.col("size").cast("long").alias("class_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), *([F.col("rid").alias(row_col)] if row_col else [])
     )
 
 

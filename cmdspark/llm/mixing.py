@@ -103,6 +103,7 @@ def mix(
     cap: float = 2.0,
     seed: int = 17,
     buckets: int = 1024,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, copies, rid.
 
@@ -113,13 +114,14 @@ def mix(
 
     Null text has size 0, null sources form the last source, null ids draw as one id. Sizes of 0 take
     part (copies may be 0 or more) and cost nothing. Ties between repeated rows are settled by row;
-    which of identical rows is drawn doesn't matter. An empty table gives an empty result; names of
+    which of identical rows is drawn doesn't matter. ``rid`` is a row's number: ``row_col``, unique numbers
+    stored with the rows, else one made here. An empty table gives an empty result; names of
     other columns are never looked at.
     """
     order = F.xxhash64(F.lit(seed), F.col("id"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     table = materialize(
-        bound_batches(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"))
-        .withColumn("rid", F.monotonically_increasing_id())
+        bound_batches(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), number.alias("rid"))
         .withColumn("draw", order)
         .withColumn("bucket", F.pmod(F.shiftright("draw", 8), F.lit(buckets)).cast("int")),
         "mix-sizes",

@@ -24,6 +24,11 @@ def _matching(docs: DataFrame, keep: DataFrame, keys: dict) -> DataFrame:
     return wide.join(keep, on, "left_semi").drop(*extra)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique number of each row, written once, so that every reader sees the same."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from this corpus's labels, doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -41,18 +46,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least id."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("k_id"))
-    return _matching(docs, kept, {"k_id": F.col("doc_id")})
+    rows = _with_row(docs)
+    kept = near_duplicates(rows, row_col="__row").filter("kept").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources takes it."""
-    size = words_count(F.col("text"))
-    mixed = mix(docs, size).groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("m_copies"))
-    mixed = mixed.filter("m_copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_copies")
-    wide = docs.withColumn("m_words", size)
-    on = wide["doc_id"].eqNullSafe(mixed["m_id"]) & wide["source"].eqNullSafe(mixed["m_source"]) & (wide["m_words"] == mixed["m_size"])
-    return wide.join(mixed, on).withColumn("m_turn", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*[wide[c] for c in docs.columns])
+    rows = _with_row(docs)
+    mixed = mix(rows, words_count(F.col("text")), row_col="__row").filter("copies > 0").select(F.col("rid").alias("__row"), F.col("copies").cast("int").alias("m_copies"))
+    return rows.join(mixed, "__row").withColumn("m_turn", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
