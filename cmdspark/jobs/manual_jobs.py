@@ -48,8 +48,7 @@ def m13_depends(spark, sf_dir):
 
 
 def m14_category_index(spark, sf_dir):
-    index = manual.category_index(manual.latest(records(spark, sf_dir)))
-    return index.select("category", F.size("commands").alias("n"), F.md5(F.array_join("commands", " ")).alias("commands_md5"))
+    return manual.category_digests(manual.category_index(manual.latest(records(spark, sf_dir))))
 
 
 def m15_edges(spark, sf_dir):

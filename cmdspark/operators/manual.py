@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cmdspark.functions.batches import append_column
 from cmdspark.functions.html import PAGE, read_pages
+from cmdspark.functions.shipping import ship_package
 
 FLAG_START = r"^-[A-Za-z_][A-Za-z0-9_]*"
 MENTION = r"\b(?:set|run|report)_[a-z0-9_]+\b"
@@ -85,8 +90,34 @@ def latest(records: DataFrame) -> DataFrame:
 
 
 def category_index(records: DataFrame) -> DataFrame:
-    """(category, commands) in order of command, the empty category left out."""
-    return records.filter(F.coalesce("category", F.lit("")) != "").groupBy("category").agg(F.array_sort(F.collect_list("command")).alias("commands"))
+    """Rows (category, command), the empty category left out."""
+    return records.filter(F.coalesce("category", F.lit("")) != "").select("category", "command")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(category, n, commands_md5) of rows in order of category and command; no more than a batch is held."""
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([n], pa.int32()), pa.array([digest.hexdigest()])], ["category", "n", "commands_md5"])
+
+    now, n, digest = None, 0, hashlib.md5()
+    for batch in batches:
+        for category_, command in zip(batch.column("category").to_pylist(), batch.column("command").to_pylist(), strict=True):
+            if category_ != now:
+                if n:
+                    yield row()
+                now, n, digest = category_, 0, hashlib.md5()
+            digest.update((" " if n else "").encode() + command.encode())
+            n += 1
+    if n:
+        yield row()
+
+
+def category_digests(index: DataFrame) -> DataFrame:
+    """Number of commands and md5 of them in order, a blank between, per category; sorted rows are read as a stream."""
+    ship_package(index.sparkSession)
+    ordered = index.select("category", "command").repartition("category").sortWithinPartitions("category", "command")
+    return ordered.mapInArrow(_digests, "category string, n int, commands_md5 string")
 
 
 def drop_self_edges(records: DataFrame) -> DataFrame:
