@@ -38,23 +38,33 @@ def encode_image(payload: bytes, unpadded: int) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"bytes\0%d" % unpadded) + _chunk(b"IDAT", zlib.compress(lines, 1)) + _chunk(b"IEND", b"")
 
 
-def decode_image(image: bytes) -> tuple[bytes, int]:
-    """Payload and unpadded length of an image; ValueError if its bytes aren't as written."""
+def image_chunks(image: bytes) -> list[tuple[bytes, bytes]]:
+    """(kind, content) of an image's chunks, their sums checked; ValueError if bytes aren't as written. Nothing is inflated."""
     if image[:8] != SIGNATURE:
         raise ValueError("no image")
-    at, data, size, unpadded = 8, [], (0, 0), 0
+    at, chunks = 8, []
     while at < len(image):
-        n, kind = struct.unpack(">I4s", image[at : at + 8])
+        n, kind = struct.unpack_from(">I4s", image, at)
         body = image[at + 8 : at + 8 + n]
         if len(body) < n or zlib.crc32(kind + body) != int.from_bytes(image[at + 8 + n : at + 12 + n], "big"):
             raise ValueError(f"chunk {kind!r} is damaged")
+        chunks.append((kind, body))
+        at += 12 + n
+    if not chunks or chunks[-1][0] != b"IEND":
+        raise ValueError("the image is cut off")
+    return chunks
+
+
+def decode_image(image: bytes) -> tuple[bytes, int]:
+    """Payload and unpadded length of an image; ValueError if its bytes aren't as written."""
+    data, size, unpadded = [], (0, 0), 0
+    for kind, body in image_chunks(image):
         if kind == b"IHDR":
             size = struct.unpack(">II", body[:8])
         elif kind == b"tEXt" and body.startswith(b"bytes\0"):
             unpadded = int(body[6:])
         elif kind == b"IDAT":
             data.append(body)
-        at += 12 + n
     lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(size[1], size[0] + 1)
     if lines[:, 0].any():
         raise ValueError("row filters aren't used here")
@@ -126,12 +136,19 @@ class _MediaWriter(DataSourceArrowWriter):
 
 
 class _Range(InputPartition):
-    def __init__(self, name: str, start: int, end: int):
-        self.name, self.start, self.end = name, start, end
+    def __init__(self, name: str, start: int, end: int, size: int):
+        self.name, self.start, self.end, self.size = name, start, end, size
 
 
 class _MediaReader(DataSourceReader):
-    """Plans ranges of bytes over the archives; a range yields the members whose header begins in it."""
+    """Plans ranges of bytes over the archives; a range yields the members whose header begins in it.
+
+    A header or body that can't be read is tried again by its offset with a file opened anew. What stays
+    unreadable gives a row without media whose ``error`` says what and where; a lost header also hides
+    where its member ends, so that reading goes on at the next block that is a sound header. The range
+    that ends with a member looks at the header after it too, since the range that header lies in
+    can't tell a damaged header from the body before it: so each is reported once.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -142,7 +159,7 @@ class _MediaReader(DataSourceReader):
         system, path = locate(self.path)
         with system.open_input_stream(f"{path}/manifest.json") as f:
             files = json.loads(f.read())
-        return [_Range(name, a, min(a + self.range, size)) for name, size in files for a in range(0, size, self.range)] or [_Range("", 0, 0)]
+        return [_Range(name, a, min(a + self.range, size), size) for name, size in files for a in range(0, size, self.range)] or [_Range("", 0, 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -166,52 +183,60 @@ class _MediaReader(DataSourceReader):
         system, path = locate(self.path)
         own, token = f"{path}/{part.name}", _token(part.name)
         with system.open_input_file(own) as f:
-            at = self._first(f, part, token)
-            while at is not None and at < part.end:
-                info = self._info(f.read_at(BLOCK, at), token)
+            # the first member of an archive has its header at 0; another range's first one is looked for
+            at = 0 if part.start == 0 else self._next(system, own, f, part.start + -part.start % BLOCK, part.end, token)
+            while at is not None and at < part.size - 2 * BLOCK:  # the trailer
+                info, error = self._read(system, own, f, at, BLOCK, lambda block: self._info(block, token))
                 if info is None:
+                    after = self._next(system, own, f, at + BLOCK, part.end, token)
+                    yield None, None, part.name, at, f"header: {error}; nothing is read up to {after or 'the next sound header'}"
+                    at = after
+                    continue
+                if at >= part.end:
                     return
-                body, error = self._body(system, own, f, at + BLOCK, info.size)
+                body, error = self._read(system, own, f, at + BLOCK, info.size, self._sound)
                 name = info.name.rpartition("/")[2].removesuffix(".png")
-                yield None if name == "null" else int(name), body, part.name, at, error
+                yield None if name == "null" else int(name), body, part.name, at, error and f"body: {error}"
                 at += BLOCK + info.size + -info.size % BLOCK
 
     @staticmethod
-    def _info(block: bytes, token: str) -> tarfile.TarInfo | None:
+    def _info(block: bytes, token: str) -> tarfile.TarInfo:
         if not block.startswith(token.encode()):
-            return None
+            raise ValueError(f"it begins with {block[:60].rstrip(bytes(1))!r}")
         try:
             return tarfile.TarInfo.frombuf(block, "utf-8", "strict")  # checks the header's sum
-        except tarfile.HeaderError:
-            return None
-
-    def _first(self, f, part: _Range, token: str) -> int | None:
-        at = part.start + -part.start % BLOCK
-        while at < part.end:
-            window = f.read_at(1 << 20, at)
-            for k in range(0, len(window) - BLOCK + 1, BLOCK):
-                if at + k >= part.end:
-                    return None
-                if self._info(window[k : k + BLOCK], token):
-                    return at + k
-            if len(window) < 1 << 20:
-                return None
+        except tarfile.HeaderError as e:
+            raise ValueError(f"{e}, the name reads {block[len(token) + 1 : 100].rstrip(bytes(1))!r}") from e
+
+    @staticmethod
+    def _sound(body: bytes) -> bytes:
+        image_chunks(body)
+        return body
+
+    def _next(self, system, own: str, f, at: int, end: int, token: str) -> int | None:
+        """The first sound header from ``at`` on and before ``end``."""
+        while at < end:
+            window, _ = self._read(system, own, f, at, 1 << 20, lambda x: x)
+            for k in range(0, min(len(window or b"") - BLOCK + 1, end - at), BLOCK):
+                if window.startswith(token.encode(), k):
+                    try:
+                        self._info(window[k : k + BLOCK], token)
+                        return at + k
+                    except ValueError:
+                        continue
             at += 1 << 20
         return None
 
-    def _body(self, system, own: str, f, at: int, size: int) -> tuple[bytes | None, str | None]:
-        """A member's bytes, tried again by its offset with a file opened anew; what stays unreadable is reported, others go on."""
+    def _read(self, system, own: str, f, at: int, size: int, check) -> tuple:
+        """What ``check`` makes of the bytes at an offset, tried again with a file opened anew; else None and the error."""
         error = ""
         for turn in range(self.tries):
             try:
                 if turn:
                     time.sleep(0.1 * turn)
                     with system.open_input_file(own) as again:
-                        body = again.read_at(size, at)
-                else:
-                    body = f.read_at(size, at)
-                decode_image(body)
-                return body, None
+                        return check(again.read_at(size, at)), None
+                return check(f.read_at(size, at)), None
             except (OSError, ValueError, zlib.error, struct.error) as e:
                 error = f"{type(e).__name__}: {e}"
         return None, error
@@ -253,11 +278,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")}
         for id_, media, error in zip(batch.column("id").to_pylist(), batch.column("media"), batch.column("error").to_pylist(), strict=True):
             image = media.as_py()
-            if image is None:
-                row = (id_, None, None, None, None, None, None, None, error)
-            else:
+            try:
+                if image is None:
+                    raise ValueError(error)
                 payload, size = decode_image(image)
                 row = (id_, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), image_features(payload), None)
+            except (ValueError, zlib.error, struct.error) as e:
+                row = (id_, None, None, None, None, None, None, None, str(e))
             for column, value in zip(out.values(), row, strict=True):
                 column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]

@@ -71,6 +71,17 @@ def test_media_round_trip(spark, hard):
     rows = media.describe_media(spark, path).collect()
     texts = [(r["doc_id"], (r["text"] or "").encode()) for r in hard.collect()]
     want = Counter((d, len(b), hashlib.sha256(p := b + bytes(max(1, -(-len(b) // 64)) * 64 - len(b))).hexdigest(), zlib.crc32(p[-64:])) for d, b in texts)
+    stored = {hashlib.sha256(p := b + bytes(max(1, -(-len(b) // 64)) * 64 - len(b))).hexdigest(): (media.encode_image(p, len(b)), p) for _, b in texts}
+    for r in rows:
+        image, payload = stored[r["payload_sha256"]]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
+        n, mean, deviation, entropy, edge = r["feature"].split(";")
+        share = [c / len(payload) for c in Counter(payload).values()]
+        assert int(n) * 64 == len(payload)
+        assert float(mean) == pytest.approx(sum(payload) / len(payload), abs=1e-3)
+        assert float(deviation) == pytest.approx(np.std(list(payload)), abs=1e-3)
+        assert float(entropy) == pytest.approx(-sum(s * np.log2(s) for s in share), abs=1e-3)
+        assert float(edge) == pytest.approx(np.mean([abs(a - b) for a, b in zip(payload, payload[1:], strict=False)]), abs=1e-3)
     assert Counter((r["id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == want
     assert all(r["error"] is None for r in rows)
 
@@ -97,6 +108,37 @@ def test_damaged_member_is_reported_and_others_are_read(spark):
     assert [i for i, e in rows.items() if e] == [at["id"]]
 
 
+@pytest.mark.parametrize("size", [700, 4096, 32 << 20])
+@pytest.mark.parametrize(("place", "bytes_"), [(0, b"\x00"), (40, b"zz"), (124, b"7"), (130, b"\xff\xff"), (148, b"x"), (512, b"x"), (560, b"\xff\x00\xff")])
+def test_damage_anywhere_in_a_member_costs_that_member_only(spark, place, bytes_, size):
+    """The first byte, the name, the size field, the header's sum, the image's signature and its content."""
+    path = fresh_path(spark, "media-test")
+    media.store_media(table(spark, [(i, f"text {i} " * (5 + 40 * (i % 4)), "s") for i in range(40)]).coalesce(1), path)
+    members = spark.read.format("media_archive").load(path).orderBy("at").collect()
+    for hit in (members[0], members[17], members[39]):
+        with open(f"{path.removeprefix('file://')}/{hit['archive']}", "r+b") as f:
+            f.seek(hit["at"] + place)
+            old = f.read(len(bytes_))
+            assert old != bytes_
+            f.seek(hit["at"] + place)
+            f.write(bytes_)
+    rows = spark.read.format("media_archive").option("range", size).option("tries", 1).load(path).collect()
+    damaged = {0, 17, 39}
+    assert sorted(r["id"] for r in rows if not r["error"]) == sorted(m["id"] for k, m in enumerate(members) if k not in damaged)
+    assert sorted(r["at"] for r in rows if r["error"]) == sorted(members[k]["at"] for k in damaged)
+
+
+def test_a_cut_archive_is_reported(spark):
+    path = fresh_path(spark, "media-test")
+    media.store_media(table(spark, [(i, "text " * 300, "s") for i in range(6)]).coalesce(1), path)
+    members = spark.read.format("media_archive").load(path).orderBy("at").collect()
+    with open(f"{path.removeprefix('file://')}/{members[4]['archive']}", "r+b") as f:
+        f.truncate(members[4]["at"])
+    rows = media.describe_media(spark, path).collect()
+    assert sum(r["error"] is None for r in rows) == 4
+    assert sum(r["error"] is not None for r in rows) == 1
+
+
 def test_media_empty(spark, empty):
     path = fresh_path(spark, "media-test")
     media.store_media(empty, path)
