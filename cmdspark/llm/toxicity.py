@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,6 +19,9 @@ HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "м": "m", "т": "t", "к": "k", "н": "h", "в": "b",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ʟ": "l", "ⅰ": "i", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
 }
+#: Blocks of the code table in which letters stand for Latin ones (superscripts and letterlike signs, enclosed, full-width, mathematical), and characters that show nothing.
+STYLED = ((0x2070, 0x2140), (0x2460, 0x2500), (0xFF21, 0xFF5B), (0x1D400, 0x1D800), (0x1F110, 0x1F190))
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 #: Fixed values. Plain insults with a prior weight, and phrases in which a listed word is none.
 SEED_LEXICON = dict.fromkeys(
@@ -32,15 +36,27 @@ STEM_LENGTHS, MIN_SHARE = (4, 12), 0.75
 WORD = r"[\p{L}\p{N}@$]+"
 
 
-def fold_column(text: Column) -> Column:
-    """Lower case, look-alikes as Latin letters; the same as ``fold`` up to digits."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))
+def _letters() -> dict[str, str]:
+    """HOMOGLYPHS and each styled letter with the plain one that it is compatible with."""
+    found = dict(HOMOGLYPHS)
+    for low, high in STYLED:
+        for c in map(chr, range(low, high)):
+            plain = unicodedata.normalize("NFKD", c).strip("()").lower()
+            if len(plain) == 1 and "a" <= plain <= "z":
+                found.setdefault(c, plain)
+    return found
 
 
-_TABLE = str.maketrans(HOMOGLYPHS)
+_LETTERS = _letters()
+_TABLE = str.maketrans(_LETTERS) | str.maketrans("", "", INVISIBLE)
 _DIGIT_TABLE = str.maketrans(DIGITS)
 
 
+def fold_column(text: Column) -> Column:
+    """Lower case, look-alikes and styled letters as plain Latin ones, without what shows nothing; the same as ``fold`` up to digits."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_LETTERS) + INVISIBLE, "".join(_LETTERS.values()))
+
+
 def fold(text: str) -> str:
     return text.lower().translate(_TABLE)
 
@@ -149,10 +165,18 @@ class Matcher:
                     excepted.append((start, end))
                 elif start not in hits or hits[start][1] < weight:
                     hits[start] = (end, weight)
-        for a, b in excepted:
-            for start in [s for s, (end, _) in hits.items() if a <= s and end <= b]:
-                del hits[start]
-        return hits
+        if not excepted:
+            return hits
+        # one pass over both in order: a hit is inside an exception if the furthest end of those begun so far reaches over it
+        excepted.sort()
+        kept, k, furthest = {}, 0, -1
+        for start in sorted(hits):
+            while k < len(excepted) and excepted[k][0] <= start:
+                furthest = max(furthest, excepted[k][1])
+                k += 1
+            if hits[start][0] > furthest:
+                kept[start] = hits[start]
+        return kept
 
 
 #: Texts that score this or more are toxic.

@@ -1,6 +1,7 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -449,6 +450,54 @@ def test_matching_folds_and_excepts():
     assert toxicity.Matcher({}, ()).weight("idiot") == 0.0
 
 
+def test_styled_letters_and_invisible_characters_fold(spark):
+    m = toxicity.Matcher({"idiot": 3.0})
+    for text in ("ｉｄｉｏｔ", "𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "id\u200biot", "i\u00addio\u2060t", "ＩＤＩＯＴ"):
+        assert m.weight(text) == 3.0, text
+        folded = spark.createDataFrame([(text,)], "t string").select(toxicity.fold_column(F.col("t")).alias("f")).first()["f"]
+        assert folded == toxicity.fold(text) == "idiot"
+
+
+def brute_weight(text, lexicon, exceptions):
+    """Every entry tried at every place, every hit held against every exception."""
+
+    def scan(t):
+        edge = lambda i: not 0 <= i < len(t) or not t[i].isalnum()
+        best = {}
+        for word, weight in lexicon.items():
+            w = word.rstrip("*")
+            for i in range(len(t)):
+                if t.startswith(w, i) and edge(i - 1) and (word.endswith("*") or edge(i + len(w))) and (i not in best or best[i][1] < weight):
+                    best[i] = (i + len(w) - 1, weight)
+        spans = [(i, i + len(x) - 1) for x in exceptions for i in range(len(t)) if t.startswith(x, i) and edge(i - 1) and edge(i + len(x))]
+        return {i: (e, w) for i, (e, w) in best.items() if not any(a <= i and e <= b for a, b in spans)}
+
+    plain = toxicity.fold(text)
+    hits = scan(plain)
+    for i, (e, w) in scan("".join(toxicity.DIGITS.get(c, c) for c in plain)).items():
+        if i not in hits and any(c.isalpha() for c in plain[i : e + 1]):
+            hits[i] = (e, w)
+    return sum(w for _, w in hits.values())
+
+
+def test_matching_against_brute_force():
+    lexicon = {"clown": 2.0, "fish": 1.0, "trash": 3.0, "tra*": 0.5, "can": 0.25, "trash can*": 8.0}
+    exceptions = ("clown fish", "trash can", "a trash can do", "fish can")
+    m = toxicity.Matcher(lexicon, exceptions)
+    rng = np.random.default_rng(9)
+    words = ["clown", "fish", "trash", "can", "do", "a", "cl0wn", "tr4sh", "trashy", "canny", "$", "f1sh,", "10"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words, int(rng.integers(1, 12))))
+        assert m.weight(text) == pytest.approx(brute_weight(text, lexicon, exceptions)), text
+
+
+def test_many_exceptions_take_linear_time():
+    m = toxicity.Matcher(toxicity.SEED_LEXICON)
+    began = time.perf_counter()
+    assert m.weight("trash can " * 200_000) == 0.0
+    assert time.perf_counter() - began < 15
+
+
 def test_scores():
     assert toxicity.score_from(0, 10) < 0.1
     assert toxicity.score_from(3.0, 200) > 0.7
