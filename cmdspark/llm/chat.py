@@ -61,38 +61,21 @@ def render(messages: DataFrame, train_role: str = "assistant") -> DataFrame:
     the turn's start mark, ``start`` from the conversation's start. A conversation's text is one string,
     as whoever formats it wants; a null role counts as empty.
     """
-    turn = F.struct("message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-
-    def block(t: Column) -> Column:
-        head, body = F.concat(F.lit(TURN_START), escape(t["role"]), F.lit("\n")), escape(t["text"])
-        return F.struct(
-            F.concat(head, body, F.lit(TURN_END)).alias("text"),
-            F.length(head).alias("within"),
-            F.length(body).alias("length"),
-            (t["role"] == train_role).alias("train"),
-        )
-
-    blocks = turns.select("conv_id", F.transform("turns", block).alias("blocks"))
-    # the running length of the blocks is folded once, not once for each span
-    spans = F.aggregate(
-        "blocks",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<turn:int,within:int,start:bigint,length:int>>").alias("spans"), F.lit(0).alias("turn")),
-        lambda acc, b: F.struct(
-            (acc["at"] + F.length(b["text"])).alias("at"),
-            F.when(
-                b["train"],
-                F.concat(acc["spans"], F.array(F.struct(acc["turn"].alias("turn"), b["within"].alias("within"), (acc["at"] + b["within"]).alias("start"), b["length"].alias("length")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-            (acc["turn"] + 1).alias("turn"),
-        ),
-        lambda acc: acc["spans"],
+    in_order = Window.partitionBy("conv_id").orderBy("message", "role", "text")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    head, body = F.concat(F.lit(TURN_START), escape(role), F.lit("\n")), escape(text)
+    # running sums over rows, so that the work of a conversation grows with its length only
+    blocks = (
+        messages.select("conv_id", "message", role.alias("role"), text.alias("text"), F.concat(head, body, F.lit(TURN_END)).alias("block"), F.length(head).alias("within"), F.length(body).alias("length"))
+        .withColumn("turn", F.row_number().over(in_order) - 1)
+        .withColumn("at", F.coalesce(F.sum(F.length("block").cast("long")).over(before), F.lit(0).cast("long")))
     )
-    return blocks.select(
-        "conv_id",
-        F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("formatted"),
-        spans.alias("loss_spans"),
-        F.size("blocks").cast("long").alias("n_turns"),
+    span = F.struct("turn", "within", (F.col("at") + F.col("within")).alias("start"), "length")
+    return blocks.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda x: x["block"]), "").alias("formatted"),
+        F.array_sort(F.collect_list(F.when(F.col("role") == train_role, span))).alias("loss_spans"),
+        F.count(F.lit(1)).alias("n_turns"),
     )
 
 

@@ -266,6 +266,21 @@ def test_chat_round_trip(spark):
     assert spans[3]["formatted"][s["start"] : s["start"] + s["length"]].replace("[\\", "[") == "[" * 500
 
 
+def test_a_long_conversation(spark):
+    """Spans over thousands of turns, in time that grows with their number."""
+    times = {}
+    for n in (500, 4000, 16000):
+        rows = chat_rows(spark, [(1, i, "assistant" if i % 2 else "user", f"t{i}[") for i in range(n)])
+        began = time.perf_counter()
+        r = chat.render(rows.withColumnRenamed("turn", "message")).collect()[0]
+        times[n] = time.perf_counter() - began
+        assert r["n_turns"] == n
+        assert [s["turn"] for s in r["loss_spans"]] == list(range(1, n, 2))
+        for s in (r["loss_spans"][0], r["loss_spans"][n // 4], r["loss_spans"][-1]):
+            assert r["formatted"][s["start"] : s["start"] + s["length"]] == f"t{s['turn']}[\\"
+    assert times[16000] < 20 * max(times[4000], 0.5)
+
+
 def test_chat_empty(spark):
     assert chat.render(chat.reconstruct(chat.message_log(chat_rows(spark, []).filter(F.lit(False))))).count() == 0
 
