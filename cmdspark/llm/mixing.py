@@ -37,60 +37,85 @@ def fill_targets(sources: DataFrame, budget_share: float, cap: float, weights: t
     )
 
 
-#: Budgets up to this are left to the knapsack whole; of larger ones four times the longest document, but no more than this.
-KNAPSACK_WORDS = 100_000
+#: Words that the knapsack's table spans at most.
+REACH = 1 << 17
 
 
-def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that the words taken come as near ``budget`` as can be.
-
-    Longest first, each length gets its proportional share, error carried on, but for a remainder that
-    holds some of the longest documents; a bounded knapsack over the documents left then fills that
-    remainder exactly where lengths allow. Work is bounded by lengths x remainder, not by documents.
-    """
+def proportional(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take so that every length gets its share of ``budget``, longest first, what rounding leaves carried on."""
+    total = sum(int(n) * int(c) for n, c in zip(lengths, counts, strict=True))
     taken = np.zeros(len(lengths), dtype=np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return taken
-    if budget >= total:
-        return counts.copy()
-    order = np.argsort(-lengths, kind="stable")
-    spare = budget if budget <= KNAPSACK_WORDS else min(budget, max(2 * int(np.median(lengths[lengths > 0])) + 64, min(4 * int(lengths.max()), KNAPSACK_WORDS)))
-    share, want, got = (budget - spare) / total, 0.0, 0
-    for i in order:
+    seen = got = 0
+    for i in np.argsort(-lengths, kind="stable"):
         length, count = int(lengths[i]), int(counts[i])
-        if length == 0:
-            continue
-        want += share * length * count
-        taken[i] = min(count, max(0, int((want - got) // length)))
-        got += int(taken[i]) * length
-    rest = budget - got
-    # Bounded knapsack: best[s] is the index of the length last added on the way to sum s.
+        if length:
+            seen += length * count
+            taken[i] = min(count, (seen * budget // total - got) // length)
+            got += int(taken[i]) * length
+    return taken
+
+
+def knapsack(lengths: np.ndarray, free: np.ndarray, rest: int) -> np.ndarray:
+    """How many of the ``free`` documents of each length to add so that their words come as near ``rest`` as can be, not over it.
+
+    Bounded knapsack by reachable sums; the documents of a length are split into lots of 1, 2, 4, ...,
+    so work grows with lengths x log(documents) x rest.
+    """
     reach = np.zeros(rest + 1, dtype=bool)
     reach[0] = True
-    last = np.full(rest + 1, -1, dtype=np.int64)
-    for i in order[::-1]:
-        length, free = int(lengths[i]), int(counts[i] - taken[i])
-        if length == 0 or length > rest or free <= 0:
+    last = np.full(rest + 1, -1, dtype=np.int64)  # the lot last added on the way to a sum
+    lots: list[tuple[int, int]] = []
+    for i in np.argsort(lengths, kind="stable"):
+        length = int(lengths[i])
+        if not length or length > rest:
             continue
-        for _ in range(min(free, rest // length)):  # one more document of this length
+        left, lot = min(int(free[i]), rest // length), 1
+        while left > 0 and not reach[rest]:
+            lot = min(lot, left)
             new = np.zeros_like(reach)
-            new[length:] = reach[:-length]
+            new[lot * length :] = reach[: -lot * length]
             new &= ~reach
-            if not new.any():
-                break
-            last[new] = i
+            last[new] = len(lots)
+            lots.append((i, lot))
             reach |= new
-        if reach[rest]:
-            break
+            left, lot = left - lot, 2 * lot
+    added = np.zeros(len(lengths), dtype=np.int64)
     at = int(np.flatnonzero(reach)[-1])
-    if total - budget < rest - at:
-        return counts.copy()
     while at:
-        i = last[at]
-        taken[i] += 1
-        at -= int(lengths[i])
-    return taken
+        i, lot = lots[last[at]]
+        added[i] += lot
+        at -= lot * int(lengths[i])
+    return added
+
+
+def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take so that the words taken come as near ``budget`` as can be.
+
+    Every length gets its proportional share, and a bounded knapsack over the documents left fills what
+    rounding leaves of the budget. Where no documents sum up to that remainder, the share is laid out anew
+    with more of the budget held back for the knapsack, twice as much each time, until it is met, the
+    knapsack has the whole budget, or its table would span over REACH words. The rule is the same at
+    every size.
+    """
+    total = int((lengths * counts).sum())
+    if budget <= 0 or total == 0:
+        return np.zeros(len(lengths), dtype=np.int64)
+    if budget >= total:
+        return counts.copy()
+    held, best, least = 0, None, 0
+    while True:
+        taken = proportional(lengths, counts, budget - held)
+        rest = budget - int((taken * lengths).sum())
+        if best is not None and rest > REACH:
+            break
+        taken = taken + knapsack(lengths, counts - taken, min(rest, REACH))
+        short = budget - int((taken * lengths).sum())
+        if best is None or short < least:
+            best, least = taken, short
+        if least == 0 or held == budget:
+            break
+        held = min(budget, max(2 * held, 2 * int(lengths[lengths > 0].min())))
+    return counts.copy() if total - budget < least else best
 
 
 def mix(

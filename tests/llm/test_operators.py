@@ -609,6 +609,32 @@ def test_knapsack_against_brute_force():
         assert abs(got - budget) <= budget - max(s for s in sums if s <= budget)
 
 
+@pytest.mark.parametrize("budget", [20_000, 60_000, 99_000, 101_000, 400_000])
+def test_every_length_gets_its_share_of_any_budget(budget):
+    rng = np.random.default_rng(7)
+    lengths, counts = np.unique(rng.integers(1, 1001, 2000), return_counts=True)
+    taken = mixing.choose_counts(lengths, counts, budget)
+    assert (taken * lengths).sum() == budget
+    assert (taken <= counts).all()
+    share = budget / (lengths * counts).sum()
+    for low in range(0, 1000, 250):
+        here = (lengths > low) & (lengths <= low + 250)
+        assert (taken * lengths)[here].sum() == pytest.approx(share * (lengths * counts)[here].sum(), rel=0.15, abs=1000)
+
+
+def test_a_million_documents_of_one_length():
+    began = time.perf_counter()
+    taken = mixing.choose_counts(np.array([1, 7]), np.array([1_000_000, 1_000_000]), 99_001)
+    assert taken @ [1, 7] == 99_001
+    assert mixing.knapsack(np.array([1]), np.array([1_000_000]), 99_000).tolist() == [99_000]
+    assert time.perf_counter() - began < 2
+
+
+def test_lengths_without_a_common_sum_come_near():
+    taken = mixing.choose_counts(np.array([70_000, 200_000]), np.array([50, 50]), 1_234_567)
+    assert 0 <= 1_234_567 - taken @ [70_000, 200_000] < 70_000
+
+
 # URL filters
 
 
