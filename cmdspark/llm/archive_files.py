@@ -24,20 +24,24 @@ class RollingFile:
         self.stream, self.path, self.at = None, "", 0
         self.done: list[tuple[str, int]] = []
 
-    def write(self, data: bytes) -> tuple[str, int]:
-        """Append ``data``; the file's name and the offset of the data in it."""
+    def place(self) -> tuple[str, int]:
+        """The file that the next data go to, opened if there is none, and their offset in it."""
         if self.stream is None:
             self.path, self.at = self.name(), 0
             self.stream = self.system.open_output_stream(f"{self.folder}/{self.path}", compression=None)
             if head := self.header(self.path):
                 self.stream.write(head)
                 self.at = len(head)
-        start = self.at
+        return self.path, self.at
+
+    def write(self, data: bytes) -> tuple[str, int]:
+        """Append ``data``; the file's name and the offset of the data in it."""
+        path, start = self.place()
         self.stream.write(data)
         self.at += len(data)
         if self.at >= self.roll:
             self.close()
-        return self.path if self.stream is not None else self.done[-1][0], start
+        return path, start
 
     def header(self, path: str) -> bytes:
         return b""

@@ -100,9 +100,7 @@ class _Shard(RollingFile):
         self.member = ""
 
     def add(self, member: str, body: bytes) -> None:
-        if self.stream is None:
-            self.write(b"")
-        head = _header(f"{_token(self.path)}/{member}", len(body))
+        head = _header(f"{_token(self.place()[0])}/{member}", len(body))
         self.write(head + body + bytes(-len(body) % BLOCK))
 
     def trailer(self) -> bytes:

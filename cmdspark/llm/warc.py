@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ ARC_FIELDS = {
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 ROLL = 64 << 20
+#: Bytes of an archive whose records one task converts, and bytes read from it at once.
+SPLIT, READ = 16 << 20, 4 << 20
 #: Shorter payloads are never stored as revisits.
 REVISIT_BYTES = 1000
 KEY_HEADER = "X-Source-Id"
@@ -77,7 +80,8 @@ def _write_arc(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Ite
             place = quote(url or "urn:unknown", safe="!#$%&'()*+,/:;=?@[]~")
             line = f"{place} 0.0.0.0 {date} text/html"
             if version == "2":
-                line += f" 200 {hashlib.md5(block).hexdigest()} - {files[version].at} {files[version].path or '-'}"
+                path, at = files[version].place()
+                line += f" 200 {hashlib.md5(block).hexdigest()} - {at} {path}"
             files[version].write(_gz(f"{line} {len(block)}\n".encode() + block + b"\n"))
     done = [x for f in files.values() for x in f.close()]
     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["archive", "bytes"])
@@ -91,9 +95,9 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
 
 
 def parse_arc(content: bytes, fields: list[str]) -> tuple[dict[str, str], bytes]:
-    """Header fields and block of an ARC record; the declared length says where the block ends."""
+    """Header fields and block of an ARC record; the declared length says where the block ends. A URL may hold blanks, no other field."""
     line, _, rest = content.partition(b"\n")
-    values = line.decode("utf-8", "replace").split(" ")
+    values = line.decode("utf-8", "replace").rstrip("\r").rsplit(" ", len(fields) - 1)
     if len(values) != len(fields):
         raise ValueError(f"{len(values)} fields, {len(fields)} declared")
     record = dict(zip(fields, values, strict=True))
@@ -112,12 +116,33 @@ def arc_fields(content: bytes) -> list[str]:
     return ARC_FIELDS[version].split(" ")
 
 
+def warc_date(date: str) -> str | None:
+    """An ARC date of 4 to 14 digits, from the year on, what is absent at its least; null if it is none."""
+    if not re.fullmatch(r"\d{4}(\d\d){0,5}", date):
+        return None
+    try:
+        when = datetime.strptime(date + "00000101000000"[len(date) :], "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc)
+    except ValueError:
+        return None
+    return when.strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def is_http(url: str, block: bytes) -> bool:
+    """Whether a block has HTTP's framing; schemes that never have it don't get it from how their text begins."""
+    return re.match(rb"HTTP/\d", block) is not None and not url.lower().startswith(("dns:", "whois:"))
+
+
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """HTTP header, with its blank line, and payload."""
     head, gap, payload = block.partition(b"\r\n\r\n")
     return (head + gap, payload) if gap else (b"", block)
 
 
+def split_block(url: str, block: bytes) -> tuple[bytes, bytes]:
+    """Header and payload of a record; what isn't HTTP is all payload."""
+    return split_http(block) if is_http(url, block) else (b"", block)
+
+
 def http_field(head: bytes, name: str) -> str | None:
     for line in head.split(b"\r\n"):
         key, _, value = line.partition(b":")
@@ -128,21 +153,31 @@ def http_field(head: bytes, name: str) -> str | None:
 
 def _index_arc(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     system, path = locate(folder)
+    kinds = {"archive": pa.string(), "at": pa.int64(), "size": pa.int64(), "fields": pa.int32(), "archive_date": pa.string(), "id": pa.int64(), "payload_bytes": pa.int64(), "digest": pa.binary()}
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
+
     for batch in batches:
         for name in batch.column("archive").to_pylist():
             out: list[tuple] = []
             with system.open_input_stream(f"{path}/{name}", compression=None) as f:
                 fields: list[str] = []
+                made = None
                 for offset, length, content in gzip_members(f):
                     if not fields:
                         fields = arc_fields(content)
+                        made = parse_arc(content, fields)[0]["Archive-date"]
+                        out.append((name, offset, length, len(fields), made, None, None, None))  # the version block
                         continue
-                    _, block = parse_arc(content, fields)
-                    head, payload = split_http(block)
+                    record, block = parse_arc(content, fields)
+                    head, payload = split_block(record["URL"], block)
                     key = http_field(head, KEY_HEADER)
-                    out.append((name, offset, length, len(fields), int(key) if key else None, len(payload), hashlib.sha1(payload).digest() + hashlib.sha256(payload).digest()))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["archive", "at", "size", "fields", "id", "payload_bytes", "digest"])
+                    out.append((name, offset, length, len(fields), made, int(key) if key else None, len(payload), hashlib.sha1(payload).digest() + hashlib.sha256(payload).digest()))
+                    if len(out) >= 5000:
+                        yield rows(out)
+                        out = []
+            yield rows(out)
 
 
 class _WarcFile(RollingFile):
@@ -164,32 +199,58 @@ def warc_record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def convert_record(arc: dict[str, str], block: bytes, r: dict) -> bytes:
+    """The WARC record for an ARC record ``r`` of the index, which says what it revisits.
+
+    An HTTP block becomes a response; any other, and what schemes like dns or ftp gave, a resource of the
+    ARC record's content type. A date that is none becomes the archive's.
+    """
+    name, at = r["archive"], r["at"]
+    head, payload = split_block(arc["URL"], block)
+    http = is_http(arc["URL"], block)
+    kind = "response" if http else "resource"
+    fields = {
+        "WARC-Record-ID": record_id(name, at), "WARC-Date": warc_date(arc["Archive-date"]) or warc_date(r["archive_date"]) or "1970-01-01T00:00:00Z", "WARC-Target-URI": arc["URL"],
+        "WARC-IP-Address": arc["IP-address"], "WARC-Warcinfo-ID": record_id(name, 0),
+        "Content-Type": "application/http; msgtype=response" if http else content_type(arc["Content-type"]),
+        "WARC-Payload-Digest": sha1_label(hashlib.sha1(payload).digest()), "X-Payload-Length": str(len(payload)),
+    }
+    if r["keep_archive"] is not None and (r["keep_archive"], r["keep_at"]) != (name, at):
+        kind, block = "revisit", head
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(r["keep_archive"], r["keep_at"]), "X-Refers-To-Source-Id": "" if r["keep_id"] is None else str(r["keep_id"])}
+    fields["WARC-Block-Digest"] = sha1_label(hashlib.sha1(block).digest())
+    return warc_record(kind, fields, block)
+
+
+def content_type(declared: str) -> str:
+    return declared if re.fullmatch(r"[\w.+-]+/[\w.+-]+.*", declared) else "application/octet-stream"
+
+
+def convert_filedesc(arc: dict[str, str], block: bytes, r: dict) -> bytes:
+    """The warcinfo record for an archive's version block, which it quotes."""
+    lines = {"software": "cmdspark", "format": "WARC File Format 1.1", "source-archive": r["archive"], "source-format": f"ARC version {block.split(b' ', 1)[0].decode('utf-8', 'replace')}", "source-uri": arc["URL"]}
+    body = "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"source-version-block: " + base64.b64encode(block) + b"\r\n"
+    fields = {"WARC-Record-ID": record_id(r["archive"], r["at"]), "WARC-Date": warc_date(arc["Archive-date"]) or "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}
+    return warc_record("warcinfo", fields, body)
+
+
 def _convert(batches: Iterator[pa.RecordBatch], arcs: str, folder: str) -> Iterator[pa.RecordBatch]:
     system, path = locate(arcs)
     out = _WarcFile(folder)
-    name, stream = None, None
+    name, stream, start, held = None, None, 0, b""
     names = {len(v.split(" ")): v.split(" ") for v in ARC_FIELDS.values()}
     for batch in batches:
         for r in batch.to_pylist():
             if r["archive"] != name:
                 if stream is not None:
                     stream.close()
-                name, stream = r["archive"], system.open_input_file(f"{path}/{r['archive']}")
-            arc, block = parse_arc(zlib.decompress(stream.read_at(r["size"], r["at"]), 31), names[r["fields"]])
-            head, payload = split_http(block)
-            when = datetime.strptime(arc["Archive-date"][:14], "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-            fields = {
-                "WARC-Record-ID": record_id(name, r["at"]), "WARC-Date": when, "WARC-Target-URI": arc["URL"], "WARC-IP-Address": arc["IP-address"],
-                "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": sha1_label(hashlib.sha1(payload).digest()),
-                "X-Payload-Length": str(len(payload)),
-            }
-            if r["keep_archive"] is None or (r["keep_archive"], r["keep_at"]) == (name, r["at"]):
-                kind = "response"
-            else:
-                kind, block = "revisit", head
-                fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(r["keep_archive"], r["keep_at"]), "X-Refers-To-Source-Id": "" if r["keep_id"] is None else str(r["keep_id"])}
-            fields["WARC-Block-Digest"] = sha1_label(hashlib.sha1(block).digest())
-            out.write(_gz(warc_record(kind, fields, block)))
+                name, start, held = r["archive"], 0, b""
+                stream = system.open_input_file(f"{path}/{name}")
+            a = r["at"] - start
+            if a < 0 or a + r["size"] > len(held):  # records come in order, many in one read
+                start, held, a = r["at"], stream.read_at(max(r["size"], READ), r["at"]), 0
+            arc, block = parse_arc(zlib.decompress(held[a : a + r["size"]], 31), names[r["fields"]])
+            out.write(_gz((convert_filedesc if r["payload_bytes"] is None else convert_record)(arc, block, r)))
     if stream is not None:
         stream.close()
     done = out.close()
@@ -201,21 +262,26 @@ def convert_arc(arc_files: DataFrame, arcs: str, folder: str) -> DataFrame:
 
     First every record is parsed by its file's version and its declared length, and its place and payload
     digests listed. Of records with equal payloads (SHA-1 and SHA-256) of at least REVISIT_BYTES bytes the
-    one with the largest source id is the response, on ties the last place; the others revisit it. The
+    one with the largest source id keeps its type, on ties the last place; the others revisit it. The
     list, not the payloads, is shuffled: a group of copies holds numbers only, hot ones by broadcast of
-    their few responses. Each task then reads its archive's records by offset and writes their equivalents.
-    Records without a source id have a null id, which comes before all others.
+    their few responses. Tasks then take SPLIT bytes of an archive each, read its records by offset and
+    write their equivalents; an archive's version block becomes a warcinfo record. Records without a
+    source id have a null id, which comes before all others.
     """
     make_folder(folder)
-    spread = arc_files.select("archive").repartition(max(1, arc_files.sparkSession.sparkContext.defaultParallelism * 4), F.xxhash64("archive"))
-    index = materialize(spread.mapInArrow(lambda it: _index_arc(it, arcs), "archive string, at long, size long, fields int, id long, payload_bytes long, digest binary"), "arc-index")
+    context = arc_files.sparkSession.sparkContext
+    spread = arc_files.select("archive").repartition(max(1, context.defaultParallelism * 4), F.xxhash64("archive"))
+    schema = "archive string, at long, size long, fields int, archive_date string, id long, payload_bytes long, digest binary"
+    index = materialize(spread.mapInArrow(lambda it: _index_arc(it, arcs), schema), "arc-index")
     last = F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "archive", "at")).alias("keep")
     long = index.filter(F.col("payload_bytes") >= REVISIT_BYTES)
     keep = long.groupBy("digest").agg(last).select("digest", F.col("keep.archive").alias("keep_archive"), F.col("keep.at").alias("keep_at"), F.col("keep.id").alias("keep_id"))
-    short = index.filter(F.col("payload_bytes") < REVISIT_BYTES).select("*", F.lit(None).cast("string").alias("keep_archive"), F.lit(None).cast("long").alias("keep_at"), F.lit(None).cast("long").alias("keep_id"))
+    short = index.filter("payload_bytes is null or payload_bytes < " + str(REVISIT_BYTES)).select("*", F.lit(None).cast("string").alias("keep_archive"), F.lit(None).cast("long").alias("keep_at"), F.lit(None).cast("long").alias("keep_id"))
     planned = skew_join(long, keep, "digest", hot_keys(long, "digest")).unionByName(short).drop("digest")
-    # a task gets whole archives, their records in order
-    dealt = planned.repartition(F.col("archive")).sortWithinPartitions("archive", "at")
+    # the list is small for the work that it stands for, so the number of tasks is given, by the archives' bytes
+    total = arc_files.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(context.defaultParallelism * 2, -(-total // SPLIT))
+    dealt = planned.repartition(tasks, "archive", F.floor(F.col("at") / SPLIT)).sortWithinPartitions("archive", "at")
     return materialize(dealt.mapInArrow(lambda it: _convert(it, arcs, folder), "archive string, bytes long"), "warc-files")
 
 
@@ -235,20 +301,25 @@ def _read_warc(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Re
             with system.open_input_stream(f"{path}/{name}", compression=None) as f:
                 for offset, _, content in gzip_members(f):
                     fields, block = parse_warc(content)
-                    head, payload = split_http(block)
+                    kind = fields["WARC-Type"]
+                    if kind == "warcinfo":
+                        rows.append((None, None, None, kind, None, None, fields["WARC-Date"], fields["WARC-Record-ID"]))
+                        continue
+                    head, payload = split_block(fields["WARC-Target-URI"], block)
                     key, digest = http_field(head, KEY_HEADER), base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
-                    if fields["WARC-Type"] == "response" and hashlib.sha1(payload).digest() != digest:
+                    if kind != "revisit" and hashlib.sha1(payload).digest() != digest:
                         raise ValueError(f"{name} at {offset}: the payload isn't that of its digest")
                     refers = fields.get("X-Refers-To-Source-Id")
-                    rows.append((int(key) if key else None, int(fields["X-Payload-Length"]), digest.hex(), fields["WARC-Type"], int(refers) if refers else None, fields["WARC-Target-URI"], fields["WARC-Date"], fields["WARC-Record-ID"]))
+                    rows.append((int(key) if key else None, int(fields["X-Payload-Length"]), digest.hex(), kind, int(refers) if refers else None, fields["WARC-Target-URI"], fields["WARC-Date"], fields["WARC-Record-ID"]))
             for a in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 5000], strict=True), kinds.values(), strict=True)], list(kinds))
 
 
-def read_warc(files: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the WARC files (archive, bytes) under ``folder``; digests of responses are checked."""
+def read_warc(files: DataFrame, folder: str, infos: bool = False) -> DataFrame:
+    """One row per record of the WARC files (archive, bytes) under ``folder``; digests of stored payloads are checked. With ``infos`` warcinfo records too, which have no payload."""
     spread = files.select("archive").repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), F.xxhash64("archive"))
-    return spread.mapInArrow(lambda it: _read_warc(it, folder), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string")
+    records = spread.mapInArrow(lambda it: _read_warc(it, folder), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string")
+    return records if infos else records.filter("record_type <> 'warcinfo'")
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

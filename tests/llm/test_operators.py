@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +340,65 @@ def test_arc_versions():
         warc.parse_arc(b"http://a 1.2.3.4 2001 text/html 50\nshort", warc.ARC_FIELDS["1"].split(" "))
 
 
+def test_version_2_fields_name_the_file_and_place_of_the_record(monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ROLL", 400)  # a file holds a record or two
+    pages = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([f"http://a/{i}" for i in range(12)]), pa.array(["x" * 90 * i for i in range(12)])], ["id", "url", "html"])
+    files = [r for b in warc._write_arc(iter([pages]), str(tmp_path), "20000101000000") for r in b.to_pylist()]
+    seen = 0
+    for f in files:
+        with open(tmp_path / f["archive"], "rb") as stream:
+            members = list(warc.gzip_members(stream))
+        fields = warc.arc_fields(members[0][2])
+        for at, _, content in members[1:]:
+            record, block = warc.parse_arc(content, fields)
+            seen += 1
+            if "Offset" in record:
+                assert (int(record["Offset"]), record["Filename"]) == (at, f["archive"])
+                assert record["Checksum"] == hashlib.md5(block).hexdigest()
+    assert seen == 12
+    assert len(files) > 4
+
+
+@pytest.mark.parametrize(("date", "want"), [("20010203040506", "2001-02-03T04:05:06Z"), ("199609231205", "1996-09-23T12:05:00Z"), ("19960923", "1996-09-23T00:00:00Z"), ("1996", "1996-01-01T00:00:00Z"), ("19961399", None), ("x", None), ("199", None)])
+def test_arc_dates_by_their_length(date, want):
+    assert warc.warc_date(date) == want
+
+
+def test_hand_written_records_get_their_types(spark):
+    """dns, ftp, text without HTTP, a URL with a blank, short dates, and the version block."""
+    folder, out = fresh_path(spark, "arc-test"), fresh_path(spark, "warc-test")
+    warc.make_folder(folder)
+    http = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\npage"
+    records = [
+        ("http://a/b c", "199609231205", "text/html", http), ("dns:a.org", "19960923", "text/dns", b"HTTP/1 is a name"), ("ftp://a/f", "bad", "image/gif", b"GIF\r\n\r\n89a"),
+        ("http://a/old", "19960923010203", "no-type", b"plain\r\n\r\nold"), ("https://b/", "20010101000000", "text/html", http),
+    ]
+    version = b"1 0 hand\n" + warc.ARC_FIELDS["1"].encode() + b"\n"
+    data = warc._gz(b"filedesc://h.arc 0.0.0.0 19960101000000 text/plain %d\n" % len(version) + version + b"\n")
+    for url, date, kind, block in records:
+        data += warc._gz(f"{url} 1.2.3.4 {date} {kind} {len(block)}\n".encode() + block + b"\n")
+    with open(folder.removeprefix("file://") + "/h.arc.gz", "wb") as f:
+        f.write(data)
+    files = warc.convert_arc(spark.createDataFrame([("h.arc.gz", len(data))], "archive string, bytes long"), folder, out)
+    rows = {r["url"]: r for r in warc.read_warc(files, out, infos=True).collect()}
+    assert {u: (r["record_type"], r["warc_date"], r["payload_bytes"]) for u, r in rows.items()} == {
+        None: ("warcinfo", "1996-01-01T00:00:00Z", None), "http://a/b c": ("response", "1996-09-23T12:05:00Z", 4), "dns:a.org": ("resource", "1996-09-23T00:00:00Z", 16),
+        "ftp://a/f": ("resource", "1996-01-01T00:00:00Z", 10), "http://a/old": ("resource", "1996-09-23T01:02:03Z", 12), "https://b/": ("response", "2001-01-01T00:00:00Z", 4),
+    }
+    kinds, infos = {}, set()
+    for f in files.collect():
+        with open(f"{out.removeprefix('file://')}/{f['archive']}", "rb") as stream:
+            for _, _, content in warc.gzip_members(stream):
+                fields, block = warc.parse_warc(content)
+                kinds[fields.get("WARC-Target-URI")] = fields["Content-Type"]
+                infos.add(fields.get("WARC-Warcinfo-ID"))
+                if fields["WARC-Type"] == "warcinfo":
+                    assert fields["WARC-Record-ID"] == warc.record_id("h.arc.gz", 0)
+                    assert b"ARC version 1\r\n" in block
+    assert kinds == {None: "application/warc-fields", "http://a/b c": "application/http; msgtype=response", "dns:a.org": "text/dns", "ftp://a/f": "image/gif", "http://a/old": "application/octet-stream", "https://b/": "application/http; msgtype=response"}
+    assert infos == {None, warc.record_id("h.arc.gz", 0)}
+
+
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     arcs, warcs = fresh_path(spark, "arc-test"), fresh_path(spark, "warc-test")
