@@ -769,5 +769,30 @@ def test_a_mined_rule_judges_urls_without_a_rule(spark):
         assert (r["mined_rule"] is not None) == (r["host"] == "c.org" and r["path"].startswith("/de/"))
 
 
+@pytest.mark.parametrize("segments", [18, 30])
+def test_deep_urls_repeated(spark, segments):
+    """Copies of one URL, labelled or not or both, and a chain of ever deeper ones: combinations don't grow with depth."""
+    path = "/".join(f"s{i}" for i in range(segments))
+    urls = [f"http://a.net/{path}"] * 50 + [f"http://b.org/{path}"] * 50 + [f"http://{h}/x/" + "/".join(f"c{k}" for k in range(i)) for i in range(segments) for h in ("a.net", "b.org") for _ in range(5)]
+    began = time.perf_counter()
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert time.perf_counter() - began < 60
+    assert len(rows) == len(urls)
+    assert {r["verdict"] for r in rows if r["host"] == "a.net"} == {"block"}
+
+
+def test_width_leaves_single_rules_and_exact_counts(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [f"t{k}" for k in range(8) if rng.random() < 0.6], rng.choice(["block", "allow", None], p=[0.6, 0.2, 0.2])) for i in range(300)]
+    df = spark.createDataFrame([(k, t, v and str(v)) for k, t, v in rows], "key long, tokens array<string>, label string")
+    whole = {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"], r["coverage"]) for r in url_filter.mine_rules(df, 0.03, 0.7, 0.3).collect()}
+    narrow = {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"], r["coverage"]) for r in url_filter.mine_rules(df, 0.03, 0.7, 0.3, width=3).collect()}
+    assert len(narrow) < len(whole)
+    assert {k for k in whole if len(k[0]) == 1} == {k for k in narrow if len(k[0]) == 1}
+    for k, v in narrow.items():
+        if k in whole:
+            assert v == pytest.approx(whole[k])
+
+
 def test_urls_empty(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
