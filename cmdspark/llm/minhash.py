@@ -262,6 +262,8 @@ def near_duplicates(
        many pairs as members. Pairs are verified on whole shingle sets and their components found.
     3. Buckets that still have several components are compared in blocks of ``block`` members, each pair
        of blocks a task that returns spanning links only. No bucket is capped and none sits in one task.
+       Members of a bucket's largest component aren't compared with each other again, so the work is in
+       proportion to the others times all, and only a bucket of many small components costs its square.
 
     Words are runs of characters other than x20 and x09 to x0D. Null and empty texts have no shingles:
     they are copies of each other and near nothing else. Null ids come after all others; of repeated
@@ -299,18 +301,24 @@ def near_duplicates(
     )
     links = materialize(_check_pairs(pairs, sets, threshold), "star-links")
     comp = components(links)
-    placed = members.filter("members > 2").select("bucket", "node", "members").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = members.filter("members > 2").select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    by_comp = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("and_who"))
     mixed = (
-        placed.groupBy("bucket")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("and_who"), F.max("members").alias("members"))
-        .filter("low <> high")
-        .groupBy("who", "and_who", "members").agg(F.min("bucket").alias("bucket"))  # bands whose buckets have the same members need one comparison
-        .select("bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    )
+        by_comp.groupBy("bucket")
+        .agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("comps"), F.sum("who").alias("who"), F.bit_xor("and_who").alias("and_who"))
+        .filter("comps > 1")
+        .groupBy("who", "and_who", "members").agg(F.min(F.struct("bucket", "major")).alias("b"))  # bands whose buckets have the same members need one comparison
+        .select(
+            F.col("b.bucket").alias("bucket"), F.col("b.major.comp").alias("major"),
+            F.ceil(F.col("b.major.n") / block).cast("int").alias("major_blocks"), F.ceil((F.col("members") - F.col("b.major.n")) / block).cast("int").alias("other_blocks"),
+        )
+    )
+    # blocks of the bucket's largest component come first; its members are joined already, so those blocks only meet the others
+    is_major, spot = F.col("comp") == F.col("major"), F.xxhash64("node", F.lit(1))
     spread = (
         placed.join(mixed, "bucket")
-        .withColumn("place", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("place", F.when(is_major, F.pmod(spot, "major_blocks")).otherwise(F.col("major_blocks") + F.pmod(spot, "other_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(is_major, F.col("major_blocks")).otherwise(F.lit(0)), F.col("major_blocks") + F.col("other_blocks") - 1)))
         .select("bucket", "node", "comp", "place", F.least("place", "other").alias("low"), F.greatest("place", "other").alias("high"))
         .join(nodes.select("node", "signature"), "node")
         .join(sets, "node")

@@ -467,6 +467,51 @@ def test_near_duplicates_with_repeated_lines(spark):
         assert got == want
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs at a set Jaccard of 0.80 to 0.85, half of them with a passage that one side repeats: at least 0.95 are found, and no pair under 0.8."""
+    rng = np.random.default_rng(12)
+    docs, pairs, far = [], [], []
+    while len(pairs) < 150 or len(far) < 50:
+        base = [f"w{x}" for x in rng.integers(0, 10**7, 300)]
+        copy = list(base)
+        for at in rng.choice(250, int(rng.integers(5, 11)), replace=False):
+            copy[at] = f"e{rng.integers(0, 10**7)}"
+        if len(docs) % 4:
+            copy += base[-30:] * 50
+        a, b = " ".join(base), " ".join(copy)
+        same = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        if 0.8 <= same <= 0.85 and len(pairs) < 150:
+            pairs.append(len(docs))
+        elif 0.7 <= same < 0.8 and len(far) < 50:
+            far.append(len(docs))
+        else:
+            continue
+        docs += [a, b]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table(spark, [(d, t, "s") for d, t in enumerate(docs)])).collect()}
+    recall = np.mean([got[i] == got[i + 1] for i in pairs])
+    print(f"recall {recall:.3f}")
+    assert recall >= 0.95
+    assert not any(got[i] == got[i + 1] for i in far)
+
+
+def test_a_bucket_with_one_large_class_and_others(spark):
+    """A class of many near copies shares its buckets with texts that are no copies; blocks are small, so the class has many."""
+    rng = np.random.default_rng(13)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    docs = []
+    for i in range(60):
+        copy = list(base)
+        copy[i] = f"e{i}"
+        docs.append(" ".join(copy))
+    for i in range(12):  # half of the words are the class's
+        docs.append(" ".join(base[:95] + [f"o{i // 3}x{k}" for k in range(25)] + [f"t{i}"]))
+    rows = list(enumerate(docs))
+    want = brute_classes(rows)
+    for block in (512, 7):
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table(spark, [(d, t, "s") for d, t in rows]), block=block).collect()}
+        assert got == want
+
+
 def test_near_duplicates_hard_rows(hard, empty):
     rows = minhash.near_duplicates(hard).collect()
     assert len(rows) == 10
