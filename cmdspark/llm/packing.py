@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialize
 
 CAPACITY = 2048
-#: Pieces that one task packs at once, and rounds of exchange at most.
-GROUP_PIECES, ROUNDS = 50_000, 4
+#: Pieces that one task packs at once.
+GROUP_PIECES = 50_000
 
 #: The fast encoder's pattern matcher gives up on runs of about a million blanks; texts with runs this long don't reach it.
 #: A run is entered at its start only, so that the search takes one pass.
@@ -143,47 +143,50 @@ def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     fill = np.bincount(bins, weights=lengths, minlength=made)
     return pd.DataFrame({
         "key": pdf["key"], "length": lengths, "grp": pdf["grp"], "bin": bins, "offset": offsets,
-        "gap": made - bound, "bin_full": fill[bins] >= capacity,
+        "bins": made, "bound": bound, "bin_full": fill[bins] >= capacity,
     })
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, seed: int = 3) -> DataFrame:
     """Give each row of ``pieces`` (key long, unique; length) a sequence_id and an offset.
 
     Rows are dealt at random to groups of about ``group_pieces``, each packed best fit decreasing by one
     task. A group whose number of bins equals its lower bound is certified and final. Of the others the
     full bins are final too; what lies in their bins that aren't full is exchanged: dealt anew, into
     groups of the same size and so fewer of them, and packed again, until all are certified, one group
-    is left, or ``rounds`` are over. A group never depends on a key of the data, so no skew reaches it.
-    Lengths are from 1 to ``capacity``; anything else is an error.
+    is left, or a round needs as many bins as the one before, which ends it: every round but the last
+    saves a bin. ``group_id``, ``group_bins`` and ``group_bound`` are those of the group that placed the row:
+    equal numbers certify that the group can't be packed in fewer. A group never depends on a key of the
+    data, so no skew reaches it. Lengths are from 1 to ``capacity``; anything else is an error.
     """
     todo = materialize(pieces.select("key", F.col("length").cast("long").alias("length")), "pack-in")
-    schema = "key long, length long, grp int, bin long, offset long, gap long, bin_full boolean"
+    schema = "key long, length long, grp int, bin long, offset long, bins long, bound long, bin_full boolean"
     placed: list[DataFrame] = []
-    for turn in range(rounds):
-        n = todo.count()
-        groups = max(1, -(-n // group_pieces))
+    turn, open_bins = 0, None
+    while True:
+        groups = max(1, -(-todo.count() // group_pieces))
         dealt = todo.withColumn("grp", F.pmod(F.xxhash64("key", F.lit(seed + turn)), F.lit(groups)).cast("int"))
         packed = materialize(dealt.groupBy("grp").applyInPandas(lambda pdf: _pack_group(pdf, capacity), schema), "packed")
-        final = F.lit(True) if groups == 1 or turn == rounds - 1 else (F.col("gap") == 0) | F.col("bin_full")
-        placed.append(packed.filter(final).select("key", "offset", F.lit(turn).alias("turn"), "grp", "bin"))
-        if groups == 1:
-            break
-        todo = packed.filter(~final).select("key", "length")
-        if todo.isEmpty():
+        # the piece at the beginning of a bin stands for it
+        made, left = packed.filter("offset = 0").agg(F.count(F.lit(1)), F.count_if((F.col("bins") > F.col("bound")) & ~F.col("bin_full"))).first()
+        last = groups == 1 or left == 0 or (open_bins is not None and made >= open_bins)
+        final = F.lit(True) if last else (F.col("bins") == F.col("bound")) | F.col("bin_full")
+        placed.append(packed.filter(final).select("key", "offset", F.lit(turn).alias("turn"), "grp", "bin", "bins", "bound"))
+        if last:
             break
+        todo, open_bins, turn = packed.filter(~final).select("key", "length"), left, turn + 1
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
-    # round, group and bin fit one number: a group has fewer bins than 2^24 and there are fewer than 2^32 groups
-    number = F.shiftleft(F.col("turn").cast("long"), 58) + F.shiftleft(F.col("grp").cast("long"), 26) + F.col("bin")
-    return out.select("key", number.alias("sequence_id"), "offset")
+    # round, group and bin fit one number: fewer than 2^26 groups and bins of a group, fewer than 2^11 rounds
+    group = F.shiftleft(F.col("turn").cast("long"), 26) + F.col("grp")
+    return out.select("key", (F.shiftleft(group, 26) + F.col("bin")).alias("sequence_id"), "offset", group.alias("group_id"), F.col("bins").alias("group_bins"), F.col("bound").alias("group_bound"))
 
 
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, folder: str | None = None
 ) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, group_id, group_bins, group_bound (see ``pack``).
 
     Null and empty texts are the closing id alone. Null and repeated ids, and repeated rows, are packed
     each for itself. Whole texts are tokenised once; what is packed and exchanged is numbers. Other
@@ -191,7 +194,7 @@ def pack_documents(
     """
     pieces = materialize(tokenise(docs, id_col, text_col, capacity, folder).withColumn("key", F.monotonically_increasing_id()), "pieces")
     packed = pack(pieces.select("key", "length"), capacity, group_pieces)
-    return pieces.join(packed, "key").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pieces.join(packed, "key").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_id", "group_bins", "group_bound")
 
 
 def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
