@@ -14,6 +14,8 @@ from .common import bound_batches, crc_fold, materialize
 
 #: Labelled rows per language, whole texts, that the classifiers are fitted on (expected number).
 SAMPLE_PER_LANGUAGE = 2000
+#: Languages that the classifiers are fitted for: those with the most rows, ties by name. Bounds the model and what the driver gets.
+MAX_LANGUAGES = 1000
 #: n-grams of 1 to 3 bytes are hashed to this many features.
 FEATURES = 1 << 14
 PIECE = 1 << 21
@@ -65,6 +67,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """Binary classifiers for the bits of the languages' codewords, from about ``per_language`` rows of each language, or all if there are fewer.
 
+    At most MAX_LANGUAGES languages are fitted.
+
     Rows are taken by a hash of their id, so a fit is repeatable. Features are counted by
     Spark; the driver gets FEATURES x languages counts, and each bit's classifier weighs a feature by the
     log odds of the languages on either side of the bit, each language counting alike. Rows without a
@@ -74,11 +78,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rank = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(5))
     # the bound is met by a threshold on the hash, from each language's count: no language is sorted whole
     space = F.lit(float(1 << 62))
-    share = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("share"))
-    languages = share.collect()  # one row for each language
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    languages = most.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("share")).collect()
     if not languages:
         return {"languages": [], "weights": np.zeros((0, FEATURES), np.float32), "code": np.zeros((0, 0), np.int8), "trust": np.zeros(0)}
-    limit = F.element_at(F.create_map(*[F.lit(x) for r in languages for x in (r["lang"], r["share"])]), F.col("lang"))
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for r in languages for x in (r["lang"], r["share"])]), F.col("lang"))
     sample = rows.filter(F.abs(F.shiftright(rank, 1).cast("double")) / space < limit).select("lang", "text")
     counted = materialize(sample.mapInArrow(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "lang-counts").toPandas()
     names = sorted(counted["lang"].unique())

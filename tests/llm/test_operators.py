@@ -179,6 +179,27 @@ def test_packing_is_whole_and_gapless(spark, sf_dir, group_pieces):
     assert bound <= len(sequences) <= bound * 1.05 + 2
 
 
+def test_certificates_can_be_read_from_the_result(spark):
+    """Groups name their bins and bound; bins of certified groups are as many as said, and exchange never costs bins."""
+    rng = np.random.default_rng(14)
+    lengths = rng.integers(1, 21, 3000)
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "key long, length long")
+    rows = packing.pack(pieces, capacity=20, group_pieces=150).collect()
+    assert len(rows) == 3000
+    bins, groups = defaultdict(int), defaultdict(set)
+    for r in rows:
+        bins[r["sequence_id"]] += int(lengths[r["key"]])
+        groups[r["group_id"], r["group_bins"], r["group_bound"]].add(r["sequence_id"])
+    assert max(bins.values()) <= 20
+    assert len({g for g, _, _ in groups}) == len(groups)
+    for (_, made, bound), own in groups.items():
+        assert bound <= made
+        assert len(own) == made if made == bound else len(own) <= made
+    one = packing.pack(pieces, capacity=20, group_pieces=5000).select("sequence_id").distinct().count()
+    first = sum(made for (g, made, _) in {(g, made, bound) for g, made, bound in groups} if g < 1 << 26)
+    assert packing.lower_bound(lengths, 20) <= one <= len(bins) <= first
+
+
 def test_ids_are_those_of_the_vocabulary_file():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -313,6 +334,52 @@ def test_codewords_differ(n):
         assert min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)) >= 2
 
 
+def brute_language(text, model):
+    """Every n-gram of the text looked up by itself, every codeword's loss summed bit by bit."""
+    data = text.encode("utf-8", "surrogatepass").lower() if text.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode("utf-8", "surrogatepass"))
+    grams, margins = 0, [0.0] * model["code"].shape[1]
+    for i in range(len(data)):
+        for n in (1, 2, 3):
+            if i + 1 >= n:
+                feature = int(langid.ngram_features(np.frombuffer(data[i + 1 - n : i + 1], np.uint8))[n - 1, -1])
+                grams += 1
+                for k in range(len(margins)):
+                    margins[k] += float(model["weights"][k, feature])
+    losses = {}
+    for name, word in zip(model["languages"], model["code"].tolist(), strict=True):
+        losses[name] = sum(t * np.log1p(np.exp(-c * 2.0 * m / grams**0.5)) for t, c, m in zip(model["trust"], word, margins, strict=True))
+    best = min(losses, key=losses.get)
+    return best, 1.0 / sum(np.exp(-4.0 * (x - losses[best])) for x in losses.values())
+
+
+def test_decoding_against_brute_force(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fitted = langid.fit(docs)
+    texts = [r["text"][:400] for r in docs.filter("length(text) > 50").limit(12).collect()] + ["a", "Ü", "ab é", "THE OF"]
+    rng = np.random.default_rng(15)
+    code = langid.codewords(9)
+    weights = rng.normal(0, 0.05, (code.shape[1], langid.FEATURES)).astype(np.float32)
+    many = {"languages": [f"l{i}" for i in range(9)], "weights": weights, "code": code, "trust": rng.dirichlet(np.ones(code.shape[1]))}
+    for model in (fitted, many):
+        for piece in (1 << 21, 17):  # pieces of long texts overlap, so that no n-gram is lost
+            monkeypatch.setattr(langid, "PIECE", piece)
+            got = next(langid._predict(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])]), model)).to_pylist()
+            for text, r in zip(texts, got, strict=True):
+                lang, score = brute_language(text, model)
+                assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(score, abs=1e-6))
+                assert r["ambiguous"] == (score < 0.6)
+
+
+def test_many_languages_are_fitted_with_random_codewords(spark):
+    rng = np.random.default_rng(16)
+    vocabulary = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(30)] for k in range(9)}
+    rows = [(i, " ".join(rng.choice(vocabulary[f"l{i % 9}"], 40)), f"l{i % 9}") for i in range(540)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.filter("doc_id < 360"))
+    got = langid.identify(docs.filter("doc_id >= 360"), model).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 9}" for r in got]) > 0.95
+
+
 # WARC
 
 
