@@ -25,8 +25,9 @@ def exact_dedup(
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256,
     salts: int = 32,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, digest.
+    """One row per input row: id, keep_id, group_size, kept, digest; and ``row_col``, unique numbers stored with the rows, where it is given.
 
     Three steps, each of which compares whole normalised texts, because the text is part of the key:
     partial aggregation deduplicates within each input partition; the shuffle merges groups of
@@ -39,9 +40,10 @@ def exact_dedup(
     repeated rows with that id just one has ``kept`` true. Other columns are ignored, so their names
     may clash. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("norm"))
-    keyed = rows.select("id", "norm", digest(F.col("norm")).alias("key"))
-    table = materialize(keyed.select("id", "key", F.monotonically_increasing_id().alias("rid")), "dedup-keys")
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("norm"), *([number.alias("rid")] if row_col else []))
+    keyed = rows.select("id", "norm", digest(F.col("norm")).alias("key"), *(["rid"] if row_col else []))
+    table = materialize(keyed.select("id", "key", ("rid" if row_col else number.alias("rid"))), "dedup-keys")
     hot = hot_keys(table, "key")
 
     # nulls sort after all ids
@@ -65,13 +67,14 @@ def exact_dedup(
     clear = _resolve(table, groups.filter("texts = 1"), hot, "key")
     collisions = groups.filter("texts > 1").select("key")
     if not collisions.isEmpty():
-        clear = clear.unionByName(_by_text(keyed, collisions))
+        clear = clear.unionByName(_by_text(keyed if row_col else keyed.withColumn("rid", number), collisions))
     return clear.select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),
         F.col("n").cast("long").alias("group_size"),
         F.col("kept"),
         F.lower(F.hex("key")).alias("digest"),
+        *([F.col("rid").alias(row_col)] if row_col else []),
     )
 
 
@@ -85,14 +88,14 @@ def _resolve(table: DataFrame, groups: DataFrame, hot: DataFrame, key: str) -> D
         .agg(F.min("rid").alias("keep_rid"))
     )
     return skew_join(table, kept_row, key, hot).select(
-        "id", "keep", "n", (F.col("rid") == F.col("keep_rid")).alias("kept"), "key"
+        "id", "keep", "n", (F.col("rid") == F.col("keep_rid")).alias("kept"), "key", "rid"
     )
 
 
 def _by_text(keyed: DataFrame, collisions: DataFrame) -> DataFrame:
     """The rows of digests that several texts share, resolved by the texts themselves."""
     table = materialize(
-        keyed.join(collisions, "key", "left_semi").withColumn("rid", F.monotonically_increasing_id()), "dedup-collisions"
+        keyed.join(collisions, "key", "left_semi"), "dedup-collisions"
     )
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
     groups = table.groupBy("norm").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))

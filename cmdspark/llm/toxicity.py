@@ -232,7 +232,11 @@ def _drop_toxic(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], ex
 
 def drop_toxic(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores under ``threshold``. One pass, no shuffle."""
-    return bound_batches(docs).mapInArrow(lambda it: _drop_toxic(it, lexicon, exceptions, text_col, threshold), docs.schema)
+    # under plain names, as mapInArrow can't take names with a dot
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    text = plain[docs.columns.index(text_col)]
+    rows = bound_batches(docs).toDF(*plain)
+    return rows.mapInArrow(lambda it: _drop_toxic(it, lexicon, exceptions, text, threshold), rows.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

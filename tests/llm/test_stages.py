@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cmdspark.llm.common import materialize
@@ -22,6 +23,26 @@ def test_one_row_of_each_class_stays_with_shared_and_null_ids(spark, sf_dir):
     assert Counter(classes[texts.index(t)] for t in kept) == Counter(set(classes.values()))
 
 
+def test_one_row_of_each_text_stays_with_shared_and_null_ids(spark, sf_dir):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (None, "b"), (None, "c"), (None, "c"), (3, None), (3, "")]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "stage")
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in corpus_pipeline.exact(spark, docs, sf_dir).collect()), key=repr)
+    assert kept == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "")], key=repr)
+
+
+def test_columns_named_like_those_of_the_stages_pass_through(spark, sf_dir):
+    names = ["__row", "rid", "id", "key", "norm", "m_words", "m_copies", "m_turn", "copies", "size", "keep_id", "kept", "node", "bands", "a.b", "class_id", "digest", "weight", "score"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = materialize(docs.select("*", *[F.concat(F.lit(n + " "), F.col("doc_id").cast("string")).alias(n) for n in names]), "stage")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        assert docs.columns == columns, name
+        for r in docs.collect():
+            assert all(r[n] == f"{n} {r['doc_id']}" for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).filter("piece = 0").count() == docs.count()
+
+
 def test_mix_meets_its_target_with_shared_and_null_ids(spark, sf_dir):
     for id_ in (None, 7):
         rows = [(id_, " ".join([f"t{i}"] * 10), "s") for i in range(11)]
