@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdspark.llm.common import materialize, words_count
-from cmdspark.llm.exact_dedup import exact_dedup, normalise, sha256
+from cmdspark.llm.exact_dedup import exact_dedup
 from cmdspark.llm.minhash import near_duplicates
 from cmdspark.llm.mixing import mix
 from cmdspark.llm.packing import pack_documents
 from cmdspark.llm.toxicity import drop_toxic, learn_lexicon
 
 
-def _matching(docs: DataFrame, keep: DataFrame, keys: dict) -> DataFrame:
-    """Rows of ``docs`` whose ``keys`` (name in ``keep`` -> expression over ``docs``) are in ``keep``; nulls meet nulls."""
-    extra = [f"__{k}" for k in keys]
-    wide = docs.withColumns(dict(zip(extra, keys.values(), strict=True)))
-    on = None
-    for k, name in zip(keys, extra, strict=True):
-        same = wide[name].eqNullSafe(keep[k])
-        on = same if on is None else on & same
-    return wide.join(keep, on, "left_semi").drop(*extra)
+#: Name of the row numbers, and of what else stages add for a while: no column of the documents begins with it.
+OWN = "__corpus_pipeline_"
+ROW = OWN + "row"
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
     """``docs`` with a unique number of each row, written once, so that every reader sees the same."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _only(rows: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The numbered rows whose number is in ``kept``, with the columns of ``docs``. Numbers are unique, so no key is hot."""
+    return rows.join(kept.select(ROW), ROW, "left_semi").select(*_columns(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,25 +40,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the least id."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.unhex("digest").alias("k_digest"))
-    out = _matching(docs, kept, {"k_id": F.col("doc_id"), "k_digest": sha256(normalise(F.col("text")))})
-    ids = docs.groupBy("doc_id").count().filter("count > 1")
-    # only a table that repeats ids can have two rows of one id and text
-    return out if ids.isEmpty() else out.withColumn("__norm", normalise(F.col("text"))).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
+    rows = _with_row(docs)
+    return _only(rows, exact_dedup(rows, row_col=ROW).filter("kept"), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least id."""
     rows = _with_row(docs)
-    kept = near_duplicates(rows, row_col="__row").filter("kept").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    return _only(rows, near_duplicates(rows, row_col=ROW).filter("kept"), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources takes it."""
     rows = _with_row(docs)
-    mixed = mix(rows, words_count(F.col("text")), row_col="__row").filter("copies > 0").select(F.col("rid").alias("__row"), F.col("copies").cast("int").alias("m_copies"))
-    return rows.join(mixed, "__row").withColumn("m_turn", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*docs.columns)
+    mixed = mix(rows, words_count(F.col("text")), row_col=ROW).filter("copies > 0").select(F.col("rid").alias(ROW), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(OWN + "turns"))
+    return rows.join(mixed, ROW).withColumn(OWN + "turn", F.explode(OWN + "turns")).select(*_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
