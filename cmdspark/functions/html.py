@@ -84,17 +84,26 @@ def _drop(root: Node, tags: frozenset[str]) -> None:
 
 
 def _section(root: Node, name: str) -> Node | None:
-    """The first element with the class, else with a class that contains it."""
+    """The first ``div`` whose class contains ``name-section``, else the first element that has the class ``name`` itself."""
     with_class = [n for n in root.walk() if isinstance(n, Node) and n.attrs.get("class")]
-    return next((n for n in with_class if name in n.classes()), None) or next((n for n in with_class if name in n.attrs["class"]), None)
+    own = (n for n in with_class if n.tag == "div" and f"{name}-section" in n.attrs["class"])
+    return next(own, None) or next((n for n in with_class if name in n.classes()), None)
 
 
-def _pairs(terms) -> list[dict]:
-    out = []
+def _pairs(terms, raw: bool = False) -> list[dict]:
+    """Each term with the next ``dd`` among its later siblings, which several terms may share; ``raw`` terms have their text nodes as they are."""
+    out, following = [], {}
     for dt in terms:
-        after = dt.parent.children[dt.parent.children.index(dt) + 1 :]
-        sibling = next((n for n in after if isinstance(n, Node)), None)
-        out.append({"dt": dt.text(), "dd": sibling.text() if sibling is not None and sibling.tag == "dd" else ""})
+        if id(dt.parent) not in following:
+            # from the last child to the first, so that each child knows the next dd after it
+            after, here = {}, None
+            for child in reversed(dt.parent.children):
+                after[id(child)] = here
+                if isinstance(child, Node) and child.tag == "dd":
+                    here = child
+            following[id(dt.parent)] = after
+        dd = following[id(dt.parent)][id(dt)]
+        out.append({"dt": "".join(dt.strings()).strip() if raw else dt.text(), "dd": dd.text() if dd is not None else ""})
     return out
 
 
@@ -122,16 +131,16 @@ def page_fields(html: str | None) -> dict:
         out["short"] = short.text() if short is not None else ""
         out["paragraphs"] = [p.text() for p in root.all("p")]
         section = _section(root, "syntax")
-        pre = (section.first("pre") if section is not None else None) if section is None or section.tag != "pre" else section
+        pre = section if section is None or section.tag == "pre" else section.first("pre")
         out["syntax_graph"] = pre.strings() if pre is not None else []
         arguments = _section(root, "arguments") or _section(root, "options")
         if arguments is not None:
-            out["arguments"] = _pairs(arguments.all("dt"))
+            out["arguments"] = _pairs(arguments.all("dt"), raw=True)
             dl, ul = arguments.first("dl"), arguments.first("ul")
             out["first_dl"] = _pairs(dl.all("dt")) if dl is not None else []
             out["first_ul"] = [li.text() for li in ul.all("li")] if ul is not None else []
         described = _section(root, "description")
-        out["description"] = described.text() if described is not None and described is not short else ""
+        out["description"] = described.text() if described is not None else ""
         examples = _section(root, "example")
         if examples is not None:
             code = examples if examples.tag == "pre" else examples.first("pre")

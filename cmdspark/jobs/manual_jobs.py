@@ -25,10 +25,33 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manual.parse_pages(manual_pages(spark, sf_dir))
 
 
+def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in a manual's layout: the advertisement is the short description; links make the terms, of which two share a text and one is repeated; each fifth page has no description."""
+    html = F.col("html")
+    for old, new in (*_SWAPS[:2], *_SWAPS[3:]):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    nav = F.regexp_extract("html", "(?s)<nav><ul>(.*?)</ul></nav>", 1)
+    word = F.regexp_extract("html", '<a href="/([^"]*)"', 1)
+    command = F.concat(F.lit("page_"), F.col("page_id").cast("string"))
+    terms = F.regexp_replace(nav, '<li><a href="/([^"]*)">([^<]*)</a></li>', "<dt> -$1 v</dt> <dt>-<i>all</i></dt><dd>$2</dd>")
+    sections = F.concat(
+        F.lit('<div class="x syntax-section">Form<pre>'), command, F.lit("\n   [-"), word, F.lit(" ]\n\n <b>[-all</b> v ]\n</pre></div>"),
+        F.lit('<div class="arguments-section"><dl>'), terms, F.lit("</dl><ul><li>note</li><li> </li></ul></div>"),
+        F.lit('<div class="example-section">Use:<pre>\nrun_x '), word, F.lit("\nset_y</pre> then report_z</div>"),
+    )
+    described = F.when(F.col("page_id") % 5 == 0, html).otherwise(F.replace(F.replace(html, F.lit("<article>"), F.lit('<div class="description-section">')), F.lit("</article>"), F.lit("</div>")))
+    page = F.replace(F.replace(described, F.lit('<div class="ad">'), F.lit('<div class="short-description">')), F.lit("<footer>"), F.concat(sections, F.lit("<footer>")))
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("docs/man_"), command, F.lit(".htm")).alias("path"), F.replace(page, F.lit("<nav>"), F.lit('<nav class="related-links">')).alias("html"))
+
+
 def m1_pages(spark, sf_dir):
-    """Whole records; texts by length and digest."""
-    r = records(spark, sf_dir)
-    return r.select("command", "category", F.md5("title").alias("title_md5"), F.md5("description").alias("description_md5"), F.length("first_paragraph").alias("first_chars"), F.array_join("related", " ").alias("related"), F.array_join("depends_on", " ").alias("depends_on"), "error")
+    """Whole records of pages in a manual's layout; long texts by digest."""
+    r = manual.parse_pages(layout_pages(spark, sf_dir))
+    options = F.array_join(F.array_sort(F.transform(F.map_entries("options"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return r.select(
+        "command", "category", F.md5("title").alias("title_md5"), "syntax", options.alias("options"), F.md5("options_text").alias("options_text_md5"), F.md5("description").alias("description_md5"),
+        F.md5("first_paragraph").alias("first_paragraph_md5"), "examples", "examples_flat", F.array_join("related", " ").alias("related"), F.array_join("depends_on", " ").alias("depends_on"), "error",
+    )
 
 
 def m2_names(spark, sf_dir):
@@ -71,7 +94,35 @@ r AS (SELECT 'page_' || page_id AS command, regexp_extract(html, '<html lang="([
              list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="/([^"]*)"', 1), lambda x: replace(x, '.htm', '')))) AS related,
              list_sort(list_distinct(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '\b(?:set|run|report)_[a-z0-9_]+\b'))) AS depends FROM p)
 """
+
+
+def _plain(x: str) -> str:
+    return f"""replace(replace(replace(replace({x}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+
+
+def _clean(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '<[^>]*>'), lambda s: {_plain('trim(s, chr(32) || chr(9) || chr(10) || chr(13))')}), lambda s: s <> ''), ' ')"
+
+
+_LAYOUT = _PAGES + rf""",
+q AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM p),
+w AS (SELECT page_id, html, article, list_transform(regexp_extract_all(nav, '<a href="/([^"]*)"', 1), lambda x: {_plain('x')}) AS words, list_transform(regexp_extract_all(nav, '<a href="/[^"]*">([^<]*)</a>', 1), lambda x: trim({_plain('x')})) AS texts FROM q),
+n AS (SELECT page_id, words, texts, unnest(range(1, len(words) + 1)) AS i FROM w),
+t AS (SELECT page_id, i * 2 AS ord, regexp_extract('-' || words[i], '^-[A-Za-z_][A-Za-z0-9_]*', 0) AS flag, '-' || words[i] || ' v : ' || texts[i] AS line, texts[i] AS text FROM n
+      UNION ALL SELECT page_id, i * 2 + 1, '-all', '- all : ' || texts[i], texts[i] FROM n),
+m AS (SELECT page_id, flag, max_by(text, ord) AS text FROM t WHERE flag <> '' GROUP BY 1, 2),
+o AS (SELECT page_id, string_agg(flag || '=' || text, ';' ORDER BY flag || '=' || text) AS options FROM m GROUP BY 1),
+l AS (SELECT page_id, string_agg(line, chr(10) ORDER BY ord) || chr(10) || 'note' AS lines FROM t GROUP BY 1),
+d AS (SELECT page_id, words[1] AS word, CASE WHEN page_id % 5 <> 0 THEN {_clean('article')} ELSE '' END AS description, {_clean("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS short,
+             list_filter(list_transform(regexp_split_to_array(article, '<p>')[2:], lambda x: {_clean("split_part(x, '</p>', 1)")}), lambda x: length(x) > 20)[1] AS paragraph FROM w)
+"""
 SQL = {
+    "m1_pages": _LAYOUT
+    + r"""SELECT command, category, md5(title) AS title_md5, command || ' [-' || word || '] [-all v]' AS syntax, options, md5(lines) AS options_text_md5, md5(CASE WHEN description = '' THEN short ELSE description END) AS description_md5,
+          md5(coalesce(paragraph, '')) AS first_paragraph_md5, 'Use:' || chr(10) || 'run_x ' || word || chr(10) || 'set_y' || chr(10) || 'then report_z' AS examples, 'run_x ' || word || chr(10) || 'set_y' AS examples_flat,
+          array_to_string(related, ' ') AS related,
+          array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(description, '\b(?:set|run|report)_[a-z0-9_]+\b'), ['run_x', 'set_y', 'report_z']))), ' ') AS depends_on, NULL::VARCHAR AS error
+          FROM r JOIN d ON r.command = 'page_' || d.page_id JOIN o USING (page_id) JOIN l USING (page_id)""",
     "m2_names": _PAGES + "SELECT command, category FROM r",
     "m4_titles": _PAGES + "SELECT command, title FROM r",
     "m12_related": _PAGES + "SELECT command, array_to_string(related, ' ') AS related FROM r",

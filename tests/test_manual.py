@@ -32,6 +32,26 @@ def test_page(spark):
     assert r["null"]["error"] == "no page"
 
 
+LAYOUT = """<html data-mc-toc-path="Ref|DRC"><body><div class="lead short-description">Short</div><span class="syntax-section"><pre>not this</pre></span>
+<div class="c syntax-section">Syntax<pre>run_drc
+  [-a | -b ]</pre></div>
+<div class="arguments-section"><dl><dt>-a n</dt><!-- x --><dt>-<b>b</b></dt><dd>both</dd><dt>-c</dt></dl></div>
+<div class="description-section">See set_drc.</div><div class="example-section">One<pre>report_drc</pre></div></body></html>"""
+
+
+def test_page_in_a_manuals_layout(spark):
+    """The full description isn't taken for the short one, and terms share the next definition."""
+    p = manual.parse_pages(spark.createDataFrame([("man_run_drc.htm", LAYOUT)], "path string, html string")).first()
+    assert p["description"] == "See set_drc."
+    assert p["depends_on"] == ["report_drc", "set_drc"]
+    assert p["syntax"] == "run_drc [-a | -b]"
+    assert p["options"] == {"-a": "both", "-b": "both", "-c": ""}
+    assert p["options_text"] == "-a n : both\n- b : both\n-c : "
+    assert (p["examples"], p["examples_flat"]) == ("One\nreport_drc", "report_drc")
+    without = LAYOUT.replace("description-section", "other")
+    assert manual.parse_pages(spark.createDataFrame([("man_run_drc.htm", without)], "path string, html string")).first()["description"] == "Short"
+
+
 def test_unclosed_paragraphs_end_where_the_next_begins():
     assert page_fields("<p>one<p>two<ul><li>a<li>b</ul>")["paragraphs"] == ["one", "two"]
 
