@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from difflib import get_close_matches
+from difflib import SequenceMatcher, get_close_matches
+
+import pyarrow as pa
 
 CUTOFF = 0.6
 
@@ -16,3 +18,14 @@ def nearest(words: list[str | None], known: list[list[str] | None]) -> list[str
         found = get_close_matches(word, possible, n=1, cutoff=CUTOFF) if possible else []
         out.append(found[0] if found else None)
     return out
+
+
+def nearest_of_block(words: pa.Table, names: pa.Table) -> pa.Table:
+    """(word, ratio, name): for each word of a block the best name of a block, where one has a ratio of CUTOFF or more."""
+    known = names.column("name").to_pylist()
+    out = []
+    for word in words.column("word").to_pylist():
+        name = nearest([word], [known])[0]
+        if name is not None:
+            out.append((word, SequenceMatcher(None, name, word).ratio(), name))
+    return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))], ["word", "ratio", "name"])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 _BLANK = " \t"
 TOKENS = "struct<plain:array<string>,items:array<struct<kind:string,name:string,args:array<string>>>>"
@@ -34,24 +36,22 @@ def tokenise(line: str, keep_quotes: bool = False) -> list[str]:
 
 
 def structure(tokens: list[str]) -> list[tuple[str, str, list[str]]]:
-    """(kind, name, args): the command, flags with all plain words that follow them, and other words as positionals."""
-    items: list[tuple[str, str, list[str]]] = []
-    if tokens:
-        items.append(("cmd", tokens[0], []))
-    at = 1
-    while at < len(tokens):
-        word = tokens[at]
-        at += 1
-        if not word.startswith("-"):
-            items.append(("positional", word, []))
-            continue
-        name, equals, value = word.partition("=")
-        args = [value] if equals and value else []
-        if not equals:
-            while at < len(tokens) and not tokens[at].startswith("-"):
-                args.append(tokens[at])
-                at += 1
-        items.append(("flag_arg" if args or equals else "flag", name, args))
+    """(kind, name, args): the command, flags with all plain words that follow them, and other words as positionals.
+
+    A word belongs to the flags counted up to it: those of count 0 stand alone, others are arguments of the
+    flag that opens their count, unless that brought its own by an equals sign.
+    """
+    rest = tokens[1:]
+    counted = zip(accumulate(word.startswith("-") for word in rest), rest, strict=True)
+    items: list[tuple[str, str, list[str]]] = [("cmd", word, []) for word in tokens[:1]]
+    for flags, group in groupby(counted, key=itemgetter(0)):
+        words = [word for _, word in group]
+        if flags:
+            name, equals, value = words.pop(0).partition("=")
+            args = [value] * bool(value) if equals else words
+            items.append(("flag_arg" if args or equals else "flag", name, args))
+            words = words if equals else []
+        items += [("positional", word, []) for word in words]
     return items
 
 

@@ -6,12 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a continuation, white space, a brace glued to a word on either side, and a flag glued to a word look like, and what each becomes.
+CONTINUATION, BACKSLASH = "\\\n", "\\"
+BLANKS = (r"(?U)\s+", " ")
+OPEN_BRACE, CLOSE_BRACE = (r"(\S)\{", r"$1 {"), (r"\}(\S)", r"} $1")
+GLUED_FLAG = ("([a-zA-Z_]+)-([a-zA-Z_]+)", "$1 -$2")
+
+
 def clean_text(line: Column) -> Column:
     """Continuations and backslashes, white space, glued braces, glued flags. Null and empty lines stay as they are."""
-    out = F.replace(F.replace(line, F.lit("\\\n"), F.lit(" ")), F.lit("\\"), F.lit(" "))
-    out = F.regexp_replace(out, r"(?U)\s+", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(\S)\{", r"$1 {"), r"\}(\S)", r"} $1")
-    out = F.regexp_replace(out, "([a-zA-Z_]+)-([a-zA-Z_]+)", "$1 -$2")
+    out = F.replace(F.replace(line, F.lit(CONTINUATION), F.lit(" ")), F.lit(BACKSLASH), F.lit(" "))
+    for pattern, new in (BLANKS, OPEN_BRACE, CLOSE_BRACE, GLUED_FLAG):
+        out = F.regexp_replace(out, pattern, new)
     return F.when(line == "", line).otherwise(out)
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Beginnings of lines that are comments and of lines that belong to other tools, prompts, commands that count as noise, flags.
 COMMENT = r"^(#|//|;)"
-FOREIGN = r"(?i)^(module|wire|assign|always|initial|set\s+[a-z]|setenv|bsub|qsub|Command:|vcs)"
-PROMPT = r"^(TEST-T>|tmax|>)\s*"
+FOREIGN = r"(?i)^(module|wire|assign|always|initial|set\s+[A-Z]|setenv|bsub|qsub|Command:|vcs)"
+PROMPT = r"^(?:TEST-T>|tmax|>)\s*"
 NOISE = r"^(report_|get_|man_)"
 FLAG = r"-([a-zA-Z_][a-zA-Z0-9_]*)"
 MIN_BLOCK = 20
@@ -62,15 +62,19 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 def match_commands(lines: DataFrame, commands: list[str] | DataFrame) -> DataFrame:
     """Lines with their command, the first of their first three words whose lower case is known; others are dropped.
 
-    A list of names becomes a constant of the plan; a catalogue table (command) is joined, by broadcast
-    if Spark finds it small enough.
+    A list of names becomes a constant of the plan; a catalogue table (command) is joined to each of the
+    three words, by broadcast if Spark finds it small enough. Every line stays a row of its own.
     """
     words = F.slice(F.split(F.col("line"), r"(?U)\s+"), 1, 3)
     lower = F.transform(words, F.lower)
     if isinstance(commands, DataFrame):
-        known = commands.select(F.col("command").alias("word")).distinct()
-        tried = lines.withColumn("row", F.struct(*lines.columns)).select("row", F.posexplode(lower).alias("at", "word")).join(known, "word")
-        return tried.groupBy("row").agg(F.min_by("word", "at").alias("command")).select("row.*", "command")
+        known = commands.select("command").distinct()
+        tried = lines.withColumn("tried", lower)
+        for at in range(3):
+            word = known.select(F.col("command").alias(f"word_{at}"))
+            tried = tried.join(word, F.get("tried", F.lit(at)) == F.col(f"word_{at}"), "left")
+        words = [f"word_{at}" for at in range(3)]
+        return tried.withColumn("command", F.coalesce(*words)).filter("command is not null").drop("tried", *words)
     names = F.array(*[F.lit(c) for c in commands])
     found = F.filter(lower, lambda w: F.array_contains(names, w))
     return lines.withColumn("command", F.get(found, F.lit(0))).filter("command is not null")

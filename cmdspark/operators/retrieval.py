@@ -30,16 +30,19 @@ def expand(query: Column, hint: Column) -> Column:
 def hashed_terms(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The offline encoder: (id, embedding) with the counts of the normalised text's words by a byte of their hash.
 
-    Words are counted by (id, slot) with map-side combining, so a text of any length leaves at most
-    DIMENSIONS rows. Null texts have no terms.
+    One row per input row. Words are counted by (row, slot) with map-side combining, so a text of any
+    length leaves at most DIMENSIONS rows. Null texts have no terms.
     """
     words = F.filter(F.split(normalise(F.coalesce(F.col(text_col), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
     slot = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int")
-    counts = texts.select(id_col, F.explode(words).alias("word")).groupBy(id_col, slot.alias("slot")).agg(F.count(F.lit(1)).cast("float").alias("n"))
-    sparse = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("slots"))
+    # rows are numbered, as ids may be repeated or null; a row without words stays as one without a word
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
+    each = numbered.select("row", "id", F.explode_outer("words").alias("word"))
+    counts = each.groupBy("row", "id", slot.alias("slot")).agg(F.count("word").cast("float").alias("n"))
+    entry = F.when(F.col("slot").isNotNull(), F.struct("slot", "n"))
+    sparse = counts.groupBy("row", "id").agg(F.map_from_entries(F.collect_list(entry)).alias("slots"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("slots", i), F.lit(0.0).cast("float")))
-    none = F.array_repeat(F.lit(0.0).cast("float"), DIMENSIONS)
-    return texts.select(id_col).join(sparse.select(id_col, dense.alias("embedding")), id_col, "left").withColumn("embedding", F.coalesce("embedding", none))
+    return sparse.select(F.col("id").alias(id_col), dense.alias("embedding"))
 
 
 def embed(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:

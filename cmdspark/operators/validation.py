@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cmdspark.functions.batches import append_column
-from cmdspark.functions.similarity import nearest
+from cmdspark.functions.shipping import ship_package
+from cmdspark.functions.similarity import nearest, nearest_of_block
 from cmdspark.functions.tokens import TOKENS, line_tokens
 
 from .cleaning import clean
@@ -88,21 +89,41 @@ def level1(found: DataFrame) -> DataFrame:
     ).withColumn("l1_valid", exists & (F.size("unknown_options") == 0))
 
 
-def suggest(validated: DataFrame, catalogue: DataFrame, max_names: int = 100_000) -> DataFrame:
-    """V4, V8: (command, word, suggestion) for distinct unknown commands (word null) and flags of known ones.
+#: Words and names of one block; every pair of blocks is a task.
+SUGGEST_BLOCK = 2000
 
-    Names of commands, one list for all, come as a constant of the plan after their number is checked;
-    flags are compared with their own command's options only.
+
+def nearest_names(words: DataFrame, names: DataFrame, block: int = SUGGEST_BLOCK) -> DataFrame:
+    """(word, name) of the nearest of ``names`` (name) for each of ``words`` (word), if one is near; ties to the larger name.
+
+    Both are dealt to blocks and each pair of blocks is compared by one task, so neither side has a limit
+    and no list of names goes through the driver or the plan.
+    """
+    ship_package(words.sparkSession)
+    words, names = words.distinct(), names.distinct()
+    word_blocks, name_blocks = (max(1, -(-df.count() // block)) for df in (words, names))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(*df.columns), F.lit(blocks))
+        pairs = df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+        return pairs.groupBy("word_place", "name_place")
+
+    left = dealt(words, "word_place", word_blocks, "name_place", name_blocks)
+    right = dealt(names, "name_place", name_blocks, "word_place", word_blocks)
+    found = left.cogroup(right).applyInArrow(nearest_of_block, "word string, ratio double, name string")
+    return found.groupBy("word").agg(F.max(F.struct("ratio", "name")).alias("best")).select("word", F.col("best.name").alias("name"))
+
+
+def suggest(validated: DataFrame, catalogue: DataFrame, block: int = SUGGEST_BLOCK) -> DataFrame:
+    """V4, V8: (command, flag, suggestion) for distinct unknown commands (flag null) and flags of known ones.
+
+    Commands are compared with all names, block by block; flags with their own command's options only.
     """
-    names = [r["command"] for r in catalogue.select("command").distinct().limit(max_names + 1).collect()]
-    if len(names) > max_names:
-        raise ValueError(f"over {max_names} commands: compare by blocks of the catalogue")
-    bad = validated.filter(~F.col("command_exists") & F.col("command").isNotNull()).select("command").distinct()
-    all_names = F.array(*[F.lit(n) for n in sorted(names)]) if names else F.array().cast("array<string>")
-    commands = bad.select("command", F.lit(None).cast("string").alias("flag"), F.col("command").alias("word"), all_names.alias("known"))
+    bad = validated.filter(~F.col("command_exists") & F.col("command").isNotNull()).select(F.col("command").alias("word"))
+    commands = nearest_names(bad, catalogue.select(F.col("command").alias("name")), block)
     flags = validated.select("command", F.explode("unknown_options").alias("flag")).distinct().join(catalogue.select("command", "options"), "command")
-    words = commands.unionByName(flags.select("command", "flag", F.col("flag").alias("word"), F.col("options").alias("known")))
-    return append_column(words, "suggestion", "string", nearest, "word", "known").filter("suggestion is not null").select("command", "flag", "suggestion")
+    found = append_column(flags, "suggestion", "string", nearest, "flag", "options").filter("suggestion is not null")
+    return commands.select(F.col("word").alias("command"), F.lit(None).cast("string").alias("flag"), F.col("name").alias("suggestion")).unionByName(found.select("command", "flag", "suggestion"))
 
 
 def _used(found: DataFrame) -> DataFrame:

@@ -37,6 +37,14 @@ def test_catalogue_table_matches_like_a_list(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_catalogue_table_keeps_repeated_rows(spark):
+    lines = spark.createDataFrame([("s", "run_drc a"), ("s", "run_drc a"), ("s", "x Run_ATPG run_drc"), ("s", "a b c run_drc"), ("s", "none")], "script_id string, line string")
+    table = spark.createDataFrame([(c,) for c in [*COMMANDS, *COMMANDS]], "command string")
+    for commands in (COMMANDS, table):
+        got = sorted((r["line"], r["command"]) for r in mining.match_commands(lines, commands).collect())
+        assert got == [("run_drc a", "run_drc"), ("run_drc a", "run_drc"), ("x Run_ATPG run_drc", "run_atpg")]
+
+
 def test_continued_line_keeps_its_flags(spark):
     lines = mining.match_commands(mining.clean_lines(mining.logical_lines(mining.blocks(frame(spark, SCRIPT)))), COMMANDS)
     used = {(r["command"], r["flag"]) for r in mining.flag_usage(lines).collect()}

@@ -50,3 +50,9 @@ def test_blocks_do_not_change_the_result(spark):
         got = ranked(spark, docs, queries, **blocks)
         assert len(got) == len(set(got))
         assert set(got) == want
+
+
+def test_hashed_terms_of_repeated_and_null_ids(spark):
+    rows = [(1, "a_b b"), (1, "c"), (None, "a"), (None, None), (2, " "), (3, "x " * 5000)]
+    got = sorted((repr(r["id"]), int(sum(r["embedding"]))) for r in retrieval.hashed_terms(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect())
+    assert got == sorted([("1", 3), ("1", 1), ("None", 1), ("None", 0), ("2", 0), ("3", 5000)])

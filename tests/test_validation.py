@@ -1,3 +1,6 @@
+import random
+from difflib import get_close_matches
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +117,14 @@ def test_suggestions(spark, catalogue):
     done = validation.validate(spark.createDataFrame([("run_atgp",), ("run_atpg -autt",), ("zzzz",)], "cmd_line string"), catalogue)
     got = {(r["command"], r["flag"]): r["suggestion"] for r in validation.suggest(done, catalogue).collect()}
     assert got == {("run_atgp", None): "run_atpg", ("run_atpg", "-autt"): "-auto"}
+
+
+def test_suggestions_do_not_depend_on_blocks(spark):
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abcd_") for _ in range(rng.randint(3, 8))) for _ in range(120)})
+    words = sorted({"".join(rng.choice("abcd_") for _ in range(rng.randint(2, 9))) for _ in range(60)} | {names[0]})
+    want = {(w, found[0]) for w in words if (found := get_close_matches(w, names, n=1, cutoff=0.6))}
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    for block in (2000, 17):
+        assert {(r["word"], r["name"]) for r in validation.nearest_names(w, n, block).collect()} == want
