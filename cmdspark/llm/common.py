@@ -45,7 +45,7 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     return materialize(df.groupBy(key).count().filter(F.col("count") * share > F.lit(total)).select(key), "hot")
 
 
-def bound_batches(df: DataFrame, size: str = "32m") -> DataFrame:
+def bound_batches(df: DataFrame, size: str = "8m") -> DataFrame:
     """Make ready for Python tasks: this package is sent along, and Arrow batches end at ``size`` too unless the session sets its own bound."""
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf

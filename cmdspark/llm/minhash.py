@@ -15,8 +15,8 @@ WORDS = 5
 THRESHOLD = 0.8
 #: With 30 bands of 6 rows a pair at similarity 0.8 shares a band with probability 0.9999, at 0.3 with 0.02.
 BANDS, ROWS = 30, 6
-#: Bytes of text hashed at a time, so that arrays stay at some tens of MB whatever a document's length.
-PIECE = 1 << 22
+#: Bytes of text and documents hashed at a time, so that arrays stay at some tens of MB whatever the documents' lengths.
+PIECE, PIECE_DOCS = 1 << 20, 2048
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 
@@ -116,13 +116,13 @@ def prob_minhash(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with about PIECE bytes of text, their UTF-8 and each document's bounds in it; null text is empty."""
+    """Slices of a batch with about PIECE bytes of text and PIECE_DOCS documents at most, their UTF-8 and each document's bounds in it; null text is empty."""
     text = batch.column("text").cast(pa.large_string()).fill_null("")
     bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
     a = 0
     while a < len(text):
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + PIECE, "right")) - 1)
+        b = min(a + PIECE_DOCS, max(a + 1, int(np.searchsorted(bounds, bounds[a] + PIECE, "right")) - 1))
         yield batch.slice(a, b - a), data[bounds[a] : bounds[b]], bounds[a : b + 1]
         a = b
 
@@ -310,11 +310,13 @@ def near_duplicates(
         .groupBy("who", "and_who", "members").agg(F.min(F.struct("bucket", "major")).alias("b"))  # bands whose buckets have the same members need one comparison
         .select(
             F.col("b.bucket").alias("bucket"), F.col("b.major.comp").alias("major"),
-            F.ceil(F.col("b.major.n") / block).cast("int").alias("major_blocks"), F.ceil((F.col("members") - F.col("b.major.n")) / block).cast("int").alias("other_blocks"),
+            # what fits one block is one; else the largest component has blocks of its own
+            F.when(F.col("members") > block, F.ceil(F.col("b.major.n") / block)).otherwise(F.lit(0)).cast("int").alias("major_blocks"),
+            F.when(F.col("members") > block, F.ceil((F.col("members") - F.col("b.major.n")) / block)).otherwise(F.lit(1)).cast("int").alias("other_blocks"),
         )
     )
     # blocks of the bucket's largest component come first; its members are joined already, so those blocks only meet the others
-    is_major, spot = F.col("comp") == F.col("major"), F.xxhash64("node", F.lit(1))
+    is_major, spot = (F.col("comp") == F.col("major")) & (F.col("major_blocks") > 0), F.xxhash64("node", F.lit(1))
     spread = (
         placed.join(mixed, "bucket")
         .withColumn("place", F.when(is_major, F.pmod(spot, "major_blocks")).otherwise(F.col("major_blocks") + F.pmod(spot, "other_blocks")).cast("int"))
