@@ -101,10 +101,6 @@ def v28_findings(spark, sf_dir):
     return found.groupBy("level", "severity", "code").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def v28_report(spark, sf_dir):
-    return validation.report(validated(spark, sf_dir))
-
-
 def v4_suggestions(spark, sf_dir):
     known = catalogue(spark)
     return validation.suggest(validated(spark, sf_dir), known)
@@ -137,7 +133,7 @@ def r4_rule_status(spark, sf_dir):
     return rules.with_rules(part_catalogue(spark, sf_dir)).select("command", F.col("rules.status").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (t9_line_flags, t10_flag_usage, n_clean_lines, v1_tokens, v10_structure, v3_level1, v9_script_level1, v11_level2, v22_level3, v28_findings, v28_report, v4_suggestions, r1_flag_rules, r2_mutex_groups, r3_positionals, r4_rule_status)}
+QUERIES = {f.__name__: f for f in (t9_line_flags, t10_flag_usage, n_clean_lines, v1_tokens, v10_structure, v3_level1, v9_script_level1, v11_level2, v22_level3, v28_findings, v4_suggestions, r1_flag_rules, r2_mutex_groups, r3_positionals, r4_rule_status)}
 
 _EVENT_LINES = f"""
 WITH li AS (SELECT event_id, user_id::VARCHAR AS session_id,
@@ -195,6 +191,8 @@ f3 AS (SELECT cmd_line, CASE WHEN i IS NULL THEN 'error:wrong_type:-k' WHEN comm
 g3 AS (SELECT cmd_line, string_agg(f, ',' ORDER BY f) AS l3 FROM f3 WHERE f IS NOT NULL GROUP BY 1),
 v3 AS (SELECT v2.*, coalesce(l3, '') AS l3, l2_valid AND l3 IS NULL AS valid FROM v2 LEFT JOIN g3 USING (cmd_line))
 """
+#: The lines and their verdicts at three levels, for other jobs: li and v3.
+VALIDATED_SQL = _EVENT_LINES + _L3
 _PARTS = """
 WITH p AS (SELECT p_partkey AS k, 'part_' || p_partkey AS command, array_to_string(string_split(lower(p_type), ' '), '|') AS choices, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AS ok FROM part)
 """
@@ -214,6 +212,24 @@ SQL = {
     "v28_findings": _EVENT_LINES + _L3
     + """SELECT level::INT AS level, split_part(f, ':', 1) AS severity, split_part(f, ':', 2) AS code, count(*) AS lines
          FROM (SELECT 1 AS level, f FROM f1 UNION ALL SELECT 2, f FROM f2 UNION ALL SELECT 3, f FROM f3) WHERE f IS NOT NULL GROUP BY 1, 2, 3""",
+    "v4_suggestions": _EVENT_LINES + _L1
+    + """,
+near(command, flag, suggestion) AS (VALUES ('iew', NULL, 'view'), ('lick', NULL, 'click'), ('urchase', NULL, 'purchase'), ('ignup', NULL, 'signup'), ('rror', NULL, 'error'), ('view', '-mode', '-none'), ('click', '-none', '-mode'))
+SELECT DISTINCT near.* FROM near JOIN v1 ON v1.command = near.command LEFT JOIN fl ON fl.cmd_line = v1.cmd_line WHERE near.flag IS NULL OR near.flag = fl.flag""",
+    "v9_script_level1": _EVENT_LINES + _RAW_TOKENS
+    + f""",
+cat AS (SELECT * FROM (VALUES {_NAMES}) t(command, category, options)),
+un AS (SELECT event_id, string_agg(split_part(tok, '=', 1), ' ' ORDER BY pos) AS unknown FROM w JOIN cat USING (command) WHERE starts_with(tok, '-') AND NOT list_contains(options, split_part(tok, '=', 1)) GROUP BY 1)
+SELECT session_id AS script_id, event_id AS line_no, cat.command IS NOT NULL AS command_exists, cat.command IS NOT NULL AND unknown IS NULL AS l1_valid, coalesce(unknown, '') AS unknown
+FROM li JOIN tk USING (event_id) LEFT JOIN cat ON cat.command = toks[1] LEFT JOIN un USING (event_id)""",
+    "v10_structure": _EVENT_LINES + _RAW_TOKENS
+    + """,
+f AS (SELECT event_id, grp, pos, split_part(tok, '=', 1) AS name, contains(tok, '=') AS eq, split_part(tok, '=', 2) AS val FROM w WHERE starts_with(tok, '-')),
+a AS (SELECT w.event_id, w.grp, string_agg(tok, ' ' ORDER BY w.pos) AS args FROM w JOIN f ON f.event_id = w.event_id AND f.grp = w.grp AND w.pos > f.pos AND NOT eq GROUP BY 1, 2),
+it AS (SELECT event_id, 1 AS spot, 'cmd' AS kind, toks[1] AS name, '' AS args FROM tk
+       UNION ALL SELECT event_id, pos, CASE WHEN eq OR args IS NOT NULL THEN 'flag_arg' ELSE 'flag' END, name, CASE WHEN eq THEN val ELSE coalesce(args, '') END FROM f LEFT JOIN a USING (event_id, grp)
+       UNION ALL SELECT w.event_id, w.pos, 'positional', tok, '' FROM w LEFT JOIN f ON f.event_id = w.event_id AND f.grp = w.grp WHERE w.grp = 0 OR eq AND w.pos > f.pos)
+SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY spot) - 1)::INT AS pos, kind, name, args FROM it""",
     "r1_flag_rules": _PARTS
     + """SELECT command, f.flag, f.ord::INT AS ord, f.type, (CASE WHEN f.flag = '-size' AND k % 3 = 0 THEN 2 ELSE f.n END)::INT AS n_args, f.choices
          FROM p, (VALUES ('-size', 0, 'value', 1, ''), ('-box', 1, 'block', 1, ''), ('-cold', 2, 'boolean', 0, ''), ('-hot', 3, 'boolean', 0, ''), ('-unit', 4, 'choice', 1, 'mm|cm'), ('-v', 5, 'boolean', 0, '')) f(flag, ord, type, n, choices) WHERE ok""",

@@ -122,6 +122,12 @@ def advise(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES) -
     )
 
 
+def advice_report(report: Column, warnings: Column, suggestions: Column) -> Column:
+    """V28 at level 4: a line's report with the session's warnings and suggestions below it."""
+    told = F.concat(F.transform(warnings, lambda w: F.concat(F.lit("  warning L4: "), w)), F.transform(suggestions, lambda x: F.concat(F.lit("  suggestion L4: "), x)))
+    return F.concat_ws("\n", report, told)
+
+
 def final_state(log: DataFrame, rules: StateRules = DEFAULT_RULES) -> DataFrame:
     """One row per session: its flags and its last valid command after the whole log; partial aggregates, no window."""
     last = {

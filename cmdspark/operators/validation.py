@@ -6,24 +6,34 @@ line and of its command's catalogue row, which one join brings. No check shuffle
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cmdspark.functions.batches import append_column
 from cmdspark.functions.shipping import ship_package
 from cmdspark.functions.similarity import nearest, nearest_of_block
+from cmdspark.functions.storage import materialize
 from cmdspark.functions.tokens import TOKENS, line_tokens
 
 from .cleaning import clean
 
-FINDING = "struct<level:int,severity:string,code:string,subject:string>"
+#: ``subject`` is what a finding is about; ``expected`` what would be right and ``given`` what there was, where a check has them.
+FINDING = "struct<level:int,severity:string,code:string,subject:string,expected:string,given:string>"
 #: Warnings for a pair of flags, and for a value together with a small number.
 PAIRS = (("run_atpg", "-auto_compression", "-optimize_patterns"),)
 LIMITS = (("set_atpg", "-merge", "high", "-abort_limit", 10),)
 
 
-def finding(level: int, severity: str, code: str, subject: Column) -> Column:
-    return F.struct(F.lit(level).alias("level"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), subject.cast("string").alias("subject"))
+def finding(level: int, severity: str, code: str, subject: Column, expected: Column | None = None, given: Column | None = None) -> Column:
+    values = {"subject": subject, "expected": expected, "given": given}
+    texts = [(F.lit(None) if v is None else v).cast("string").alias(k) for k, v in values.items()]
+    return F.struct(F.lit(level).alias("level"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), *texts)
+
+
+def listed(values: Column) -> Column:
+    return F.array_join(values, ", ")
 
 
 def none() -> Column:
@@ -34,8 +44,8 @@ def when_all(condition: Column, *found: Column) -> Column:
     return F.when(condition, F.concat(*found)).otherwise(none())
 
 
-def one(condition: Column, level: int, severity: str, code: str, subject: Column) -> Column:
-    return F.when(condition, F.array(finding(level, severity, code, subject))).otherwise(none())
+def one(condition: Column, level: int, severity: str, code: str, subject: Column, expected: Column | None = None, given: Column | None = None) -> Column:
+    return F.when(condition, F.array(finding(level, severity, code, subject, expected, given))).otherwise(none())
 
 
 def each(values: Column, level: int, severity: str, code: str) -> Column:
@@ -100,7 +110,7 @@ def nearest_names(words: DataFrame, names: DataFrame, block: int = SUGGEST_BLOCK
     and no list of names goes through the driver or the plan.
     """
     ship_package(words.sparkSession)
-    words, names = words.distinct(), names.distinct()
+    words, names = materialize(words.distinct(), "unknown-words"), materialize(names.distinct(), "known-names")
     word_blocks, name_blocks = (max(1, -(-df.count() // block)) for df in (words, names))
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
@@ -139,14 +149,14 @@ def _flag_checks() -> Column:
     def check(use: Column) -> Column:
         rule = F.get(F.filter("rules.flags", lambda r: r["flag"] == use["flag"]), F.lit(0))
         count, first = F.size(use["args"]), F.coalesce(F.get(use["args"], F.lit(0)), F.lit(""))
-        error = lambda code: finding(2, "error", code, use["flag"])
+        error = lambda code, expected=None, given=None: finding(2, "error", code, use["flag"], expected, given)
         allowed = F.transform(rule["choices"], unbraced)
         return (
-            F.when((rule["type"] == "boolean") & (count > 0), error("takes_no_argument"))
-            .when(rule["type"].isin("value", "block", "choice") & (count == 0), error("needs_argument"))
-            .when((rule["type"] == "value") & (count != rule["n_args"]), error("argument_count"))
-            .when((rule["type"] == "block") & (unbraced(first) == ""), error("empty_block"))
-            .when((rule["type"] == "choice") & (F.size(rule["choices"]) > 0) & ~F.array_contains(allowed, unbraced(first)), error("not_a_choice"))
+            F.when((rule["type"] == "boolean") & (count > 0), error("takes_no_argument", F.lit("0"), listed(use["args"])))
+            .when(rule["type"].isin("value", "block", "choice") & (count == 0), error("needs_argument", rule["type"]))
+            .when((rule["type"] == "value") & (count != rule["n_args"]), error("argument_count", rule["n_args"], count))
+            .when((rule["type"] == "block") & (unbraced(first) == ""), error("empty_block", F.lit("{...}"), first))
+            .when((rule["type"] == "choice") & (F.size(rule["choices"]) > 0) & ~F.array_contains(allowed, unbraced(first)), error("not_a_choice", listed(rule["choices"]), first))
         )
 
     return F.array_compact(F.transform("given", check))
@@ -166,8 +176,8 @@ def _positional_checks() -> Column:
     def check(req: Column) -> Column:
         value = F.get("loose", req["position"])
         return (
-            F.when(value.isNull(), finding(2, "error", "missing_positional", req["position"]))
-            .when(~F.array_contains(req["choices"], value), finding(2, "error", "bad_positional", value))
+            F.when(value.isNull(), finding(2, "error", "missing_positional", req["position"], listed(req["choices"])))
+            .when(~F.array_contains(req["choices"], value), finding(2, "error", "bad_positional", value, listed(req["choices"]), value))
         )
 
     grouped = F.flatten("rules.mutex")
@@ -208,29 +218,35 @@ def has_type(value: Column, datatype: Column) -> Column:
     return out
 
 
+def bound(number: Column) -> Column:
+    """A limit as it was meant: whole numbers without a fraction."""
+    return F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
+
+
 def _type_check(use: Column) -> Column:
     """V22 to V25 for one use of a flag with arguments: an array of findings."""
     rule = F.get(F.filter("types", lambda t: t["flag"] == use["name"]), F.lit(0))
     first = F.get(use["args"], F.lit(0))
     value, kind = unbraced(first), rule["datatype"]
-    error = lambda code, subject: F.array(finding(3, "error", code, subject))
+    name = use["name"]
+    error = lambda code, expected, given: F.array(finding(3, "error", code, name, expected, given))
     number = F.regexp_replace(F.trim(value), "_", "").try_cast("double")
     tokens = F.filter(F.split(F.substring(first, F.lit(2), F.length(first) - 2), r"(?U)\s+"), lambda t: t != "")
-    wrong = F.filter(F.transform(F.arrays_zip(tokens.alias("t"), rule["block_types"].alias("k")), lambda z, i: F.struct(i.alias("i"), has_type(z["t"], z["k"]).alias("ok"))), lambda z: ~z["ok"])
+    wrong = F.filter(F.transform(F.arrays_zip(tokens.alias("t"), rule["block_types"].alias("k")), lambda z, i: F.struct(i.alias("i"), z["t"].alias("t"), z["k"].alias("k"), has_type(z["t"], z["k"]).alias("ok"))), lambda z: ~z["ok"])
     block = (
         F.when(rule["block_size"].isNull() | (rule["block_size"] == 0), none())
-        .when(~(first.startswith("{") & first.endswith("}")), error("needs_block", use["name"]))
-        .when(F.size(tokens) != rule["block_size"], error("block_size", use["name"]))
-        .otherwise(F.coalesce(F.transform(wrong, lambda z: finding(3, "error", "block_type", F.concat(use["name"], F.lit("["), z["i"].cast("string"), F.lit("]")))), none()))
+        .when(~(first.startswith("{") & first.endswith("}")), error("needs_block", F.lit("{...}"), first))
+        .when(F.size(tokens) != rule["block_size"], error("block_size", rule["block_size"], F.size(tokens)))
+        .otherwise(F.coalesce(F.transform(wrong, lambda z: finding(3, "error", "block_type", F.concat(name, F.lit("["), z["i"].cast("string"), F.lit("]")), z["k"], z["t"])), none()))
     )
     in_range = F.concat(
-        one(kind.isin("int", "float") & (number < rule["min"]), 3, "error", "below_min", use["name"]),
-        one(kind.isin("int", "float") & (number > rule["max"]), 3, "error", "above_max", use["name"]),
+        one(kind.isin("int", "float") & (number < rule["min"]), 3, "error", "below_min", name, bound(rule["min"]), value),
+        one(kind.isin("int", "float") & (number > rule["max"]), 3, "error", "above_max", name, bound(rule["max"]), value),
     )
     return (
         F.when(rule.isNull() | first.isNull(), none())
-        .when((kind == "enum"), one(~F.array_contains(F.coalesce(rule["choices"], F.array().cast("array<string>")), value), 3, "error", "not_in_enum", use["name"]))
-        .when(kind.isNotNull() & ~has_type(value, kind), error("wrong_type", use["name"]))
+        .when((kind == "enum"), one(~F.array_contains(F.coalesce(rule["choices"], F.array().cast("array<string>")), value), 3, "error", "not_in_enum", name, listed(rule["choices"]), value))
+        .when(kind.isNotNull() & ~has_type(value, kind), error("wrong_type", kind, value))
         .otherwise(F.concat(F.when(kind.isNull(), none()).otherwise(F.coalesce(in_range, none())), block))
     )
 
@@ -257,7 +273,7 @@ def value_or_null(uses: Column, flag: str) -> Column:
 
 
 def validate(lines: DataFrame, catalogue: DataFrame, column: str = "cmd_line") -> DataFrame:
-    """One row per distinct line: the line, clean_line, command, command_exists, valid, l1, l2, l3.
+    """One row per distinct line: the line, clean_line, command, command_exists, syntax, valid, l1, l2, l3.
 
     ``catalogue`` has (command, syntax, category, options array, rules, types), as ``with_rules`` and
     ``overlay_types`` give it. The raw line's command gives the known flags that cleaning cuts off; all
@@ -268,23 +284,83 @@ def validate(lines: DataFrame, catalogue: DataFrame, column: str = "cmd_line") -
     known = catalogue.select(F.col("command").alias("raw_command"), F.transform("rules.flags", lambda r: r["flag"]).alias("known_flags"))
     cleaned = distinct.withColumn("raw_command", raw).join(known, "raw_command", "left").withColumn("clean_line", clean(F.col("cmd_line"), F.col("known_flags"))).drop("raw_command", "known_flags")
     done = level3(level2(level1(look_up(split_line(cleaned, "clean_line"), catalogue))))
-    return done.select("cmd_line", "clean_line", "command", "command_exists", "category", "unknown_options", "l1_valid", "l2_valid", "valid", "l1", "l2", "l3")
+    return done.select("cmd_line", "clean_line", "command", "command_exists", "category", "syntax", "unknown_options", "l1_valid", "l2_valid", "valid", "l1", "l2", "l3")
 
 
 def findings(validated: DataFrame) -> DataFrame:
-    """(cmd_line, ord, level, severity, code, subject), in the order of a report: errors of level 3, 2, 1, then warnings."""
+    """(cmd_line, ord, level, severity, code, subject, expected, given), in the order of a report: errors of level 3, 2, 1, then warnings."""
     everything = F.concat("l3", "l2", "l1")
     errors = F.filter(everything, lambda f: f["severity"] == "error")
     warnings = F.filter(everything, lambda f: f["severity"] != "error")
     return validated.select("cmd_line", F.posexplode(F.concat(errors, warnings)).alias("ord", "f")).select("cmd_line", "ord", "f.*")
 
 
-def report(validated: DataFrame) -> DataFrame:
-    """(cmd_line, report): a line's verdict and findings as text."""
-    everything = F.concat("l3", "l2", "l1")
-    text = F.transform(everything, lambda f: F.concat(F.lit("  "), f["severity"], F.lit(" L"), f["level"].cast("string"), F.lit(" "), f["code"], F.coalesce(F.concat(F.lit(": "), f["subject"]), F.lit(""))))
-    head = F.concat(F.coalesce("command", F.lit("")), F.when(F.col("valid"), F.lit(" VALID")).otherwise(F.lit(" INVALID")))
-    return validated.select("cmd_line", F.array_join(F.concat(F.array(head), text), "\n").alias("report"))
+#: What a finding of each code says; {s}, {e} and {g} are its subject, what was expected and what was given.
+MESSAGES = {
+    "empty": "Empty command line",
+    "unknown_command": "Unknown command: '{s}'",
+    "duplicate_flag": "Duplicate flag: {s}",
+    "no_flags_accepted": "Command '{s}' does not accept any flags",
+    "unknown_flag": "Unknown option: {s}",
+    "equals_sign": "'{s}': arguments are separated by a blank, not by '='",
+    "takes_no_argument": "Flag '{s}' takes no argument, got: {g}",
+    "needs_argument": "Flag '{s}' requires an argument ({e})",
+    "argument_count": "Flag '{s}' expects {e} argument(s), got {g}",
+    "empty_block": "Flag '{s}' needs a block {e} that isn't empty",
+    "not_a_choice": "Flag '{s}' must be one of: {e}; got '{g}'",
+    "mutually_exclusive": "Mutually exclusive options: {s}",
+    "missing_positional": "Missing positional argument {s}, one of: {e}",
+    "bad_positional": "Positional argument '{g}' must be one of: {e}",
+    "unexpected_positional": "Unexpected positional argument: '{s}'",
+    "not_in_enum": "Flag '{s}' must be one of: {e}; got '{g}'",
+    "wrong_type": "Flag '{s}' expects {e}, got '{g}'",
+    "below_min": "Flag '{s}' value {g} < min {e}",
+    "above_max": "Flag '{s}' value {g} > max {e}",
+    "needs_block": "Flag '{s}' requires a block {e}, got '{g}'",
+    "block_size": "Flag '{s}' expects {e} values, got {g}",
+    "block_type": "Flag '{s}' expects {e}, got '{g}'",
+    "flags_conflict": "Flags work against each other: {s}",
+    "low_limit": "High effort with a low limit: {s}",
+}
+
+
+def message(f: Column) -> Column:
+    """A finding as a sentence; its code where that is unknown."""
+    fields = {"{s}": "subject", "{e}": "expected", "{g}": "given"}
+    out = f["code"]
+    for code, template in MESSAGES.items():
+        parts = [F.coalesce(f[fields[x]], F.lit("")) if x in fields else F.lit(x) for x in re.split(r"(\{[seg]\})", template) if x]
+        out = F.when(f["code"] == code, F.concat(*parts)).otherwise(out)
+    return out
+
+
+def report(validated: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
+    """(cmd_line, report): a line's verdict, its findings level by level as sentences, suggestions, and the command's syntax.
+
+    ``suggestions`` are those of ``suggest``; the sections are errors and warnings of level 3, 2, 1, in this order.
+    """
+    own = validated
+    hints = F.array().cast("array<string>")
+    if suggestions is not None:
+        flags = suggestions.filter("flag is not null").groupBy("command").agg(F.map_from_entries(F.collect_list(F.struct("flag", "suggestion"))).alias("flag_hints"))
+        names = suggestions.filter("flag is null").select("command", F.col("suggestion").alias("name_hint"))
+        own = own.join(flags, "command", "left").join(names, "command", "left")
+        near = F.transform(F.array_distinct("unknown_options"), lambda f: F.when(F.try_element_at("flag_hints", f).isNotNull(), F.concat(F.lit("  '"), f, F.lit("': try '"), F.try_element_at("flag_hints", f), F.lit("'"))))
+        name = F.when(~F.col("command_exists") & F.col("name_hint").isNotNull(), F.concat(F.lit("  Did you mean: "), F.col("name_hint"), F.lit("?")))
+        hints = F.array_compact(F.concat(F.coalesce(near, hints), F.array(name)))
+
+    parts = []
+    for level in ("l3", "l2", "l1"):
+        parts += [F.filter(level, lambda f: f["severity"] == "error"), F.filter(level, lambda f: f["severity"] != "error")]
+    sentences = F.transform(F.concat(*parts), lambda f: F.concat(F.lit("  "), f["severity"], F.lit(" L"), f["level"].cast("string"), F.lit(": "), message(f)))
+
+    head = F.concat(
+        F.coalesce("command", F.lit("")),
+        F.when(F.col("valid"), F.lit(" VALID")).when(F.col("command").isNotNull() & ~F.col("command_exists"), F.lit(" UNKNOWN COMMAND")).otherwise(F.lit(" INVALID")),
+    )
+    syntax = F.when(F.coalesce("syntax", F.lit("")) != "", F.concat(F.lit("  Syntax: "), F.col("syntax")))
+    lines = F.concat(F.array(head), sentences, hints, F.array(syntax))
+    return own.select("cmd_line", F.array_join(F.array_compact(lines), "\n").alias("report"))
 
 
 def validate_scripts(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
