@@ -36,9 +36,8 @@ def q2_hashed_terms(spark, sf_dir):
 
 
 def q1_normalised_queries(spark, sf_dir):
-    """Q1, Q6: each labelled document's source as a hint after its first words."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
-    return docs.select("doc_id", F.md5(retrieval.normalise(retrieval.expand(F.col("text"), F.concat(F.lit("From_"), F.col("source"))))).alias("query_md5"))
+    """Q1, Q6: each document's whole text with its source as a hint."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(retrieval.normalise(retrieval.expand(F.col("text"), F.concat(F.lit("From_"), F.col("source"))))).alias("query_md5"))
 
 
 QUERIES = {f.__name__: f for f in (q1_normalised_queries, q2_hashed_terms, q3_top_documents, q5_context)}
@@ -49,7 +48,7 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 3)
 """
 SQL = {
-    "q1_normalised_queries": "SELECT doc_id, md5(replace(lower(concat_ws(' ', text, 'From_' || source)), '_', ' ')) AS query_md5 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "q1_normalised_queries": "SELECT doc_id, md5(replace(lower(concat_ws(' ', text, 'From_' || source)), '_', ' ')) AS query_md5 FROM documents",
     "q2_hashed_terms": r"""
 WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(replace(lower(text), '_', ' '), '\s+'), lambda x: x <> '')) AS word FROM documents),
 c AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 2))::INT AS slot, count(*) AS n FROM w GROUP BY 1, 2)

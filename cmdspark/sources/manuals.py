@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cmdspark.functions.shipping import ship_package
+
 SECTIONS = ("COMMAND", "TITLE", "DESCRIPTION", "SYNTAX", "OPTIONS", "EXAMPLES")
 
 
@@ -15,6 +21,23 @@ def read_html(spark: SparkSession, folder: str, pattern: str = "man_*.htm") -> D
     return files.select("path", text.alias("html"))
 
 
+def _write_each(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    system, path = fs.FileSystem.from_uri(folder)
+    for batch in batches:
+        for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+            with system.open_output_stream(f"{path}/{name}") as out:
+                out.write(content.as_buffer())
+        yield batch.select(["name"])
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each row's content (name, content binary) as a file of that name under ``folder``; the number of rows. A task that is repeated writes the same files again."""
+    ship_package(files.sparkSession)
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    return files.mapInArrow(lambda it: _write_each(it, folder), "name string").count()
+
+
 def parse_sections(texts: DataFrame) -> DataFrame:
     """(path, command, title, description, syntax, options, examples) of section texts (path, value); absent ones are empty."""
     names = "|".join(SECTIONS)

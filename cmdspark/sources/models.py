@@ -21,9 +21,18 @@ def write_graph(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").parquet(path)
 
 
-def load_graph_json(spark: SparkSession, path: str) -> DataFrame:
-    """(command, category, ...) of a graph kept as one JSON document, self edges dropped."""
-    graph = spark.read.schema(GRAPH).option("multiLine", True).json(path)
+def write_graph_json(records: DataFrame, path: str, commands_each: int = 1000) -> None:
+    """The catalogue as graph documents, one a line, of about ``commands_each`` commands, so that no document grows with the catalogue."""
+    fields = [f.split(" ")[0] for f in RECORD.split(", ")]
+    documents = max(1, -(-records.count() // commands_each))
+    entry = F.struct("command", F.struct(*fields))
+    by_part = records.groupBy(F.pmod(F.xxhash64("command"), F.lit(documents)).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("commands"))
+    by_part.select("commands").write.mode("overwrite").json(path)
+
+
+def load_graph_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(command, category, ...) of a graph kept as one JSON document a file, or a document on each of many ``lines``; self edges dropped."""
+    graph = spark.read.schema(GRAPH).option("multiLine", not lines).json(path)
     records = graph.select(F.explode("commands").alias("command", "r")).select("command", "r.*")
     return records.withColumn("depends_on", F.array_remove("depends_on", F.col("command")))
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cmdspark.functions.shipping import ship_package
 from cmdspark.operators.advice import DEFAULT_RULES, RARE, StateRules
 
-ADVICE = "session_id string, seq long, command string, valid boolean, warnings array<string>, suggestions array<string>"
+ADVICE = "seq long, command string, valid boolean, warnings array<string>, suggestions array<string>"
 
 
 def advise_stream(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, idle_minutes: int | None = 24 * 60, max_model: int = 1_000_000) -> DataFrame:
@@ -67,4 +67,5 @@ def advise_stream(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_R
         yield pd.DataFrame(out, columns=["session_id", "seq", "command", "valid", "warnings", "suggestions"])
 
     kept = ", ".join(f"{f} boolean" for f in rules.flags) + ", prev string"
-    return log.groupBy("session_id").applyInPandasWithState(step, ADVICE, kept, "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
+    schema = f"session_id {log.schema['session_id'].dataType.simpleString()}, {ADVICE}"
+    return log.groupBy("session_id").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)

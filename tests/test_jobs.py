@@ -2,11 +2,11 @@
 
 import pytest
 
-from cmdspark.jobs import command_jobs, manual_jobs, mining_jobs, retrieval_jobs, session_jobs, validation_jobs
+from cmdspark.jobs import command_jobs, manual_jobs, mining_jobs, retrieval_jobs, session_jobs, source_jobs, validation_jobs
 
 from .compare import assert_same
 
-JOBS = {n: (f, m.SQL.get(n)) for m in (mining_jobs, session_jobs, validation_jobs, command_jobs, manual_jobs, retrieval_jobs) for n, f in m.QUERIES.items()}
+JOBS = {n: (f, m.SQL.get(n)) for m in (mining_jobs, session_jobs, validation_jobs, command_jobs, manual_jobs, retrieval_jobs, source_jobs) for n, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", JOBS)
