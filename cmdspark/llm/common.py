@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cmdspark.functions.shipping import ship_package
+from cmdspark.functions.storage import fresh_path, materialize
+
+__all__ = ["bound_batches", "crc_fold", "fresh_path", "hot_keys", "materialize", "skew_join", "words_count"]
 
 #: A key is hot when it holds more than one row in HOT_SHARE, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="cmdspark-"))
-    return _own_dir[0]
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/cmdspark/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys that hold more than 1/share of the rows of ``df`` (a stored table): under ``share`` rows, whatever the input."""
     total = df.count()
