@@ -18,9 +18,13 @@ FLAG = r"-([a-zA-Z_][a-zA-Z0-9_]*)"
 MIN_BLOCK = 20
 
 
+#: What counts as white space at the ends of a line.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Unicode-aware trim."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Unicode-aware trim, without a pattern: it looks at the ends only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def blocks(scripts: DataFrame, min_chars: int = MIN_BLOCK) -> DataFrame:
@@ -65,7 +69,7 @@ def match_commands(lines: DataFrame, commands: list[str] | DataFrame) -> DataFra
     A list of names becomes a constant of the plan; a catalogue table (command) is joined to each of the
     three words, by broadcast if Spark finds it small enough. Every line stays a row of its own.
     """
-    words = F.slice(F.split(F.col("line"), r"(?U)\s+"), 1, 3)
+    words = F.slice(F.split(F.col("line"), r"(?U)\s+", 4), 1, 3)  # the rest of a line isn't split
     lower = F.transform(words, F.lower)
     if isinstance(commands, DataFrame):
         known = commands.select("command").distinct()
