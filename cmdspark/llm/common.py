@@ -15,6 +15,7 @@ HOT_SHARE = 1000
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys that hold more than 1/share of the rows of ``df`` (a stored table): under ``share`` rows, whatever the input."""
     total = df.count()
