@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdspark.llm.common import materialize, words_count
-from cmdspark.llm.exact_dedup import exact_dedup
+from cmdspark.llm.exact_dedup import exact_dedup, normalise, sha256
 from cmdspark.llm.minhash import near_duplicates
 from cmdspark.llm.mixing import mix
 from cmdspark.llm.packing import pack_documents
@@ -39,9 +39,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the least id."""
-    rows = _with_row(docs)
-    return _only(rows, exact_dedup(rows, row_col=ROW).filter("kept"), docs)
+    """One document of each group of equal texts: the one with the least id.
+
+    Rows are found by id and digest again, which saves writing the documents with numbers; only a table that
+    repeats ids can have two such rows, of which one stays.
+    """
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias(OWN + "id"), F.unhex("digest").alias(OWN + "digest"))
+    wide = docs.withColumn(OWN + "key", sha256(normalise(F.col("text"))))
+    out = wide.join(kept, wide["doc_id"].eqNullSafe(kept[OWN + "id"]) & (wide[OWN + "key"] == kept[OWN + "digest"]), "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.withColumn(OWN + "text", normalise(F.col("text"))).dropDuplicates(["doc_id", OWN + "text"])
+    return out.select(*_columns(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
