@@ -78,11 +78,18 @@ def m15_edges(spark, sf_dir):
     return manual.edges(manual.drop_self_edges(manual.latest(records(spark, sf_dir))))
 
 
+def section_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the columns of section texts: the category as syntax, related names as examples, no options."""
+    return records(spark, sf_dir).select("command", "title", "description", F.col("category").alias("syntax"), F.lit("").alias("options"), F.array_join("related", "\n").alias("examples"))
+
+
+def sections_read(back: DataFrame) -> DataFrame:
+    return back.select("command", "title", "syntax", "options", F.md5("examples").alias("examples_md5"))
+
+
 def s2_sections(spark, sf_dir):
     """Records written as section texts, read back."""
-    r = records(spark, sf_dir).select("command", "title", "description", F.col("category").alias("syntax"), F.lit("").alias("options"), F.array_join("related", "\n").alias("examples"))
-    back = manuals.parse_sections(manuals.section_text(r).select(F.col("command").alias("path"), "value"))
-    return back.select("command", "title", "syntax", "options", F.md5("examples").alias("examples_md5"))
+    return sections_read(manuals.parse_sections(manuals.section_text(section_records(spark, sf_dir)).select(F.col("command").alias("path"), "value")))
 
 
 QUERIES = {f.__name__: f for f in (m1_pages, m2_names, m4_titles, m12_related, m13_depends, m14_category_index, m15_edges, s2_sections)}

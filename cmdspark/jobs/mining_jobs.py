@@ -47,6 +47,11 @@ def t8_sequences(spark, sf_dir):
     return mining.mine(scripts(spark, sf_dir), WORDS)
 
 
+def t7_catalogue_match(spark, sf_dir):
+    """T7 with the catalogue as a table."""
+    return mining.mine(scripts(spark, sf_dir), spark.createDataFrame([(w,) for w in WORDS], "command string"))
+
+
 def t11_frequency(spark, sf_dir):
     return mining.command_frequency(mining.mine(scripts(spark, sf_dir), WORDS))
 
@@ -93,7 +98,7 @@ def a1_transition_probability(spark, sf_dir):
     return advice.transition_probability(t13_event_transitions(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (t1_blocks, t3_logical_lines, t4_clean_lines, t8_sequences, t11_frequency, t13_transitions, t14_trigrams, t15_stats, t11_event_frequency, t13_event_transitions, t14_event_trigrams, t15_event_stats, t16_top_transitions, t13_role_transitions, a1_transition_probability)}
+QUERIES = {f.__name__: f for f in (t1_blocks, t3_logical_lines, t4_clean_lines, t7_catalogue_match, t8_sequences, t11_frequency, t13_transitions, t14_trigrams, t15_stats, t11_event_frequency, t13_event_transitions, t14_event_trigrams, t15_event_stats, t16_top_transitions, t13_role_transitions, a1_transition_probability)}
 
 _BLOCKS = r"""
 WITH s0 AS (SELECT doc_id AS script_id, replace(replace(replace(text, chr(10), chr(10) || chr(10)), '. ', '.' || chr(10)), ', ', ', \' || chr(10)) AS x FROM documents),
@@ -131,6 +136,7 @@ SQL = {
     "t1_blocks": _BLOCKS + "SELECT script_id, block_no, length(block) AS chars, md5(block) AS block_md5 FROM blocks",
     "t3_logical_lines": _LINES + "SELECT script_id, block_no, line_no, md5(line) AS line_md5 FROM lines",
     "t4_clean_lines": _CLEAN + "SELECT script_id, block_no, line_no, md5(line) AS line_md5 FROM clean",
+    "t7_catalogue_match": _SEQ + "SELECT * FROM seq",
     "t8_sequences": _SEQ + "SELECT * FROM seq",
     "t11_frequency": _SEQ + 'SELECT command, count(*) AS "count" FROM seq GROUP BY command',
     "t13_transitions": _SEQ + "," + _PAIRS.format(**_DOC) + "SELECT * FROM t",

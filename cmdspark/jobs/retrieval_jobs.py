@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cmdspark.operators import retrieval
@@ -35,12 +36,26 @@ def q2_hashed_terms(spark, sf_dir):
     return hashed.select("doc_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).cast("long").alias("terms"), F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")).alias("vector_md5"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """An encoder without a model: how often each letter occurs."""
+    return np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=np.float32).reshape(len(texts), len(LETTERS))
+
+
+def q2_embedded(spark, sf_dir):
+    """Q1 and Q2 with a given encoder."""
+    vectors = retrieval.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), letter_counts)
+    return vectors.select("doc_id", F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")).alias("vector_md5"))
+
+
 def q1_normalised_queries(spark, sf_dir):
     """Q1, Q6: each document's whole text with its source as a hint."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(retrieval.normalise(retrieval.expand(F.col("text"), F.concat(F.lit("From_"), F.col("source"))))).alias("query_md5"))
 
 
-QUERIES = {f.__name__: f for f in (q1_normalised_queries, q2_hashed_terms, q3_top_documents, q5_context)}
+QUERIES = {f.__name__: f for f in (q1_normalised_queries, q2_hashed_terms, q2_embedded, q3_top_documents, q5_context)}
 
 _TOP = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -54,6 +69,9 @@ WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(replace(lower
 c AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 2))::INT AS slot, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT d.doc_id, coalesce(sum(c.n), 0)::BIGINT AS terms, md5(string_agg(coalesce(c.n, 0)::VARCHAR, ',' ORDER BY i)) AS vector_md5
 FROM (SELECT doc_id, unnest(range(256)) AS i FROM documents) d LEFT JOIN c ON c.doc_id = d.doc_id AND c.slot = d.i GROUP BY 1""",
+    "q2_embedded": "SELECT doc_id, md5(array_to_string(list_transform(string_split('"
+    + LETTERS
+    + "', ''), lambda c: length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), c, ''))), ',')) AS vector_md5 FROM documents",
     "q3_top_documents": _TOP + "SELECT query_id, rank, doc_id, round(similarity, 6) AS similarity FROM t",
     "q5_context": _TOP + "SELECT query_id, md5(string_agg(text, chr(10) ORDER BY rank)) AS context_md5 FROM t JOIN documents USING (doc_id) GROUP BY 1",
 }

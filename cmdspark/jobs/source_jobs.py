@@ -30,6 +30,13 @@ def s3_script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.command_frequency(mining.mine(manuals.read_scripts(spark, folder), mining_jobs.WORDS))
 
 
+def s6_section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as section texts, a folder each, and read back from there."""
+    folder = fresh_path(spark, "sections")
+    manuals.write_section_text(manual_jobs.section_records(spark, sf_dir), folder)
+    return manual_jobs.sections_read(manuals.read_sections(spark, f"{folder}/*"))
+
+
 def s4_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Command records written as graph documents in JSON and loaded, self edges dropped."""
     path = fresh_path(spark, "graph")
@@ -62,11 +69,12 @@ def a9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).withColumns({"warnings": F.array_join("warnings", "; "), "suggestions": F.array_join("suggestions", "; ")})
 
 
-QUERIES = {f.__name__: f for f in (s1_page_files, s3_script_files, s4_graph, s5_model, a9_stream)}
+QUERIES = {f.__name__: f for f in (s1_page_files, s3_script_files, s6_section_files, s4_graph, s5_model, a9_stream)}
 
 _EDGES = manual_jobs.SQL["m15_edges"]
 SQL = {
     "s1_page_files": manual_jobs._PAGES + "SELECT command, category, title FROM r",
+    "s6_section_files": manual_jobs.SQL["s2_sections"],
     "s3_script_files": mining_jobs.SQL["t11_frequency"],
     "s4_graph": f"SELECT src, dst, kind, dst IN (SELECT 'page_' || page_id FROM pages) AS known FROM ({_EDGES})",
     "s5_model": f"""SELECT a."from", a."to", a."count", prob, uses, 0::INT AS flags FROM ({mining_jobs.SQL["a1_transition_probability"]}) a

@@ -26,7 +26,7 @@ def _write_each(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.R
     for batch in batches:
         for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
             with system.open_output_stream(f"{path}/{name}") as out:
-                out.write(content.as_buffer())
+                out.write(content.as_buffer() if content.is_valid else b"")
         yield batch.select(["name"])
 
 
