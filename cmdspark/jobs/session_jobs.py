@@ -9,7 +9,7 @@ from cmdspark.functions.storage import materialize
 from cmdspark.operators import advice, mining, validation
 
 from . import command_jobs, validation_jobs
-from .mining_jobs import ORDER, SESSION, event_sequence, table
+from .mining_jobs import LONG, ORDER, SESSION, event_sequence, table
 
 RULES = advice.StateRules(
     flags=("signed_up", "viewed", "bought"),
@@ -57,6 +57,21 @@ def a8_advise(spark, sf_dir):
     return done.withColumns({"warnings": F.array_join("warnings", "; "), "suggestions": F.array_join("suggestions", "; ")})
 
 
+def long_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with nine of ten users as one session."""
+    return event_log(spark, sf_dir).withColumn("session_id", F.when(F.col("session_id") % 10 == 0, F.col("session_id")).otherwise(F.lit(-1)))
+
+
+def a2_long_state(spark, sf_dir):
+    """A2, A4 with a session that no single task replays."""
+    return advice.replay(long_log(spark, sf_dir), RULES, split_over=LONG).select("session_id", "seq", "command", "valid", *RULES.flags, "prev")
+
+
+def a8_long_advise(spark, sf_dir):
+    done = advice.advise(long_log(spark, sf_dir), model(spark, sf_dir), RULES, split_over=LONG)
+    return done.withColumns({"warnings": F.array_join("warnings", "; "), "suggestions": F.array_join("suggestions", "; ")})
+
+
 def session_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's command line validated at three levels, then advised on in its session."""
     lines = validation_jobs.lines(spark, sf_dir).withColumn("session_id", F.col("session_id").cast("long"))
@@ -81,7 +96,7 @@ def a8_session_report(spark, sf_dir):
     return told.select("session_id", "seq", advice.advice_report(F.col("report"), F.col("warnings"), F.col("suggestions")).alias("report"))
 
 
-QUERIES = {f.__name__: f for f in (a2_state_before, a3_state_warnings, a5_transition_advice, a7_final_state, a8_advise, a8_session_advice, a8_session_report)}
+QUERIES = {f.__name__: f for f in (a2_state_before, a2_long_state, a3_state_warnings, a5_transition_advice, a7_final_state, a8_advise, a8_long_advise, a8_session_advice, a8_session_report)}
 
 _LOG_BODY = """,
 e AS (SELECT *, CASE WHEN valid AND command = 'signup' THEN true END AS e1,
@@ -109,6 +124,7 @@ ad AS (SELECT wa.*, CASE WHEN m.prob < 0.3 THEN '''' || command || ''' after '''
        FROM wa LEFT JOIN m ON m.a = wa.prev AND m.b = wa.command LEFT JOIN c ON c.a = wa.prev)
 """
 _ADVICE = _STATE + _ADVICE_BODY
+_LONG_LOG = _LOG.replace("user_id AS session_id", "CASE WHEN user_id % 10 = 0 THEN user_id ELSE -1 END AS session_id")
 _VALIDATED = validation_jobs.VALIDATED_SQL + """,
 log AS (SELECT session_id::BIGINT AS session_id, event_id AS seq, v3.command, cmd_line, valid, command_exists AS "exists" FROM li JOIN v3 USING (cmd_line))
 """
@@ -130,6 +146,8 @@ ad AS (SELECT st.*, CASE WHEN command_exists THEN concat_ws(chr(10), CASE WHEN s
 """
 SQL = {
     "a8_session_advice": _VALIDATED + _LOG_BODY + _STATE_BODY + _ADVICE_BODY + _ADVISED,
+    "a2_long_state": _LONG_LOG + _STATE_BODY + "SELECT session_id, seq, command, valid, signed_up, viewed, bought, prev FROM st",
+    "a8_long_advise": _LONG_LOG + _STATE_BODY + _ADVICE_BODY + _ADVISED,
     "a8_session_report": _TOLD + "SELECT session_id, seq, concat_ws(chr(10), report, nullif(told, '')) AS report FROM ad JOIN rp USING (cmd_line)",
     "a2_state_before": _STATE + "SELECT session_id, seq, command, valid, signed_up, viewed, bought, prev FROM st",
     "a3_state_warnings": _STATE + "SELECT session_id, seq, state_warnings AS warnings FROM wa WHERE state_warnings <> ''",

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import SPLIT_OVER, ordered
+
 RARE = 0.3
 
 
@@ -66,17 +68,16 @@ def effect(rules: StateRules, flag: str, command: Column, line: Column) -> Colum
     return out
 
 
-def replay(log: DataFrame, rules: StateRules = DEFAULT_RULES) -> DataFrame:
+def replay(log: DataFrame, rules: StateRules = DEFAULT_RULES, split_over: int | None = SPLIT_OVER) -> DataFrame:
     """A2, A4: the log (session_id, seq, command, cmd_line, valid) with each flag and ``prev`` as they were before the row.
 
     Only valid commands change the state. All flags share one window: one shuffle and one sort by session.
+    Sessions of over ``split_over`` rows are replayed chunk by chunk, each with the state that the chunks before leave.
     """
-    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    state = {
-        flag: F.coalesce(F.last(F.when(F.col("valid"), effect(rules, flag, F.col("command"), F.col("cmd_line"))), ignorenulls=True).over(before), F.lit(False))
-        for flag in rules.flags
-    }
-    return log.withColumns({**state, "prev": F.last(F.when(F.col("valid"), F.col("command")), ignorenulls=True).over(before)})
+    valid = F.col("valid")
+    changes = {flag: F.when(valid, effect(rules, flag, F.col("command"), F.col("cmd_line"))) for flag in rules.flags}
+    replayed = ordered(log, ["session_id"], ["seq"], last={**changes, "prev": F.when(valid, F.col("command"))}, split_over=split_over)
+    return replayed.withColumns({flag: F.coalesce(flag, F.lit(False)) for flag in rules.flags})
 
 
 def state_warnings(rules: StateRules, command: Column) -> Column:
@@ -108,12 +109,12 @@ def transition_advice(replayed: DataFrame, prob: DataFrame, top: int = 3) -> Dat
     })
 
 
-def advise(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES) -> DataFrame:
+def advise(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, split_over: int | None = SPLIT_OVER) -> DataFrame:
     """One row per log row: session_id, seq, command, valid, warnings, suggestions.
 
     ``log`` has (session_id, seq, command, cmd_line, valid, exists); a command that doesn't exist gets no advice.
     """
-    done = transition_advice(replay(log, rules), prob)
+    done = transition_advice(replay(log, rules, split_over), prob)
     none = F.array().cast("array<string>")
     return done.select(
         "session_id", "seq", "command", "valid",

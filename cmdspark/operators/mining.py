@@ -6,9 +6,11 @@ text); a sequence is ordered rows (session, pos, command), so that nothing is ev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import SPLIT_OVER, ordered
+
 #: Beginnings of lines that are comments and of lines that belong to other tools, prompts, commands that count as noise, flags.
 COMMENT = r"^(#|//|;)"
 FOREIGN = r"(?i)^(module|wire|assign|always|initial|set\s+[A-Z]|setenv|bsub|qsub|Command:|vcs)"
@@ -37,17 +39,17 @@ def blocks(scripts: DataFrame, min_chars: int = MIN_BLOCK) -> DataFrame:
     )
 
 
-def blocks_of_lines(lines: DataFrame, min_chars: int = MIN_BLOCK) -> DataFrame:
+def blocks_of_lines(lines: DataFrame, min_chars: int = MIN_BLOCK, split_over: int | None = SPLIT_OVER) -> DataFrame:
     """T1, T2 for scripts kept as lines (script_id, line_no, line): a running count of blank lines numbers the blocks.
 
-    For scripts too large for one row; block numbers then differ from ``blocks`` where blank lines follow
-    each other. Returns (script_id, block_no, line_no, line) of blocks with ``min_chars`` characters.
+    For scripts too large for one row or one task: a long script is counted chunk by chunk (``scan.ordered``).
+    Block numbers differ from those of ``blocks`` where blank lines follow each other. Returns (script_id,
+    block_no, line_no, line) of blocks with ``min_chars`` characters.
     """
     blank = F.col("line").rlike(r"(?U)^\s*$")
-    order = Window.partitionBy("script_id").orderBy("line_no")
-    numbered = lines.withColumn("block_no", F.sum(blank.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~blank)
-    size = F.sum(F.length("line") + 1).over(Window.partitionBy("script_id", "block_no")) - 1
-    return numbered.withColumn("size", size).filter(F.col("size") >= min_chars).drop("size")
+    numbered = ordered(lines, ["script_id"], ["line_no"], running={"block_no": blank.cast("int")}, split_over=split_over).filter(~blank)
+    large = numbered.groupBy("script_id", "block_no").agg((F.sum(F.length("line") + 1) - 1).alias("size")).filter(F.col("size") >= min_chars)
+    return numbered.join(large.select(F.col("script_id").alias("own"), F.col("block_no").alias("no")), F.col("script_id").eqNullSafe(F.col("own")) & (F.col("block_no") == F.col("no")), "left_semi")
 
 
 def logical_lines(parts: DataFrame) -> DataFrame:
@@ -84,10 +86,13 @@ def match_commands(lines: DataFrame, commands: list[str] | DataFrame) -> DataFra
     return lines.withColumn("command", F.get(found, F.lit(0))).filter("command is not null")
 
 
-def sequences(lines: DataFrame) -> DataFrame:
-    """(session struct, pos from 0, command) of lines that have a command; a session is a block of a script."""
-    order = Window.partitionBy("script_id", "block_no").orderBy("line_no")
-    return lines.select("script_id", "block_no", (F.row_number().over(order) - 1).alias("pos"), "command")
+def sequences(lines: DataFrame, split_over: int | None = None) -> DataFrame:
+    """(session struct, pos from 0, command) of lines that have a command; a session is a block of a script.
+
+    A block that comes from one text is never long; for blocks of line tables give ``split_over``.
+    """
+    numbered = ordered(lines, ["script_id", "block_no"], ["line_no"], running={"pos": F.lit(1)}, split_over=split_over)
+    return numbered.select("script_id", "block_no", (F.col("pos") - 1).cast("int").alias("pos"), "command")
 
 
 def line_flags(lines: DataFrame) -> DataFrame:
@@ -110,21 +115,26 @@ def is_noise(command: Column, pattern: str = NOISE) -> Column:
     return command.rlike(pattern)
 
 
-def transitions(seq: DataFrame, session: list[str], order: list[str], command: str = "command", noise: str = NOISE) -> DataFrame:
-    """(from, to, count) of neighbours in a session of which neither is noise; noise breaks a chain, it isn't bridged."""
-    w = Window.partitionBy(*session).orderBy(*order)
-    pairs = seq.select(F.col(command).alias("from"), F.lead(command).over(w).alias("to")).filter("to is not null")
+def transitions(seq: DataFrame, session: list[str], order: list[str], command: str = "command", noise: str = NOISE, split_over: int | None = SPLIT_OVER) -> DataFrame:
+    """(from, to, count) of neighbours in a session of which neither is noise; noise breaks a chain, it isn't bridged.
+
+    Sessions of over ``split_over`` rows are taken chunk by chunk; None says that there are none.
+    """
+    own = seq.select(*[F.col(c) for c in session], *[F.col(c) for c in order], F.col(command).alias("from"))
+    pairs = ordered(own, session, order, following={"to": (F.col("from"), 1)}, split_over=split_over).select("from", "to").filter("to is not null")
     return pairs.filter(~is_noise(F.col("from"), noise) & ~is_noise(F.col("to"), noise)).groupBy("from", "to").agg(F.count(F.lit(1)).alias("count"))
 
 
-def trigrams(seq: DataFrame, session: list[str], order: list[str], command: str = "command", k: int | None = 30) -> DataFrame:
-    """(sequence, count) of three neighbours; the k most frequent, ties by first place (session, order), all if k is None."""
-    w = Window.partitionBy(*session).orderBy(*order)
-    place = F.struct(*session, *order)
-    three = seq.select(F.array(F.col(command), F.lead(command, 1).over(w), F.lead(command, 2).over(w)).alias("sequence"), place.alias("place"))
-    counted = three.filter(F.col("sequence")[2].isNotNull()).groupBy("sequence").agg(F.count(F.lit(1)).alias("count"), F.min("place").alias("first"))
+def trigrams(seq: DataFrame, session: list[str], order: list[str], command: str = "command", k: int | None = 30, split_over: int | None = SPLIT_OVER) -> DataFrame:
+    """(sequence, count) of three neighbours; the k most frequent, ties by first place (session, order), all if k is None.
+
+    Sessions of over ``split_over`` rows are taken chunk by chunk; None says that there are none.
+    """
+    own = seq.select(*[F.col(c) for c in session], *[F.col(c) for c in order], F.col(command).alias("first"))
+    three = ordered(own, session, order, following={"second": (F.col("first"), 1), "third": (F.col("first"), 2)}, split_over=split_over).filter("third is not null")
+    counted = three.groupBy(F.array("first", "second", "third").alias("sequence")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*session, *order)).alias("place"))
     if k is not None:
-        counted = counted.orderBy(F.desc("count"), "first").limit(k)
+        counted = counted.orderBy(F.desc("count"), "place").limit(k)
     return counted.select("sequence", "count")
 
 
