@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdspark.functions.storage import fresh_path
+from cmdspark.functions.storage import fresh_path, materialize
 from cmdspark.operators import advice, manual, mining
 from cmdspark.sources import manuals, models
 from cmdspark.streaming.advisor import advise_stream
@@ -57,19 +57,44 @@ def s5_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advice.transition_probability(parts["transitions"]).join(counts, "from").join(flags, "from", "left").withColumn("flags", F.coalesce("flags", F.lit(0)).cast("int"))
 
 
+def _to_end(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream of files gives until its input ends."""
+    spark, out = stream.sparkSession, fresh_path(stream.sparkSession, name)
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _texts(told: DataFrame) -> DataFrame:
+    return told.withColumns({"warnings": F.array_join("warnings", "; "), "suggestions": F.array_join("suggestions", "; ")})
+
+
 def a9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as files, read as a stream to its end; the advice of each command."""
-    folder, out = fresh_path(spark, "events"), fresh_path(spark, "advice")
     log = session_jobs.event_log(spark, sf_dir)
-    log.write.parquet(folder)
-    stream = spark.readStream.schema(log.schema).parquet(folder)
-    told = advise_stream(stream, session_jobs.model(spark, sf_dir), session_jobs.RULES, idle_minutes=None)
-    query = told.writeStream.format("parquet").outputMode("append").option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    return spark.read.parquet(out).withColumns({"warnings": F.array_join("warnings", "; "), "suggestions": F.array_join("suggestions", "; ")})
+    stream = spark.readStream.schema(log.schema).parquet(_written(log, "events"))
+    prob = materialize(session_jobs.model(spark, sf_dir), "model")
+    return _texts(_to_end(advise_stream(stream, prob, session_jobs.RULES, idle_minutes=None), "advice"))
+
+
+def _written(df: DataFrame, name: str) -> str:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def a9_resumed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first part of the log in one batch, the rest as a stream that goes on from the state which that leaves."""
+    log = session_jobs.event_log(spark, sf_dir)
+    middle = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    first, rest = log.filter(F.col("seq") <= F.lit(middle)), log.filter(F.col("seq") > F.lit(middle))
+    prob = materialize(session_jobs.model(spark, sf_dir), "model")
+    stream = spark.readStream.schema(log.schema).parquet(_written(rest, "events"))
+    told = advise_stream(stream, prob, session_jobs.RULES, idle_minutes=None, initial=advice.final_state(first, session_jobs.RULES))
+    return _texts(advice.advise(first, prob, session_jobs.RULES).unionByName(_to_end(told, "advice")))
 
 
-QUERIES = {f.__name__: f for f in (s1_page_files, s3_script_files, s6_section_files, s4_graph, s5_model, a9_stream)}
+QUERIES = {f.__name__: f for f in (s1_page_files, s3_script_files, s6_section_files, s4_graph, s5_model, a9_stream, a9_resumed_stream)}
 
 _EDGES = manual_jobs.SQL["m15_edges"]
 SQL = {
@@ -80,4 +105,5 @@ SQL = {
     "s5_model": f"""SELECT a."from", a."to", a."count", prob, uses, 0::INT AS flags FROM ({mining_jobs.SQL["a1_transition_probability"]}) a
                     JOIN (SELECT event_type AS "from", count(*) AS uses FROM events GROUP BY 1) u ON u."from" = a."from" """,
     "a9_stream": session_jobs.SQL["a8_advise"],
+    "a9_resumed_stream": session_jobs.SQL["a8_advise"],
 }

@@ -109,12 +109,9 @@ def transition_advice(replayed: DataFrame, prob: DataFrame, top: int = 3) -> Dat
     })
 
 
-def advise(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, split_over: int | None = SPLIT_OVER) -> DataFrame:
-    """One row per log row: session_id, seq, command, valid, warnings, suggestions.
-
-    ``log`` has (session_id, seq, command, cmd_line, valid, exists); a command that doesn't exist gets no advice.
-    """
-    done = transition_advice(replay(log, rules, split_over), prob)
+def advice_of(replayed: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES) -> DataFrame:
+    """A3, A5, A6 for rows that carry the state before them: session_id, seq, command, valid, warnings, suggestions."""
+    done = transition_advice(replayed, prob)
     none = F.array().cast("array<string>")
     return done.select(
         "session_id", "seq", "command", "valid",
@@ -123,6 +120,14 @@ def advise(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, s
     )
 
 
+def advise(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, split_over: int | None = SPLIT_OVER) -> DataFrame:
+    """One row per log row: session_id, seq, command, valid, warnings, suggestions.
+
+    ``log`` has (session_id, seq, command, cmd_line, valid, exists); a command that doesn't exist gets no advice.
+    """
+    return advice_of(replay(log, rules, split_over), prob, rules)
+
+
 def advice_report(report: Column, warnings: Column, suggestions: Column) -> Column:
     """V28 at level 4: a line's report with the session's warnings and suggestions below it."""
     told = F.concat(F.transform(warnings, lambda w: F.concat(F.lit("  warning L4: "), w)), F.transform(suggestions, lambda x: F.concat(F.lit("  suggestion L4: "), x)))

@@ -5,67 +5,91 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cmdspark.functions.shipping import ship_package
-from cmdspark.operators.advice import DEFAULT_RULES, RARE, StateRules
+from cmdspark.operators.advice import DEFAULT_RULES, StateRules, advice_of
 
-ADVICE = "seq long, command string, valid boolean, warnings array<string>, suggestions array<string>"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def advise_stream(log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, idle_minutes: int | None = 24 * 60, max_model: int = 1_000_000) -> DataFrame:
-    """The advice of ``advise`` for a stream with the same columns; rows of one batch are taken in order of seq.
+class SessionReplay(StatefulProcessor):
+    """Keeps a session's flags and its last valid command; gives each row with both as they were before it."""
 
-    The state of a session is its flags and its last valid command; it goes after ``idle_minutes``
-    without a command, or is kept if that is None; with a time limit Spark runs batches for as long as
-    the query lives, so a query that should end with its input needs None. The model has a row for each pair of commands; its size is checked.
+    def __init__(self, rules: StateRules, columns: list[str], idle_minutes: int | None):
+        self.rules, self.columns, self.idle_minutes = rules, columns, idle_minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kept = ", ".join(f"{f} boolean" for f in self.rules.flags) + ", prev string"
+        self.session = handle.getValueState("session", kept, None if self.idle_minutes is None else self.idle_minutes * 60_000)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        last = initialState.iloc[0]
+        self.session.update((*[bool(last[f]) for f in self.rules.flags], None if pd.isna(last["prev"]) else last["prev"]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        values = self.session.get() if self.session.exists() else (*[False] * len(self.rules.flags), None)
+        state, prev = dict(zip(self.rules.flags, values[:-1], strict=True)), values[-1]
+        arrived = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        before = []
+        for command, line, valid in zip(arrived["command"], arrived["cmd_line"], arrived["valid"], strict=True):
+            before.append((*state.values(), prev))
+            if valid:
+                state |= dict(self._changes(command, line or ""))
+                prev = prev if command is None else command
+        self.session.update((*[bool(v) for v in state.values()], prev))
+        out = arrived[self.columns].reset_index(drop=True)
+        yield pd.concat([out, pd.DataFrame(before, columns=[*self.rules.flags, "prev"]).astype({"prev": object})], axis=1)
+
+    def _changes(self, command: str | None, line: str) -> Iterator[tuple[str, bool]]:
+        """Flags that a command sets or clears; for one flag a clearing comes last."""
+        for flag, commands, text in self.rules.line_sets:
+            if command in commands and text in line.lower():
+                yield flag, True
+        for value, of in ((True, self.rules.sets), (False, self.rules.clears)):
+            for flag, commands in of.items():
+                if command in commands:
+                    yield flag, value
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that typed state needs; a store that the session names itself is left alone."""
+    if spark.conf.get(PROVIDER, None) in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKSDB)
+
+
+def replay_stream(log: DataFrame, rules: StateRules = DEFAULT_RULES, idle_minutes: int | None = 24 * 60, initial: DataFrame | None = None) -> DataFrame:
+    """A2, A4 on a stream: what ``replay`` gives, rows of one batch taken in order of seq.
+
+    State lies in RocksDB, outside Python and the heap. It expires ``idle_minutes`` after a session's last
+    command, or never if that is None; with a limit Spark runs batches for as long as the query lives, so
+    a query that should end with its input needs None. ``initial`` has sessions to go on with (session_id,
+    flags, prev), as ``final_state`` gives them from a log that was replayed before; it counts when a query
+    begins without a checkpoint.
     """
     ship_package(log.sparkSession)
-    rows = prob.select("from", "to", "prob").limit(max_model + 1).collect()
-    if len(rows) > max_model:
-        raise ValueError(f"a model of over {max_model} transitions")
-    model: dict[str, dict[str, float]] = {}
-    for r in rows:
-        model.setdefault(r["from"], {})[r["to"]] = r["prob"]
-    common = {a: ", ".join(sorted(out, key=lambda b: (-out[b], b))[:3]) for a, out in model.items()}
-
-    def changed(command: str, line: str) -> Iterator[tuple[str, bool]]:
-        for flag, commands in rules.sets.items():
-            if command in commands:
-                yield flag, True
-        for flag, commands in rules.clears.items():
-            if command in commands:
-                yield flag, False
-        for flag, commands, text in rules.line_sets:
-            if command in commands and text in (line or "").lower():
-                yield flag, True
+    use_rocksdb(log.sparkSession)
+    columns = ["session_id", *[c for c in log.columns if c != "session_id"]]
+    rows = log.select(*columns).withColumn("valid", F.coalesce("valid", F.lit(False)))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], *[f"{f} boolean" for f in rules.flags], "prev string"])
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        SessionReplay(rules, columns, idle_minutes),
+        schema,
+        "append",
+        "None" if idle_minutes is None else "ProcessingTime",
+        None if initial is None else initial.select("session_id", *rules.flags, "prev").groupBy("session_id"),
+    )
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        values = state.get if state.exists else (*[False] * len(rules.flags), None)
-        flags, prev = dict(zip(rules.flags, values[:-1], strict=True)), values[-1]
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            warnings, suggestions = [], []
-            if r.exists:
-                warnings = [m for c, unset, m in rules.warn if c == r.command and not any(flags[f] for f in unset)]
-                after = model.get(prev, {})
-                if after and r.command not in after:
-                    suggestions.append(f"'{r.command}' is uncommon after '{prev}'. Common next: {common[prev]}")
-                elif after and after[r.command] < RARE:
-                    warnings.append(f"'{r.command}' after '{prev}' is rare in typical flows ({after[r.command]:.0%})")
-            out.append((key[0], r.seq, r.command, bool(r.valid), warnings, suggestions))
-            if r.valid:
-                flags |= dict(changed(r.command, r.cmd_line))
-                prev = r.command
-        state.update((*[bool(flags[f]) for f in rules.flags], prev))
-        if idle_minutes is not None:
-            state.setTimeoutDuration(idle_minutes * 60_000)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "command", "valid", "warnings", "suggestions"])
-
-    kept = ", ".join(f"{f} boolean" for f in rules.flags) + ", prev string"
-    schema = f"session_id {log.schema['session_id'].dataType.simpleString()}, {ADVICE}"
-    return log.groupBy("session_id").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+def advise_stream(
+    log: DataFrame, prob: DataFrame, rules: StateRules = DEFAULT_RULES, idle_minutes: int | None = 24 * 60, initial: DataFrame | None = None
+) -> DataFrame:
+    """The advice of ``advise`` for a stream with the same columns.
+
+    The state step gives each command what was before it; the model, a table of any size, is then joined
+    to these rows batch by batch, as in the batch form. See ``replay_stream`` for state and restarts.
+    """
+    return advice_of(replay_stream(log, rules, idle_minutes, initial), prob, rules)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cmdspark.operators import advice
-from cmdspark.streaming.advisor import advise_stream
+from cmdspark.streaming.advisor import advise_stream, replay_stream
 
 LOG = [
     ("s", 1, "run_atpg", "run_atpg", True), ("s", 2, "read_netlist", "read_netlist a.SPF", True), ("s", 3, "add_clocks", "add_clocks 0 c", True), ("s", 4, "remove_clocks", "remove_clocks -all", False),
@@ -67,3 +67,35 @@ def test_stream_gives_the_advice_of_the_batch(spark, log, prob, tmp_path):
     got = sorted((r["session_id"], r["seq"], r["warnings"], r["suggestions"]) for r in spark.read.parquet(out).collect())
     want = sorted((r["session_id"], r["seq"], r["warnings"], r["suggestions"]) for r in advice.advise(log, prob).collect())
     assert got == want
+
+
+def run_stream(spark, stream, folder, name):
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/{name}-cp").trigger(availableNow=True).start(f"{folder}/{name}")
+    try:
+        assert query.awaitTermination(120)
+    finally:
+        query.stop()
+    return sorted((r["session_id"], r["seq"], r["warnings"], r["suggestions"]) for r in spark.read.parquet(f"{folder}/{name}").collect())
+
+
+def test_stream_goes_on_from_a_state(spark, log, prob, tmp_path):
+    """A session of which the first commands were replayed elsewhere, and one that begins with the stream."""
+    rest = log.filter("seq > 4 or session_id <> 's'")
+    rest.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
+    state = advice.final_state(log.filter("seq <= 4 and session_id = 's'"))
+    got = run_stream(spark, advise_stream(stream, prob, idle_minutes=None, initial=state), tmp_path, "out")
+    want = sorted((r["session_id"], r["seq"], r["warnings"], r["suggestions"]) for r in advice.advise(log, prob).filter("seq > 4 or session_id <> 's'").collect())
+    assert got == want
+
+
+def test_stream_replays_nulls_and_clearing_like_the_batch(spark, tmp_path):
+    rules = advice.StateRules(flags=("a", "b"), sets={"a": ("x", "z")}, clears={"a": ("y", "z")}, line_sets=(("b", ("x", "y"), "on"),))
+    rows = [("s", 1, "x", "x ON", True), ("s", 2, None, None, True), ("s", 3, "y", None, None), ("s", 4, "z", "z", True), ("s", 5, "x", "x", True), ("s", 6, "y", "y", True), ("s", 7, "w", "w", False), (None, 1, "x", "x", True), (None, 2, "y", "on", True)]
+    log = spark.createDataFrame(rows, "session_id string, seq long, command string, cmd_line string, valid boolean")
+    log.write.parquet(f"{tmp_path}/in")
+    stream = replay_stream(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"), rules, idle_minutes=None)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+    assert query.awaitTermination(120)
+    columns = ["session_id", "seq", "a", "b", "prev"]
+    assert sorted(spark.read.parquet(f"{tmp_path}/out").select(*columns).collect(), key=repr) == sorted(advice.replay(log, rules).select(*columns).collect(), key=repr)
