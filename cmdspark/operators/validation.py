@@ -99,19 +99,20 @@ def level1(found: DataFrame) -> DataFrame:
     ).withColumn("l1_valid", exists & (F.size("unknown_options") == 0))
 
 
-#: Words and names of one block; every pair of blocks is a task.
-SUGGEST_BLOCK = 2000
+#: Words and names of a block; every pair of blocks is a task, which holds an index of its names.
+WORD_BLOCK, NAME_BLOCK = 20_000, 50_000
 
 
-def nearest_names(words: DataFrame, names: DataFrame, block: int = SUGGEST_BLOCK) -> DataFrame:
-    """(word, name) of the nearest of ``names`` (name) for each of ``words`` (word), if one is near; ties to the larger name.
+def compare_names(words: DataFrame, names: DataFrame, word_block: int = WORD_BLOCK, name_block: int = NAME_BLOCK) -> DataFrame:
+    """(word, name, ratio, compared): the nearest of ``names`` (name) for each of ``words`` (word), null if none is near, and the pairs compared for it.
 
-    Both are dealt to blocks and each pair of blocks is compared by one task, so neither side has a limit
-    and no list of names goes through the driver or the plan.
+    Both are dealt to blocks, and a task has one block of each: words are copied for each block of names,
+    and a common catalogue is one. The task finds candidates by an inverted index and compares few of them
+    (``NameIndex``). Neither side has a limit; no list of names goes through the driver or the plan.
     """
     ship_package(words.sparkSession)
     words, names = materialize(words.distinct(), "unknown-words"), materialize(names.distinct(), "known-names")
-    word_blocks, name_blocks = (max(1, -(-df.count() // block)) for df in (words, names))
+    word_blocks, name_blocks = max(1, -(-words.count() // word_block)), max(1, -(-names.count() // name_block))
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         place = F.pmod(F.xxhash64(*df.columns), F.lit(blocks))
@@ -120,17 +121,23 @@ def nearest_names(words: DataFrame, names: DataFrame, block: int = SUGGEST_BLOCK
 
     left = dealt(words, "word_place", word_blocks, "name_place", name_blocks)
     right = dealt(names, "name_place", name_blocks, "word_place", word_blocks)
-    found = left.cogroup(right).applyInArrow(nearest_of_block, "word string, ratio double, name string")
-    return found.groupBy("word").agg(F.max(F.struct("ratio", "name")).alias("best")).select("word", F.col("best.name").alias("name"))
+    found = left.cogroup(right).applyInArrow(nearest_of_block, "word string, ratio double, name string, compared long")
+    best = found.groupBy("word").agg(F.max(F.struct("ratio", "name")).alias("best"), F.sum("compared").alias("compared"))
+    return best.select("word", "best.name", "best.ratio", "compared")
 
 
-def suggest(validated: DataFrame, catalogue: DataFrame, block: int = SUGGEST_BLOCK) -> DataFrame:
+def nearest_names(words: DataFrame, names: DataFrame, word_block: int = WORD_BLOCK, name_block: int = NAME_BLOCK) -> DataFrame:
+    """(word, name) of the nearest of ``names`` (name) for each of ``words`` (word), if one is near; ties to the larger name."""
+    return compare_names(words, names, word_block, name_block).filter("name is not null").select("word", "name")
+
+
+def suggest(validated: DataFrame, catalogue: DataFrame) -> DataFrame:
     """V4, V8: (command, flag, suggestion) for distinct unknown commands (flag null) and flags of known ones.
 
-    Commands are compared with all names, block by block; flags with their own command's options only.
+    Commands are compared with all names; flags with their own command's options only.
     """
     bad = validated.filter(~F.col("command_exists") & F.col("command").isNotNull()).select(F.col("command").alias("word"))
-    commands = nearest_names(bad, catalogue.select(F.col("command").alias("name")), block)
+    commands = nearest_names(bad, catalogue.select(F.col("command").alias("name")))
     flags = validated.select("command", F.explode("unknown_options").alias("flag")).distinct().join(catalogue.select("command", "options"), "command")
     found = append_column(flags, "suggestion", "string", nearest, "flag", "options").filter("suggestion is not null")
     return commands.select(F.col("word").alias("command"), F.lit(None).cast("string").alias("flag"), F.col("name").alias("suggestion")).unionByName(found.select("command", "flag", "suggestion"))

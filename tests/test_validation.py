@@ -126,5 +126,24 @@ def test_suggestions_do_not_depend_on_blocks(spark):
     want = {(w, found[0]) for w in words if (found := get_close_matches(w, names, n=1, cutoff=0.6))}
     w = spark.createDataFrame([(x,) for x in words], "word string")
     n = spark.createDataFrame([(x,) for x in names], "name string")
-    for block in (2000, 17):
-        assert {(r["word"], r["name"]) for r in validation.nearest_names(w, n, block).collect()} == want
+    for blocks in ((20_000, 50_000), (17, 23)):
+        assert {(r["word"], r["name"]) for r in validation.nearest_names(w, n, *blocks).collect()} == want
+
+
+def misspelt(rng, name):
+    letters = list(name)
+    for _ in range(rng.randint(1, 3)):
+        k = rng.randrange(len(letters))
+        letters[k : k + rng.choice([0, 1])] = rng.choice(["", "x", "_", "ab"])
+    return "".join(letters)
+
+
+def test_nearest_names_are_those_of_all_pairs_and_few_are_compared(spark):
+    rng = random.Random(7)
+    parts = ["run", "set", "add", "report", "remove", "read", "write", "faults", "clocks", "netlist", "patterns", "atpg", "drc", "rules", "scan", "cell", "model", "net", "pins", "simulation"]
+    names = sorted({"_".join(rng.sample(parts, rng.randint(2, 3))) for _ in range(400)})
+    words = sorted({misspelt(rng, rng.choice(names)) for _ in range(120)} | {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz_") for _ in range(rng.randint(1, 20))) for _ in range(40)} | {"", "é", "a" * 300, names[3]})
+    want = {w: next(iter(get_close_matches(w, names, n=1, cutoff=0.6)), None) for w in words}
+    found = validation.compare_names(spark.createDataFrame([(x,) for x in [*words, None]], "word string"), spark.createDataFrame([(x,) for x in [*names, None]], "name string")).collect()
+    assert {r["word"]: r["name"] for r in found} == want
+    assert sum(r["compared"] for r in found) < 0.05 * len(words) * len(names)
