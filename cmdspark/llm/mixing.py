@@ -37,8 +37,12 @@ def fill_targets(sources: DataFrame, budget_share: float, cap: float, weights: t
     )
 
 
-#: Words that the knapsack's table spans at most.
+#: Words up to which the knapsack has a table of all sums; beyond, it keeps the sums that can be reached.
 REACH = 1 << 17
+#: Sums that are kept at most. With more, one of each of as many equal ranges stays, and the result is off by a range for each lot at most.
+SUMS = 1 << 20
+#: A miss of so small a share of the budget is none.
+NEAR = 1e-6
 
 
 def proportional(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -55,37 +59,74 @@ def proportional(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nda
     return taken
 
 
-def knapsack(lengths: np.ndarray, free: np.ndarray, rest: int) -> np.ndarray:
-    """How many of the ``free`` documents of each length to add so that their words come as near ``rest`` as can be, not over it.
-
-    Bounded knapsack by reachable sums; the documents of a length are split into lots of 1, 2, 4, ...,
-    so work grows with lengths x log(documents) x rest.
-    """
-    reach = np.zeros(rest + 1, dtype=bool)
-    reach[0] = True
-    last = np.full(rest + 1, -1, dtype=np.int64)  # the lot last added on the way to a sum
-    lots: list[tuple[int, int]] = []
+def _lots(lengths: np.ndarray, free: np.ndarray, rest: int) -> list[tuple[int, int]]:
+    """(place, documents) of each lot: the free documents of a length in lots of 1, 2, 4, ... and what is left."""
+    lots = []
     for i in np.argsort(lengths, kind="stable"):
         length = int(lengths[i])
-        if not length or length > rest:
-            continue
-        left, lot = min(int(free[i]), rest // length), 1
-        while left > 0 and not reach[rest]:
-            lot = min(lot, left)
-            new = np.zeros_like(reach)
-            new[lot * length :] = reach[: -lot * length]
-            new &= ~reach
-            last[new] = len(lots)
-            lots.append((i, lot))
-            reach |= new
+        left, lot = (min(int(free[i]), rest // length) if 0 < length <= rest else 0), 1
+        while left > 0:
+            lots.append((int(i), min(lot, left)))
             left, lot = left - lot, 2 * lot
+    return lots
+
+
+def knapsack(lengths: np.ndarray, free: np.ndarray, rest: int, over: int = 0) -> np.ndarray:
+    """How many of the ``free`` documents of each length to add so that their words come as near ``rest`` as can be, at most ``over`` beyond it.
+
+    Bounded knapsack by reachable sums, lot by lot. Up to REACH words these are marks in a table, so work
+    grows with lengths x log(documents) x rest. Beyond, where documents are long and sums few, they are a
+    sorted list, whatever ``rest`` is; only with over SUMS of them it is thinned.
+    """
+    lots = _lots(lengths, free, rest + over)
+    chosen = (_by_table if rest + over <= REACH else _by_list)(lots, lengths, rest, over)
     added = np.zeros(len(lengths), dtype=np.int64)
-    at = int(np.flatnonzero(reach)[-1])
+    for k in chosen:
+        added[lots[k][0]] += lots[k][1]
+    return added
+
+
+def _by_table(lots: list[tuple[int, int]], lengths: np.ndarray, rest: int, over: int) -> list[int]:
+    reach = np.zeros(rest + over + 1, dtype=bool)
+    reach[0] = True
+    last = np.full(rest + over + 1, -1, dtype=np.int64)  # the lot last added on the way to a sum
+    for k, (i, lot) in enumerate(lots):
+        if reach[rest]:
+            break
+        words = lot * int(lengths[i])
+        new = np.zeros_like(reach)
+        new[words:] = reach[:-words]
+        new &= ~reach
+        last[new] = k
+        reach |= new
+    sums, chosen = np.flatnonzero(reach), []
+    at = int(sums[np.abs(sums - rest).argmin()])
     while at:
-        i, lot = lots[last[at]]
-        added[i] += lot
+        chosen.append(int(last[at]))
+        i, lot = lots[chosen[-1]]
         at -= lot * int(lengths[i])
-    return added
+    return chosen
+
+
+def _by_list(lots: list[tuple[int, int]], lengths: np.ndarray, rest: int, over: int) -> list[int]:
+    sums, added = np.zeros(1, dtype=np.int64), []  # of each lot the sums that it first reaches
+    for i, lot in lots:
+        if sums[min(np.searchsorted(sums, rest), len(sums) - 1)] == rest:
+            break
+        new = sums + lot * int(lengths[i])
+        new = np.setdiff1d(new[new <= rest + over], sums, assume_unique=True)
+        added.append(new)
+        sums = np.sort(np.concatenate([sums, new]))
+        if len(sums) > SUMS:
+            kept = np.unique(sums // -(-(rest + over + 1) // SUMS), return_index=True)[1]
+            sums = np.union1d(sums[kept], sums[-1:])
+    at, chosen = int(sums[np.abs(sums - rest).argmin()]), []
+    for k in range(len(added) - 1, -1, -1):
+        place = int(np.searchsorted(added[k], at))
+        if at and place < len(added[k]) and added[k][place] == at:
+            chosen.append(k)
+            at -= lots[k][1] * int(lengths[lots[k][0]])
+    return chosen
 
 
 def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -93,29 +134,30 @@ def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
 
     Every length gets its proportional share, and a bounded knapsack over the documents left fills what
     rounding leaves of the budget. Where no documents sum up to that remainder, the share is laid out anew
-    with more of the budget held back for the knapsack, twice as much each time, until it is met, the
-    knapsack has the whole budget, or its table would span over REACH words. The rule is the same at
-    every size.
+    with more of the budget held back for the knapsack, twice as much each time, until what is missing is
+    less than the lengths' common divisor or NEAR of the budget, or the knapsack has the whole budget. It may
+    then go over the budget by less than what was missing. No choice comes nearer, as long as the knapsack's
+    sums are under SUMS.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
         return counts.copy()
+    step = int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)]))
     held, best, least = 0, None, 0
     while True:
         taken = proportional(lengths, counts, budget - held)
-        rest = budget - int((taken * lengths).sum())
-        if best is not None and rest > REACH:
-            break
-        taken = taken + knapsack(lengths, counts - taken, min(rest, REACH))
+        taken = taken + knapsack(lengths, counts - taken, budget - int((taken * lengths).sum()))
         short = budget - int((taken * lengths).sum())
         if best is None or short < least:
             best, least = taken, short
-        if least == 0 or held == budget:
+        if least <= max(budget % step, int(NEAR * budget)) or held == budget:
             break
         held = min(budget, max(2 * held, 2 * int(lengths[lengths > 0].min())))
-    return counts.copy() if total - budget < least else best
+    if least > int(NEAR * budget) and 2 * least > step:
+        best = knapsack(lengths, counts, budget, least - 1)
+    return best
 
 
 def mix(

@@ -11,7 +11,7 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path); the longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Tokens of one URL that may be combined in an antecedent. FP-growth lists every combination, so its work doubles with each.
+#: FP-growth lists every combination of a URL's tokens, so its work doubles with each. If a URL has more that may be combined, rules are mined level by level instead, with the same result.
 WIDTH = 10
 #: Item of every basket that has a label; URL tokens begin with h or p and a number.
 LABELLED = "labelled"
@@ -60,18 +60,65 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return by_token.select("token", "n", "known", F.col("most.label").alias("verdict"), F.coalesce("most.n", F.lit(0)).alias("best"), F.struct("a", "b").alias("same"))
 
 
-def _baskets(rows: DataFrame, useful: DataFrame, width: int) -> DataFrame:
-    """(label, tokens) of each row: its tokens that are among ``useful`` (token, best), without those that lie beyond ``width`` in any row."""
+def _baskets(rows: DataFrame, useful: DataFrame) -> DataFrame:
+    """(row, label, tokens) of each row: its tokens that are among ``useful`` (token, best)."""
+    token = F.when(F.col("best").isNotNull(), F.col("token"))
+    joined = rows.select("row", "label", F.explode_outer("tokens").alias("token")).join(useful, "token", "left")
+    return materialize(joined.groupBy("row").agg(F.first("label").alias("label"), F.array_sort(F.collect_list(token)).alias("tokens")), "url-baskets")
 
-    def kept(table: DataFrame, known: DataFrame) -> DataFrame:
-        token = F.when(F.col("best").isNotNull(), F.struct((-F.col("best")).alias("order"), "token"))
-        joined = table.select("row", "label", F.explode_outer("tokens").alias("token")).join(known, "token", "left")
-        by_row = joined.groupBy("row").agg(F.first("label").alias("label"), F.array_sort(F.collect_list(token)).alias("tokens"))
-        return materialize(by_row.withColumn("tokens", F.transform("tokens", lambda x: x["token"])), "url-baskets")
 
-    chosen = kept(rows, useful)
-    beyond = materialize(chosen.select(F.explode(F.slice("tokens", width + 1, 1 << 20)).alias("token")).distinct(), "url-beyond")
-    return chosen if beyond.isEmpty() else kept(chosen, useful.join(beyond, "token", "left_anti"))
+def _by_growth(baskets: DataFrame, min_support: float, min_confidence: float, min_coverage: float) -> DataFrame:
+    """Rules of two tokens and more (antecedent, verdict, confidence, support, coverage), by FP-growth over (label, tokens)."""
+    label = F.when(F.col("label").isNotNull(), F.array(F.lit(LABELLED), F.concat(F.lit("label="), F.col("label")))).otherwise(F.array().cast("array<string>"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(min_confidence, min_coverage)).fit(baskets.select(F.concat("tokens", label).alias("items")))
+    found = materialize(
+        model.associationRules.filter(~F.exists("antecedent", lambda x: x.startswith("label=")))
+        .select(F.array_sort(F.array_remove("antecedent", LABELLED)).alias("antecedent"), F.array_contains("antecedent", LABELLED).alias("among"), F.col("consequent")[0].alias("item"), "confidence", "support")
+        .filter(F.size("antecedent") > 1),
+        "url-rules",
+    )
+    covered = found.filter((F.col("item") == LABELLED) & (F.col("confidence") >= min_coverage)).select("antecedent", F.col("confidence").alias("coverage"))
+    return (
+        found.filter(F.col("among") & F.col("item").startswith("label=") & (F.col("confidence") >= min_confidence))
+        .select("antecedent", F.regexp_replace("item", "^label=", "").alias("verdict"), "confidence", "support")
+        .join(covered, "antecedent")
+    )
+
+
+def _by_levels(baskets: DataFrame, useful: DataFrame, total: int, min_support: float, min_confidence: float, min_coverage: float) -> DataFrame:
+    """The rules that ``_by_growth`` would add, level by level, for URLs of any depth.
+
+    A set of tokens is extended only if it can add a rule: a label has the support, each of its subsets has
+    more rows (else the subset says the same with fewer tokens), and no rule of it is certain. All
+    subsets of such a set are such sets, so those of n tokens follow from pairs of those of n - 1 that
+    differ in the last token, in the rows that have both. Nested segments, however deep, end at once:
+    two of them have just the rows of the inner one.
+    """
+    held = baskets.select("row", "label", F.array().cast("array<string>").alias("head"), F.explode("tokens").alias("last"))
+    sets = useful.select(F.array("token").alias("tokens"), "n")
+    out = None
+    for size in range(2, 1 << 20):
+        a, b = held.select("row", "label", "head", "last"), held.select("row", "head", F.col("last").alias("other"))
+        pairs = materialize(a.join(b, ["row", "head"]).filter("last < other").select("row", "label", F.concat("head", F.array("last")).alias("head"), F.col("other").alias("last")), "url-pairs")
+        by_label = materialize(pairs.groupBy(F.concat("head", F.array("last")).alias("tokens"), "label").agg(F.count(F.lit(1)).alias("n")), "url-sets")
+        labelled = F.col("label").isNotNull()
+        counted = by_label.groupBy("tokens").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(labelled, F.col("n"))), F.lit(0)).alias("known"), F.max(F.when(labelled, F.col("n"))).alias("best"))
+        counted = counted.filter(F.col("best") >= F.lit(min_support * total))
+        parts = counted.select("tokens", "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.filter("tokens", lambda x, k: k + 1 != i))).alias("part"))
+        smaller = sets.select(F.col("tokens").alias("part"), F.col("n").alias("of"))
+        free = parts.join(smaller, "part").filter("of > n").groupBy("tokens").count().filter(F.col("count") == size).select("tokens")
+        kept = materialize(counted.join(free, "tokens"), "url-free")
+        confidence, coverage = F.col("m") / F.col("known"), F.col("known") / F.col("n")
+        rules = (
+            by_label.filter(labelled).select("tokens", F.col("label").alias("verdict"), F.col("n").alias("m")).join(kept, "tokens")
+            .filter((F.col("m") >= F.lit(min_support * total)) & (confidence >= min_confidence) & (coverage >= min_coverage))
+            .select(F.col("tokens").alias("antecedent"), "verdict", confidence.alias("confidence"), (F.col("m") / F.lit(total)).alias("support"), coverage.alias("coverage"))
+        )
+        out = rules if out is None else out.unionByName(rules)
+        sets = kept.filter(~((F.col("best") == F.col("known")) & (coverage >= min_coverage))).select("tokens", "n")
+        if sets.isEmpty():
+            return out
+        held = pairs.join(sets.select(F.slice("tokens", 1, size - 1).alias("head"), F.element_at("tokens", -1).alias("last")), ["head", "last"])
 
 
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_coverage: float = 1.0, width: int = WIDTH) -> DataFrame:
@@ -89,9 +136,8 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     double with each token of a row, so tokens that can add no rule leave before it: those without the
     support of a label (what stays is under average tokens / min_support tokens, whatever the number of
     rows); all but the least of tokens of exactly the same rows; and those whose own rule is certain.
-    That changes no verdict. Last, antecedents are combined from at most ``width`` tokens of a row, those
-    with most rows of a label: tokens that lie beyond in any row leave from all rows, so that all counts stay
-    exact, and have rules of their own only.
+    That changes no verdict. Where a row still has over ``width`` of them, rules come from ``_by_levels``,
+    which gives the same ones.
     """
     rows = materialize(labelled.select("tokens", "label").filter("size(tokens) > 0 or label is not null").withColumn("row", F.monotonically_increasing_id()), "url-rows")
     total = max(1, rows.count())
@@ -102,22 +148,12 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     passes = (confidence >= min_confidence) & (coverage >= min_coverage)
     single = counts.filter(passes).select(F.array("token").alias("antecedent"), "verdict", confidence.alias("confidence"), (F.col("best") / F.lit(total)).alias("support"), coverage.alias("coverage"))
 
-    useful = counts.filter(~(passes & (F.col("best") == F.col("known")))).select("token", "best")
-    label = F.when(F.col("label").isNotNull(), F.array(F.lit(LABELLED), F.concat(F.lit("label="), F.col("label")))).otherwise(F.array().cast("array<string>"))
-    baskets = _baskets(rows, useful, width).select(F.concat("tokens", label).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(min_confidence, min_coverage)).fit(baskets)
-    found = materialize(
-        model.associationRules.filter(~F.exists("antecedent", lambda x: x.startswith("label=")))
-        .select(F.array_sort(F.array_remove("antecedent", LABELLED)).alias("antecedent"), F.array_contains("antecedent", LABELLED).alias("among"), F.col("consequent")[0].alias("item"), "confidence", "support")
-        .filter(F.size("antecedent") > 1),
-        "url-rules",
-    )
-    covered = found.filter((F.col("item") == LABELLED) & (F.col("confidence") >= min_coverage)).select("antecedent", F.col("confidence").alias("coverage"))
-    several = (
-        found.filter(F.col("among") & F.col("item").startswith("label=") & (F.col("confidence") >= min_confidence))
-        .select("antecedent", F.regexp_replace("item", "^label=", "").alias("verdict"), "confidence", "support")
-        .join(covered, "antecedent")
-    )
+    useful = counts.filter(~(passes & (F.col("best") == F.col("known")))).select("token", "n", "best")
+    baskets = _baskets(rows, useful)
+    if baskets.filter(F.size("tokens") > width).isEmpty():
+        several = _by_growth(baskets, min_support, min_confidence, min_coverage)
+    else:
+        several = _by_levels(baskets, useful, total, min_support, min_confidence, min_coverage)
     mined = materialize(single.unionByName(several), "url-rules-covered")
     wide, narrow = mined.alias("w"), mined.alias("n")
     # a rule and its generalisations share a token, so this is an equi-join over the exploded antecedents

@@ -128,8 +128,10 @@ def warc_date(date: str) -> str | None:
 
 
 def is_http(url: str, block: bytes) -> bool:
-    """Whether a block has HTTP's framing; schemes that never have it don't get it from how their text begins."""
-    return re.match(rb"HTTP/\d", block) is not None and not url.lower().startswith(("dns:", "whois:"))
+    """Whether a block has HTTP's framing. For schemes that come without it, text that only begins like it is none: the frame must hold our own header, as it does for every page that was written here."""
+    if not re.match(rb"HTTP/\d", block):
+        return False
+    return not url.lower().startswith(("dns:", "whois:")) or http_field(split_http(block)[0], KEY_HEADER) is not None
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -257,6 +259,11 @@ def _convert(batches: Iterator[pa.RecordBatch], arcs: str, folder: str) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["archive", "bytes"])
 
 
+def file_tasks(total: int, parallel: int) -> int:
+    """Tasks for ``total`` bytes in files that are read whole: a file of common size for each, but a few for each core."""
+    return max(1, parallel * 4, -(-total // ROLL))
+
+
 def convert_arc(arc_files: DataFrame, arcs: str, folder: str) -> DataFrame:
     """Convert the ARC files (archive, bytes) under ``arcs`` to WARC files under ``folder``; the new files, one row each.
 
@@ -269,8 +276,9 @@ def convert_arc(arc_files: DataFrame, arcs: str, folder: str) -> DataFrame:
     source id have a null id, which comes before all others.
     """
     make_folder(folder)
-    context = arc_files.sparkSession.sparkContext
-    spread = arc_files.select("archive").repartition(max(1, context.defaultParallelism * 4), F.xxhash64("archive"))
+    total = arc_files.agg(F.sum("bytes")).first()[0] or 0
+    parallel = arc_files.sparkSession.sparkContext.defaultParallelism
+    spread = arc_files.select("archive").repartition(file_tasks(total, parallel), F.xxhash64("archive"))
     schema = "archive string, at long, size long, fields int, archive_date string, id long, payload_bytes long, digest binary"
     index = materialize(spread.mapInArrow(lambda it: _index_arc(it, arcs), schema), "arc-index")
     last = F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "archive", "at")).alias("keep")
@@ -279,8 +287,7 @@ def convert_arc(arc_files: DataFrame, arcs: str, folder: str) -> DataFrame:
     short = index.filter("payload_bytes is null or payload_bytes < " + str(REVISIT_BYTES)).select("*", F.lit(None).cast("string").alias("keep_archive"), F.lit(None).cast("long").alias("keep_at"), F.lit(None).cast("long").alias("keep_id"))
     planned = skew_join(long, keep, "digest", hot_keys(long, "digest")).unionByName(short).drop("digest")
     # the list is small for the work that it stands for, so the number of tasks is given, by the archives' bytes
-    total = arc_files.agg(F.sum("bytes")).first()[0] or 0
-    tasks = max(context.defaultParallelism * 2, -(-total // SPLIT))
+    tasks = max(parallel * 2, -(-total // SPLIT))
     dealt = planned.repartition(tasks, "archive", F.floor(F.col("at") / SPLIT)).sortWithinPartitions("archive", "at")
     return materialize(dealt.mapInArrow(lambda it: _convert(it, arcs, folder), "archive string, bytes long"), "warc-files")
 
@@ -305,7 +312,7 @@ def _read_warc(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Re
                     if kind == "warcinfo":
                         rows.append((None, None, None, kind, None, None, fields["WARC-Date"], fields["WARC-Record-ID"]))
                         continue
-                    head, payload = split_block(fields["WARC-Target-URI"], block)
+                    head, payload = split_http(block) if fields["Content-Type"].startswith("application/http") else (b"", block)
                     key, digest = http_field(head, KEY_HEADER), base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
                     if kind != "revisit" and hashlib.sha1(payload).digest() != digest:
                         raise ValueError(f"{name} at {offset}: the payload isn't that of its digest")
@@ -317,7 +324,8 @@ def _read_warc(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Re
 
 def read_warc(files: DataFrame, folder: str, infos: bool = False) -> DataFrame:
     """One row per record of the WARC files (archive, bytes) under ``folder``; digests of stored payloads are checked. With ``infos`` warcinfo records too, which have no payload."""
-    spread = files.select("archive").repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), F.xxhash64("archive"))
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    spread = files.select("archive").repartition(file_tasks(total, files.sparkSession.sparkContext.defaultParallelism), F.xxhash64("archive"))
     records = spread.mapInArrow(lambda it: _read_warc(it, folder), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string")
     return records if infos else records.filter("record_type <> 'warcinfo'")
 

@@ -1,6 +1,8 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import math
+import random
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -383,6 +385,16 @@ def test_many_languages_are_fitted_with_random_codewords(spark):
 # WARC
 
 
+def test_pages_of_any_scheme_are_responses(spark):
+    urls = ["dns:a.org", "http://a/", "WHOIS://x", "ftp://f/g", "", None, "whois:HTTP/1.1"]
+    pages = spark.createDataFrame([(k, u, f"HTTP/1.1 hello {k}\r\n\r\n" * 60) for k, u in enumerate(urls)] + [(100, "dns:b.org", "HTTP/1.1 hello 0\r\n\r\n" * 60)], "page_id long, url string, html string")
+    arcs, warcs = fresh_path(spark, "arc-test"), fresh_path(spark, "warc-test")
+    rows = {r["id"]: r for r in warc.read_warc(warc.convert_arc(warc.write_arc(pages, arcs), arcs, warcs), warcs).collect()}
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in rows.items()} == {0: ("revisit", 100), 100: ("response", None)} | {k: ("response", None) for k in range(1, len(urls))}
+    for r in pages.collect():
+        assert (rows[r["page_id"]]["payload_bytes"], rows[r["page_id"]]["payload_digest"]) == (len(r["html"]), hashlib.sha1(r["html"].encode()).hexdigest())
+
+
 def test_arc_to_warc_against_brute_force(spark):
     big, small = "<p>é</p>" * 200, "<p>s</p>"
     pages = spark.createDataFrame([(1, "http://a/ b", big, 0), (2, None, big, 0), (3, "http://c", small, 0), (4, "http://d", small, 0), (5, "http://e", None, 0), (None, "http://f", big, 0), (9, "http://g\nx", "\r\n\r\n" + big, 0)], "page_id long, url string, html string, archive int").repartition(2)
@@ -828,6 +840,33 @@ def test_rules_of_the_longest_fit(spark):
     assert got[13][2] is None
 
 
+@pytest.mark.parametrize("top", [30, 5_000, 400_000])
+def test_no_choice_of_documents_comes_nearer(top):
+    """Lengths of any size, also beyond the table's reach."""
+    rng = random.Random(top)
+    for _ in range(60):
+        lengths = sorted(rng.sample(range(1, top), rng.randint(1, 6)))
+        counts = [rng.randint(1, 4) for _ in lengths]
+        sums = {0}
+        for length, count in zip(lengths, counts, strict=True):
+            sums = {s + k * length for s in sums for k in range(count + 1)}
+        budget = rng.randint(0, max(sums))
+        taken = mixing.choose_counts(np.array(lengths), np.array(counts), budget)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        step = math.gcd(*lengths)
+        miss, least = abs(budget - int((taken * lengths).sum())), min(abs(budget - s) for s in sums)
+        assert miss == least or miss <= max(mixing.NEAR * budget, step / 2, budget % step)
+    assert 1_140_003 - int((mixing.choose_counts(np.array([150_000, 190_001]), np.array([5, 5]), 1_140_003) * [150_000, 190_001]).sum()) == 10_001
+
+
+def test_many_long_documents_fill_a_budget():
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique(rng.integers(100_000, 3_000_000, 60)), 2
+    budget = int(lengths.sum() * counts * 0.37)
+    taken = mixing.choose_counts(lengths, np.full(len(lengths), counts), budget)
+    assert abs(budget - int((taken * lengths).sum())) <= mixing.NEAR * budget
+
+
 def test_mined_rules_against_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = []
@@ -893,17 +932,30 @@ def test_deep_urls_repeated(spark, segments):
     assert {r["verdict"] for r in rows if r["host"] == "a.net"} == {"block"}
 
 
-def test_width_leaves_single_rules_and_exact_counts(spark):
+def rule_table(rules):
+    return {(tuple(r["antecedent"]), r["verdict"]): tuple(round(r[c], 9) for c in ("confidence", "support", "coverage")) for r in rules.collect()}
+
+
+@pytest.mark.parametrize(("tokens", "share", "bounds"), [(8, 0.6, (0.03, 0.7, 0.3)), (6, 0.5, (0.02, 0.4, 0.2)), (7, 0.7, (0.03, 0.65, 0.4))])
+def test_rules_by_levels_are_those_of_fp_growth(spark, tokens, share, bounds):
     rng = np.random.default_rng(11)
-    rows = [(i, [f"t{k}" for k in range(8) if rng.random() < 0.6], rng.choice(["block", "allow", None], p=[0.6, 0.2, 0.2])) for i in range(300)]
+    rows = [(i, [f"t{k}" for k in range(tokens) if rng.random() < share], rng.choice(["block", "allow", None], p=[0.6, 0.2, 0.2])) for i in range(300)]
+    rows += [(1000 + i, [f"t{k}" for k in range(i % 5)], "block" if i % 5 == 4 else "allow") for i in range(60)]
     df = spark.createDataFrame([(k, t, v and str(v)) for k, t, v in rows], "key long, tokens array<string>, label string")
-    whole = {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"], r["coverage"]) for r in url_filter.mine_rules(df, 0.03, 0.7, 0.3).collect()}
-    narrow = {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"], r["coverage"]) for r in url_filter.mine_rules(df, 0.03, 0.7, 0.3, width=3).collect()}
-    assert len(narrow) < len(whole)
-    assert {k for k in whole if len(k[0]) == 1} == {k for k in narrow if len(k[0]) == 1}
-    for k, v in narrow.items():
-        if k in whole:
-            assert v == pytest.approx(whole[k])
+    whole, levels = (rule_table(url_filter.mine_rules(df, *bounds, width=w)) for w in (20, 1))
+    assert whole == levels
+    assert any(len(k[0]) > 1 for k in whole)
+
+
+def test_a_deep_url_changes_no_rule_of_others(spark):
+    rows = [(i, ["t1", "t2"] if i % 2 else ["t1", "u"] if i % 4 else ["t2", "v"], "A" if i % 2 else "B") for i in range(160)]
+    deep = (999, ["t1", "t2"] + [f"d{k}" for k in range(12)], None)
+    # the deep URL's tokens are useful ones: others have them too, now with one label, now with the other
+    rest = [(200 + i, [f"d{i % 12}"], "AB"[i // 12 % 2]) for i in range(96)]
+    for extra in ([], [deep]):
+        df = spark.createDataFrame([*rows, *rest, *extra], "key long, tokens array<string>, label string")
+        for width in (3, 10, 20):
+            assert (("t1", "t2"), "A") in rule_table(url_filter.mine_rules(df, 0.01, 0.9, 0.5, width=width))
 
 
 def test_urls_empty(spark):
