@@ -14,8 +14,6 @@ from .common import bound_batches, crc_fold, materialize
 
 #: Labelled rows per language, whole texts, that the classifiers are fitted on (expected number).
 SAMPLE_PER_LANGUAGE = 2000
-#: Languages that the classifiers are fitted for: those with the most rows, ties by name. Bounds the model and what the driver gets.
-MAX_LANGUAGES = 1000
 #: n-grams of 1 to 3 bytes are hashed to this many features.
 FEATURES = 1 << 14
 PIECE = 1 << 21
@@ -24,20 +22,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def codewords(languages: int, seed: int = 11) -> np.ndarray:
-    """One row of +1 and -1 for each language: every split in two for up to 6 languages, else random splits far apart."""
+def codewords(languages: int) -> np.ndarray:
+    """One row of +1 and -1 for each language, made by rule.
+
+    Up to 6 languages have every split in two. Up to 128 have the rows of a Hadamard matrix, any two of
+    which differ in half of their bits. More have words of the Reed-Muller code of order 2 over 128 places,
+    for 2^28 languages, any two of which differ in a quarter of their bits at least. A bit that all
+    languages share says nothing and is left out.
+    """
     if languages <= 6:
         bits = [[1 if (c >> i) & 1 else -1 for i in range(languages)] for c in range(1, 1 << (languages - 1))]
         return np.array(bits, dtype=np.int8).T.reshape(languages, -1)
-    rng, length = np.random.default_rng(seed), int(np.ceil(12 * np.log2(languages)))
-    best, most = None, -1
-    for _ in range(200):
-        code = rng.choice(np.array([-1, 1], dtype=np.int8), size=(languages, length))
-        code = code[:, np.abs(code.sum(axis=0)) < languages]  # a bit that all share says nothing
-        apart = min(int((code[i] != code[j]).sum()) for i in range(languages) for j in range(i))
-        if apart > most:
-            best, most = code, apart
-    return best
+    m = 7 if languages > 128 else max(3, (languages - 1).bit_length())
+    place = np.arange(1 << m)
+    single = [(place >> i) & 1 for i in range(m)]
+    terms = np.array(single if languages <= 128 else single + [a & b for i, a in enumerate(single) for b in single[:i]])
+    number = np.arange(languages)
+    chosen = (number[:, None] >> np.arange(len(terms))) & 1
+    code = np.where(chosen @ terms % 2, -1, 1).astype(np.int8)
+    return code[:, np.abs(code.sum(axis=0, dtype=np.int64)) < languages]
 
 
 def ngram_features(data: np.ndarray) -> np.ndarray:
@@ -64,38 +67,75 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(counts[at].astype(np.int64))], ["lang", "feature", "n"])
 
 
+def _sides(batches: Iterator[pa.RecordBatch], names: dict[str, int], totals: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of features whose counts (lang, feature, n) are all in the task, the sum of chances on the plus side of each bit and on the minus side."""
+    sums = np.zeros((FEATURES, 2, code.shape[1]))
+    for batch in batches:
+        at = np.array([names[x] for x in batch.column("lang").to_pylist()], np.int64)
+        chance = batch.column("n").to_numpy() / totals[at]
+        feature = batch.column("feature").to_numpy()
+        for side, sign in enumerate((1, -1)):
+            np.add.at(sums[:, side], feature, chance[:, None] * (code[at] == sign))
+    used = np.flatnonzero(sums.any(axis=(1, 2)))
+    flat = sums[used].reshape(len(used), -1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+    yield pa.RecordBatch.from_arrays([pa.array(used), lists], ["feature", "sums"])
+
+
+def _least_margins(batches: Iterator[pa.RecordBatch], names: dict[str, int], totals: np.ndarray, weights: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The least margin of each bit, from its own side, over languages whose counts are all in the task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        langs = np.array([names[x] for x in batch.column("lang").to_pylist()], np.int64)
+        n, feature = batch.column("n").to_numpy(), batch.column("feature").to_numpy()
+        for lang in np.unique(langs).tolist():
+            own = langs == lang
+            sums[lang] = sums.get(lang, 0.0) + weights[:, feature[own]] @ n[own] / totals[lang]
+    if sums:
+        least = np.min([code[lang] * m for lang, m in sums.items()], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(least)), pa.int64()), pa.array(least)], ["bit", "margin"])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """Binary classifiers for the bits of the languages' codewords, from about ``per_language`` rows of each language, or all if there are fewer.
 
-    At most MAX_LANGUAGES languages are fitted.
-
-    Rows are taken by a hash of their id, so a fit is repeatable. Features are counted by
-    Spark; the driver gets FEATURES x languages counts, and each bit's classifier weighs a feature by the
-    log odds of the languages on either side of the bit, each language counting alike. Rows without a
-    language, text or letter are left out. Without any row the model knows no language.
+    Rows are taken by a hash of their id and text, so a fit is repeatable and rows without an id or with
+    a repeated one are taken like others. Features are counted by Spark, and so are the sums over
+    languages that a bit's classifier needs: it weighs a feature by the log odds of the languages on either side
+    of the bit, each language counting alike. The driver gets bits x FEATURES numbers, at most 128 bits
+    whatever the languages, and a name, a total and a bit row for each language. Rows without a language, text or
+    letter are left out. Without any row the model knows no language.
     """
-    rows = bound_batches(docs).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    rank = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(5))
+    rows = bound_batches(docs).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    rank = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text", F.lit(5))
     # the bound is met by a threshold on the hash, from each language's count: no language is sorted whole
     space = F.lit(float(1 << 62))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = most.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("share")).collect()
-    if not languages:
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    sample = rows.join(share, "lang").filter(F.abs(F.shiftright(rank, 1).cast("double")) / space < F.col("share")).select("lang", "text")
+    counted = materialize(sample.mapInArrow(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "lang-counts")
+    sizes = sorted((r["lang"], r["n"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect())
+    if not sizes:
         return {"languages": [], "weights": np.zeros((0, FEATURES), np.float32), "code": np.zeros((0, 0), np.int8), "trust": np.zeros(0)}
-    limit = F.try_element_at(F.create_map(*[F.lit(x) for r in languages for x in (r["lang"], r["share"])]), F.col("lang"))
-    sample = rows.filter(F.abs(F.shiftright(rank, 1).cast("double")) / space < limit).select("lang", "text")
-    counted = materialize(sample.mapInArrow(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "lang-counts").toPandas()
-    names = sorted(counted["lang"].unique())
-    table = np.zeros((len(names), FEATURES))
-    table[[names.index(x) for x in counted["lang"]], counted["feature"].to_numpy()] = counted["n"].to_numpy()
-    chance = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * FEATURES)
-    code = codewords(len(names))
-    side = lambda bit, sign: chance[code[:, bit] == sign].mean(axis=0)
-    weights = np.array([np.log(side(k, 1)) - np.log(side(k, -1)) for k in range(code.shape[1])], dtype=np.float32).reshape(-1, FEATURES)
-    # a bit is trusted by how well it tells the languages' own counts apart
-    margins = (table @ weights.T.astype(float)) / np.maximum(table.sum(axis=1, keepdims=True), 1)
-    trust = np.maximum((margins * code).min(axis=0), 1e-3) if code.shape[1] else np.zeros(0)
-    return {"languages": names, "weights": weights, "code": code, "trust": trust / trust.sum() if len(trust) else trust}
+    names, code = {lang: at for at, (lang, _) in enumerate(sizes)}, codewords(len(sizes))
+    n = np.array([n for _, n in sizes], float)
+    totals = n + 0.5 * FEATURES
+    # every feature counts half a time more than it occurs, in each language
+    chance = np.stack([((code == sign) * (0.5 / totals)[:, None]).sum(axis=0) for sign in (1, -1)])
+    chance = np.repeat(chance[None], FEATURES, axis=0)
+    if code.shape[1]:
+        sides = counted.repartition("feature").mapInArrow(lambda it: _sides(it, names, totals, code), "feature long, sums array<double>")
+        for r in sides.collect():
+            chance[r["feature"]] += np.array(r["sums"]).reshape(2, -1)
+    languages = np.stack([(code == sign).sum(axis=0) for sign in (1, -1)])
+    weights = (np.log(chance[:, 0] / languages[0]) - np.log(chance[:, 1] / languages[1])).T.astype(np.float32).reshape(-1, FEATURES)
+    trust = np.zeros(code.shape[1])
+    if code.shape[1]:
+        # a bit is trusted by how well it tells the languages' own counts apart
+        exact = weights.astype(float)
+        margins = counted.repartition("lang").mapInArrow(lambda it: _least_margins(it, names, n, exact, code), "bit long, margin double")
+        least = {r["bit"]: r["margin"] for r in margins.groupBy("bit").agg(F.min("margin").alias("margin")).collect()}
+        trust = np.maximum([least[k] for k in range(code.shape[1])], 1e-3)
+    return {"languages": list(names), "weights": weights, "code": code, "trust": trust / trust.sum() if len(trust) else trust}
 
 
 def decode(margins: np.ndarray, grams: int, model: dict, doubt: float = 0.6) -> tuple[str, float, bool]:

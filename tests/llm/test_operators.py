@@ -328,12 +328,54 @@ def test_language_hard_rows(spark, hard, empty, sf_dir):
     assert {r["lang_pred"] for r in langid.identify(hard, nothing).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("n", [1, 2, 4, 6, 9, 20])
+@pytest.mark.parametrize("n", [1, 2, 4, 6, 7, 9, 20, 128, 129, 1000])
 def test_codewords_differ(n):
-    code = langid.codewords(n)
+    code = langid.codewords(n).astype(int)
     assert len({tuple(r) for r in code.tolist()}) == n or n == 1
     if n > 2:
-        assert min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)) >= 2
+        apart = (code.shape[1] - code @ code.T) // 2 + code.shape[1] * np.eye(n, dtype=int)
+        assert apart.min() >= (2 if n <= 6 else 4 if n <= 8 else 8 if n <= 128 else 30)
+    assert code.shape[1] <= 128
+
+
+def test_a_thousand_languages_are_fitted_in_seconds(spark):
+    rows = [(k, f"w{k}x " * 20 + "".join(chr(97 + (k >> 3 * i) % 8) for i in range(4)) * 8, f"l{k}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    began = time.perf_counter()
+    model = langid.fit(docs)
+    assert time.perf_counter() - began < 60
+    assert len(model["languages"]) == 1000 and model["weights"].shape[0] <= 128
+
+
+def test_fit_is_that_of_whole_counts(spark, sf_dir):
+    """Weights and trust from the languages' counts in one table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs, per_language=10**9)
+    table_ = np.zeros((len(model["languages"]), langid.FEATURES))
+    for r in docs.filter("lang is not null").select("lang", "text").collect():
+        f = langid.ngram_features(np.frombuffer(r["text"].encode(), np.uint8)).ravel()
+        table_[model["languages"].index(r["lang"])] += np.bincount(f[f >= 0], minlength=langid.FEATURES)
+    chance = (table_ + 0.5) / (table_.sum(axis=1, keepdims=True) + 0.5 * langid.FEATURES)
+    code = model["code"]
+    want = np.array([np.log(chance[code[:, k] == 1].mean(axis=0)) - np.log(chance[code[:, k] == -1].mean(axis=0)) for k in range(code.shape[1])])
+    assert np.allclose(model["weights"], want, atol=1e-4)
+    margins = ((table_ @ want.T) / table_.sum(axis=1, keepdims=True) * code).min(axis=0)
+    assert np.allclose(model["trust"], np.maximum(margins, 1e-3) / np.maximum(margins, 1e-3).sum(), atol=1e-4)
+
+
+def test_rows_without_an_id_and_with_a_repeated_one_are_sampled_like_others(spark):
+    rows = [(None, f"the of and word{i}", "en") for i in range(3000)] + [(7, f"der die das wort{i}", "de") for i in range(3000)] + [(i, f"le la les mot{i}", "fr") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = {}
+    real = langid.materialize
+    langid.materialize = lambda df, tag: taken.setdefault(tag, real(df, tag))
+    try:
+        model = langid.fit(docs, per_language=300)
+    finally:
+        langid.materialize = real
+    assert model["languages"] == ["de", "en", "fr"]
+    words = {r["lang"]: r["n"] for r in taken["lang-counts"].groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    assert 200 * 40 < words["en"] < 400 * 63 and 200 * 40 < words["de"] < 400 * 66
 
 
 def brute_language(text, model):
@@ -372,7 +414,7 @@ def test_decoding_against_brute_force(spark, sf_dir, monkeypatch):
                 assert r["ambiguous"] == (score < 0.6)
 
 
-def test_many_languages_are_fitted_with_random_codewords(spark):
+def test_nine_languages_are_fitted(spark):
     rng = np.random.default_rng(16)
     vocabulary = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(30)] for k in range(9)}
     rows = [(i, " ".join(rng.choice(vocabulary[f"l{i % 9}"], 40)), f"l{i % 9}") for i in range(540)]
