@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cmdspark.functions.storage import materialize
+
+from .cleaning import clean
 from .scan import SPLIT_OVER, ordered
 
 #: Beginnings of lines that are comments and of lines that belong to other tools, prompts, commands that count as noise, flags.
@@ -154,6 +157,28 @@ def top_k(counts: DataFrame, k: int, *keys: str) -> DataFrame:
     return counts.orderBy(F.desc("count"), *keys).limit(k)
 
 
-def mine(scripts: DataFrame, commands: list[str] | DataFrame) -> DataFrame:
-    """(script_id, block_no, pos, command) of scripts."""
-    return sequences(match_commands(clean_lines(logical_lines(blocks(scripts))), commands))
+def mine(scripts: DataFrame, commands: list[str] | DataFrame, cleaned: bool = False) -> DataFrame:
+    """(script_id, block_no, pos, command) of scripts; ``cleaned`` has each line cleaned (N1 to N4) before it is matched, so that glued commands count."""
+    return sequences(match_commands(script_lines(scripts, cleaned), commands))
+
+
+def script_lines(scripts: DataFrame, cleaned: bool = False) -> DataFrame:
+    """(script_id, block_no, line_no, line) of scripts, ``cleaned`` (N1 to N4) if wanted."""
+    lines = clean_lines(logical_lines(blocks(scripts)))
+    return lines.withColumn("line", clean(F.col("line"))) if cleaned else lines
+
+
+def usage_model(lines: DataFrame, commands: list[str] | DataFrame, k: int = 30, noise: str = NOISE, split_over: int | None = SPLIT_OVER) -> dict[str, DataFrame]:
+    """All parts of a usage model (meta, frequency, flags, transitions, sequences) of lines (script_id, block_no, line_no, line).
+
+    Lines are matched once and kept as a table, which the parts read.
+    """
+    matched = materialize(match_commands(lines, commands).select("script_id", "block_no", "line_no", "line", "command"), "matched")
+    session, order = ["script_id", "block_no"], ["line_no"]
+    return {
+        "meta": corpus_stats(matched, session).select("scripts_parsed", "total_commands", "unique_commands", "avg_script_length"),
+        "frequency": command_frequency(matched),
+        "flags": flag_usage(matched),
+        "transitions": transitions(matched, session, order, noise=noise, split_over=split_over),
+        "sequences": trigrams(matched, session, order, k=k, split_over=split_over),
+    }

@@ -16,6 +16,25 @@ def with_rules(catalogue: DataFrame) -> DataFrame:
     return append_column(catalogue, "rules", RULES, rules_of, "syntax")
 
 
+#: How an option's line begins in a section text, and a flag in a syntax.
+OPTION_LINE, SYNTAX_FLAG = r"(?m)^(-[A-Za-z_][A-Za-z0-9_]*)", r"(?<![^\s\[\]{}<>|])(-[A-Za-z_][A-Za-z0-9_]*)"
+
+
+def catalogue_of_sections(sections: DataFrame, flags_from: str = "options") -> DataFrame:
+    """A catalogue (command, category, syntax, options) of section texts (command, syntax, options text, ...).
+
+    ``flags_from`` "options" takes a command's flags from its options text, which pages often keep
+    incomplete; "options+syntax" adds those of its syntax. A section text has no category.
+    """
+    if flags_from not in ("options", "options+syntax"):
+        raise ValueError(f"flags come from options or options+syntax, not from {flags_from}")
+    flags = F.regexp_extract_all(F.coalesce("options", F.lit("")), F.lit(OPTION_LINE), F.lit(1))
+    if flags_from == "options+syntax":
+        flags = F.concat(flags, F.regexp_extract_all(F.coalesce("syntax", F.lit("")), F.lit(SYNTAX_FLAG), F.lit(1)))
+    known = sections.filter(F.coalesce("command", F.lit("")) != "")
+    return known.select("command", F.lit(None).cast("string").alias("category"), F.when(F.col("syntax") != "", F.col("syntax")).alias("syntax"), F.array_distinct(flags).alias("options"))
+
+
 def flag_rules(ruled: DataFrame) -> DataFrame:
     """R1 as a table: (command, flag, ord, type, n_args, choices)."""
     return ruled.select("command", F.explode("rules.flags").alias("r")).select("command", "r.*")
