@@ -111,7 +111,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # the bound is met by a threshold on the hash, from each language's count: no language is sorted whole
     space = F.lit(float(1 << 62))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
-    sample = rows.join(share, "lang").filter(F.abs(F.shiftright(rank, 1).cast("double")) / space < F.col("share")).select("lang", "text")
+    # a row for each language, like the model, which goes to every task too
+    sample = rows.join(F.broadcast(share), "lang").filter(F.abs(F.shiftright(rank, 1).cast("double")) / space < F.col("share")).select("lang", "text")
     counted = materialize(sample.mapInArrow(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "lang-counts")
     sizes = sorted((r["lang"], r["n"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect())
     if not sizes:
