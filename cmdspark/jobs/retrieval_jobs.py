@@ -14,17 +14,22 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
-def _top(spark, sf_dir):
+def _top(spark, sf_dir, **blocks):
     """Every twentieth vector asks all vectors."""
     docs = _vectors(spark, sf_dir)
     queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
-    return retrieval.top_documents(docs, queries, k=3)
+    return retrieval.top_documents(docs, queries, k=3, **blocks)
 
 
 def q3_top_documents(spark, sf_dir):
     return _top(spark, sf_dir).select("query_id", "rank", "doc_id", F.round("similarity", 6).alias("similarity"))
 
 
+def q3_cells(spark, sf_dir):
+    """Q3 and Q4 as for many queries: dealt to the cells of documents that can hold one of their nearest."""
+    return _top(spark, sf_dir, query_block=16, doc_block=256).select("query_id", "rank", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
 def q5_context(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return retrieval.context(_top(spark, sf_dir), texts).select("query_id", F.md5("context").alias("context_md5"))
@@ -55,7 +60,7 @@ def q1_normalised_queries(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(retrieval.normalise(retrieval.expand(F.col("text"), F.concat(F.lit("From_"), F.col("source"))))).alias("query_md5"))
 
 
-QUERIES = {f.__name__: f for f in (q1_normalised_queries, q2_hashed_terms, q2_embedded, q3_top_documents, q5_context)}
+QUERIES = {f.__name__: f for f in (q1_normalised_queries, q2_hashed_terms, q2_embedded, q3_top_documents, q3_cells, q5_context)}
 
 _TOP = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -73,5 +78,6 @@ FROM (SELECT doc_id, unnest(range(256)) AS i FROM documents) d LEFT JOIN c ON c.
     + LETTERS
     + "', ''), lambda c: length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), c, ''))), ',')) AS vector_md5 FROM documents",
     "q3_top_documents": _TOP + "SELECT query_id, rank, doc_id, round(similarity, 6) AS similarity FROM t",
+    "q3_cells": _TOP + "SELECT query_id, rank, doc_id, round(similarity, 6) AS similarity FROM t",
     "q5_context": _TOP + "SELECT query_id, md5(string_agg(text, chr(10) ORDER BY rank)) AS context_md5 FROM t JOIN documents USING (doc_id) GROUP BY 1",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cmdspark.functions.shipping import ship_package
+from cmdspark.functions.storage import materialize
 
 DIMENSIONS = 256
 #: Queries or documents of one block, and documents that are multiplied with a block of queries at once.
@@ -96,25 +98,167 @@ def _pair_top(docs: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     return pa.Table.from_batches(parts, schema) if parts else schema.empty_table()
 
 
-def top_documents(docs: DataFrame, queries: DataFrame, k: int = 3, query_block: int = BLOCK_ROWS, doc_block: int = BLOCK_ROWS) -> DataFrame:
+def _unit(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the vectors have the width, no null and a length, and these scaled to length 1."""
+    good = np.array([x is not None and len(x) == width and None not in x for x in rows], dtype=bool)
+    matrix = np.array([rows[i] for i in np.flatnonzero(good)], dtype=np.float64).reshape(-1, width)
+    with np.errstate(over="ignore", invalid="ignore"):
+        length = np.linalg.norm(matrix, axis=1)
+    sound = np.isfinite(length) & (length > 0)
+    good[np.flatnonzero(good)[~sound]] = False
+    return good, matrix[sound] / length[sound][:, None]
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Documents around pivots, which are some of the documents, each near its own, in rings by the angle to it.
+
+    ``pivots`` has the unit vectors of each width. A block is a stretch of rings of one cell: ``low`` and
+    ``high`` are the least and greatest angle that its documents may have, and its documents are dealt to ``parts`` tasks.
+    """
+
+    pivots: dict[int, np.ndarray]
+    cell: dict[int, np.ndarray]
+    low: dict[int, np.ndarray]
+    high: dict[int, np.ndarray]
+    parts: dict[int, np.ndarray]
+
+    def wanted(self, unit: np.ndarray, k: int) -> list[np.ndarray]:
+        """Of each query the blocks that may hold one of its k best documents.
+
+        The k-th best pivot is a document, so no better than the k-th best document. A block's best
+        cosine is that of the least angle the triangle inequality allows; the slack is for rounding.
+        """
+        width = unit.shape[1]
+        far = _angles(unit, self.pivots[width])
+        at = min(k, far.shape[1]) - 1
+        reach = np.partition(far, at, axis=1)[:, at] if k <= far.shape[1] else np.full(len(unit), np.pi)
+        own = far[:, self.cell[width]]
+        least = np.maximum(0.0, np.maximum(self.low[width] - own, own - self.high[width]))
+        return [np.flatnonzero(row) for row in least <= reach[:, None] + 1e-6]
+
+
+RING = 64  # rings for each unit of angle
+
+
+def _place_documents(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Documents with their width, nearest pivot and angle to it; those without a similarity are left out."""
+    for batch in batches:
+        rows = batch.column("embedding").to_pylist()
+        cell, angle, width_of = np.full(batch.num_rows, -1, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        for width in {len(x) for x in rows if x is not None} & set(pivots):
+            good, unit = _unit(rows, width)
+            far = _angles(unit, pivots[width])
+            cell[good], angle[good], width_of[good] = far.argmin(axis=1), far.min(axis=1), width
+        out = batch
+        for name, value in (("width", width_of), ("cell", cell), ("angle", angle)):
+            out = out.append_column(name, pa.array(value))
+        yield out.filter(pa.array(cell >= 0))
+
+
+def _blocks(rings: pd.DataFrame, block: int) -> tuple[list[int], np.ndarray]:
+    """The block of each ring of a width (in order of cell and ring), and of each block its cell, least and greatest angle and documents."""
+    of, blocks = [], []
+    for cell, low, high, n in rings[["cell", "low", "high", "n"]].itertuples(index=False):
+        if blocks and blocks[-1][0] == cell and blocks[-1][3] + n <= block:
+            blocks[-1][2], blocks[-1][3] = high, blocks[-1][3] + n
+        else:
+            blocks.append([cell, low, high, n])
+        of.append(len(blocks) - 1)
+    return of, np.array(blocks, dtype=float).reshape(-1, 4)
+
+
+def build_cells(docs: DataFrame, pivots: int = 512, block: int = BLOCK_ROWS) -> tuple[Cells, DataFrame]:
+    """Cells of documents (doc_id, embedding) around about ``pivots`` of them for each width, taken by a hash; and the documents with (width, block, parts).
+
+    The driver gets the pivots and one row for each ring that has documents, at most pivots x pi x RING for
+    a width. Where each document lies is written once, so that all that is said of its ring is true of it.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    sound = docs.filter(F.size("embedding") > 0)
+    sizes = {r["width"]: r["count"] for r in sound.groupBy(F.size("embedding").alias("width")).count().collect()}
+    share = F.element_at(F.create_map(*[F.lit(x) for w, n in sizes.items() for x in (w, min(1.0, pivots / n))]), F.size("embedding")) if sizes else F.lit(0.0)
+    vectors: dict[int, list] = {width: [] for width in sizes}
+    for r in sound.filter(F.pmod(F.xxhash64("doc_id", "embedding", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)).select("embedding").collect():
+        vectors[len(r["embedding"])].append(r["embedding"])
+    units = {width: _unit(rows, width)[1] for width, rows in vectors.items()}
+    # without a pivot an axis takes its place, which is no document and bounds nothing
+    chosen = {width: unit if len(unit) else np.eye(1, width) for width, unit in units.items()}
+    kind = docs.schema["embedding"].dataType.simpleString()
+    placed = docs.mapInArrow(lambda it: _place_documents(it, chosen), f"doc_id long, embedding {kind}, width long, cell long, angle double")
+    placed = materialize(placed.withColumn("ring", F.floor(F.col("angle") * RING)), "cells")
+    rings = placed.groupBy("width", "cell", "ring").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("width", "cell", "ring").toPandas()
+    arrays: dict[str, dict] = {k: {} for k in ("cell", "low", "high", "parts")}
+    lookup = []
+    for width in chosen:
+        own = rings[rings["width"] == width]
+        of, table = _blocks(own, block)
+        parts = np.maximum(1, -(-table[:, 3].astype(np.int64) // block))
+        lookup += [(int(width), int(c), int(r), int(b), int(parts[b])) for c, r, b in zip(own["cell"], own["ring"], of, strict=True)]
+        bounded = len(units[width]) > 0
+        arrays["cell"][width], arrays["parts"][width] = table[:, 0].astype(np.int64), parts
+        arrays["low"][width], arrays["high"][width] = (table[:, 1], table[:, 2]) if bounded else (np.zeros(len(table)), np.full(len(table), np.pi))
+    known = spark.createDataFrame(lookup, "width long, cell long, ring long, block long, parts long")
+    return Cells(chosen, **arrays), placed.join(F.broadcast(known), ["width", "cell", "ring"]).select("doc_id", "embedding", "width", "block", "parts")
+
+
+def _deal_queries(batches: Iterator[pa.RecordBatch], cells: Cells, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.column("embedding").to_pylist()
+        for width in {len(x) for x in rows} & set(cells.pivots):
+            good, unit = _unit(rows, width)
+            for at, wanted in zip(np.flatnonzero(good).tolist(), cells.wanted(unit, k), strict=True):
+                # each block's parts, one row each
+                part = np.concatenate([np.arange(n) for n in cells.parts[width][wanted]]) if len(wanted) else np.zeros(0, np.int64)
+                block = np.repeat(wanted, cells.parts[width][wanted])
+                same = pa.array(np.full(len(part), at))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("query_id").take(same), batch.column("embedding").take(same), pa.array(np.full(len(part), width)), pa.array(block.astype(np.int64)), pa.array(part.astype(np.int64))],
+                    ["query_id", "embedding", "width", "block", "part"],
+                )
+
+
+def deal_queries(asked: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(query_id, embedding, width, block, part): a row for each block part that a query must look at."""
+    kind = asked.schema["embedding"].dataType.simpleString()
+    return asked.mapInArrow(lambda it: _deal_queries(it, cells, k), f"query_id long, embedding {kind}, width long, block long, part long")
+
+
+def top_documents(docs: DataFrame, queries: DataFrame, k: int = 3, query_block: int = BLOCK_ROWS, doc_block: int = BLOCK_ROWS, pivots: int = 512) -> DataFrame:
     """Q3, Q4: (query_id, rank, doc_id, similarity): the k nearest documents of each query, ties by id.
 
-    Both sides are dealt by hash to blocks of about the given numbers of rows, and every pair of blocks is
-    one task, which multiplies the two batch by batch and keeps k for each query. The driver sees two
-    counts only, and neither side has a limit.
+    Up to ``query_block`` queries go to the documents, which stay where they are. More of them are dealt
+    to cells of documents: documents lie in blocks by their nearest pivot and the angle to it, and a query is sent only to
+    blocks that can hold one of its k best (``Cells``), which loses none. Documents are shuffled once, to
+    their block; a block that over ``query_block`` queries look at has a copy for each such number of them.
+    Neither side has a limit.
     """
     ship_package(docs.sparkSession)
     asked = queries.select(F.col("query_id").cast("long"), "embedding").filter("embedding is not null")
     held = docs.select(F.col("doc_id").cast("long"), "embedding")
-    query_blocks, doc_blocks = (max(1, -(-df.count() // n)) for df, n in ((asked, query_block), (held, doc_block)))
+    few = asked.limit(query_block + 1).toArrow()
+    if few.num_rows <= query_block:
+        kinds = "query_id long, doc_id long, similarity double"
+        local = held.mapInArrow(lambda it: (b for d in it for b in _pair_top(pa.Table.from_batches([d]), few, k).to_batches()), kinds)
+        return _ranked(local, k)
+    cells, dealt = build_cells(held, pivots, doc_block)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "embedding"), F.col("parts")))
+    sent = materialize(deal_queries(asked, cells, k), "asked")
+    place = ["width", "block", "part"]
+    loads = sent.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / query_block).alias("turns")).filter("turns > 1")
+    right = sent.join(loads, place, "left").withColumn("turn", F.pmod(F.xxhash64("query_id", "embedding"), F.coalesce("turns", F.lit(1))))
+    copies = loads.select(*[F.col(c).alias(c) for c in place], F.col("turns").alias("copies"))
+    left = dealt.join(copies, place, "left").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)))
+    local = left.groupBy(*place, "turn").cogroup(right.groupBy(*place, "turn")).applyInArrow(lambda d, q: _pair_top(d, q, k), "query_id long, doc_id long, similarity double")
+    return _ranked(local, k)
 
-    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        place = F.pmod(F.xxhash64(*df.columns), F.lit(blocks))
-        return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
 
-    left = dealt(held, "doc_place", doc_blocks, "query_place", query_blocks).groupBy("query_place", "doc_place")
-    right = dealt(asked, "query_place", query_blocks, "doc_place", doc_blocks).groupBy("query_place", "doc_place")
-    local = left.cogroup(right).applyInArrow(lambda d, q: _pair_top(d, q, k), "query_id long, doc_id long, similarity double")
+def _ranked(local: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "similarity")
 

@@ -46,7 +46,7 @@ def test_blocks_do_not_change_the_result(spark):
     docs = [(i, [1.0, float(i % 7), 0.0]) for i in range(50)] + [(90, None), (91, [0.0, 0.0, 0.0]), (92, [1.0, None, 2.0]), (93, [1.0, 2.0])]
     queries = [(i, [1.0, float(i), 0.0]) for i in range(7)] + [(20, None), (21, [0.0, 0.0, 0.0]), (22, [1.0, 2.0])]
     want = brute_top(docs, queries, 3)
-    for blocks in ({}, {"query_block": 2, "doc_block": 5}):
+    for blocks in ({}, {"query_block": 2, "doc_block": 5}, {"query_block": 2, "doc_block": 5, "pivots": 3}, {"query_block": 4, "doc_block": 50, "pivots": 1}):
         got = ranked(spark, docs, queries, **blocks)
         assert len(got) == len(set(got))
         assert set(got) == want
@@ -56,3 +56,27 @@ def test_hashed_terms_of_repeated_and_null_ids(spark):
     rows = [(1, "a_b b"), (1, "c"), (None, "a"), (None, None), (2, " "), (3, "x " * 5000)]
     got = sorted((repr(r["id"]), int(sum(r["embedding"]))) for r in retrieval.hashed_terms(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect())
     assert got == sorted([("1", 3), ("1", 1), ("None", 1), ("None", 0), ("2", 0), ("3", 5000)])
+
+
+def test_cells_leave_out_what_cannot_be_near(spark):
+    """Clustered vectors, a third of them equal: the rows of brute force from a small part of the blocks."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    docs = [(i, (centres[i % 40] + 0.05 * rng.normal(size=16)).tolist()) for i in range(1200)] + [(5000 + i, centres[7].tolist()) for i in range(600)]
+    queries = [(i, (centres[i % 40] + 0.05 * rng.normal(size=16)).tolist()) for i in range(150)]
+    d = spark.createDataFrame(docs, "doc_id long, embedding array<double>")
+    q = spark.createDataFrame(queries, "query_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["doc_id"]) for r in retrieval.top_documents(d, q, 3, query_block=20, doc_block=25, pivots=200).collect()}
+    assert got == brute_top(docs, queries, 3)
+    cells, _ = retrieval.build_cells(d, 200, 25)
+    looked = retrieval.deal_queries(q, cells, 3).count()
+    assert looked < 0.3 * len(queries) * int(cells.parts[16].sum())
+
+
+def test_few_queries_leave_documents_in_place(spark):
+    d = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [3.0, 1.0])], "query_id long, embedding array<double>")
+    plan = retrieval.top_documents(d, q)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of the ranked rows
+    assert retrieval.top_documents(d, q.limit(0)).count() == 0
+    assert retrieval.top_documents(d.limit(0), q, query_block=0).count() == 0
