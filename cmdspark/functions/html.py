@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 PAGE = (
-    "struct<toc_path:string,title:string,short:string,paragraphs:array<string>,syntax_graph:array<string>,syntax_flat:array<string>,"
+    "struct<toc_path:string,title:string,short:string,paragraphs:array<string>,syntax_graph:array<string>,"
     "arguments:array<struct<dt:string,dd:string>>,first_dl:array<struct<dt:string,dd:string>>,first_ul:array<string>,"
     "description:string,examples_graph:string,examples_flat:string,hrefs:array<string>,error:string>"
 )
@@ -17,10 +17,11 @@ DROPPED = frozenset(("script", "style"))
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "in_nav")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.in_nav = tag == "nav" or parent is not None and parent.in_nav
 
     def walk(self):
         """The nodes below in document order, without recursion: pages may nest deeply."""
@@ -49,9 +50,15 @@ class Node:
 
 
 class _Tree(HTMLParser):
+    """M1: the tree of a page without scripts, styles and navigation, in one pass: what is left out is never put in.
+
+    Navigation is kept apart, in ``navs``, in the order of the page, for its links.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.open = Node("", {}, None)
+        self.navs: list[Node] = []
 
     def handle_starttag(self, tag, attrs):
         ends = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
@@ -62,7 +69,10 @@ class _Tree(HTMLParser):
                 break
             node = node.parent
         child = Node(tag, {k: v or "" for k, v in attrs}, self.open)
-        self.open.children.append(child)
+        if tag == "nav":
+            self.navs.append(child)
+        if tag not in DROPPED and (tag != "nav" or self.open.in_nav):
+            self.open.children.append(child)
         if tag not in VOID:
             self.open = child
 
@@ -77,12 +87,6 @@ class _Tree(HTMLParser):
         self.open.children.append(data)
 
 
-def _drop(root: Node, tags: frozenset[str]) -> None:
-    for node in [n for n in root.all(*tags)]:
-        if node in node.parent.children:
-            node.parent.children.remove(node)
-
-
 def _section(root: Node, name: str) -> Node | None:
     """The first ``div`` whose class contains ``name-section``, else the first element that has the class ``name`` itself."""
     with_class = [n for n in root.walk() if isinstance(n, Node) and n.attrs.get("class")]
@@ -110,7 +114,7 @@ def _pairs(terms, raw: bool = False) -> list[dict]:
 def page_fields(html: str | None) -> dict:
     """M1, M4 to M12 of one page. ``error`` says why a page could not be read; others are not affected."""
     out: dict = {k: None for k in ("toc_path", "title", "short", "description", "examples_graph", "examples_flat", "error")}
-    out |= {k: [] for k in ("paragraphs", "syntax_graph", "syntax_flat", "arguments", "first_dl", "first_ul", "hrefs")}
+    out |= {k: [] for k in ("paragraphs", "syntax_graph", "arguments", "first_dl", "first_ul", "hrefs")}
     if html is None:
         return out | {"error": "no page"}
     try:
@@ -118,11 +122,8 @@ def page_fields(html: str | None) -> dict:
         tree.feed(html)
         tree.close()
         root = tree.root
-        # links are read before navigation leaves the tree: after that there would never be any
-        navs = [n for n in root.all("nav")]
-        related = [n for n in navs if "related-links" in n.classes()] or navs
+        related = [n for n in tree.navs if "related-links" in n.classes()] or tree.navs
         out["hrefs"] = [a.attrs["href"] for n in related for a in n.all("a") if a.attrs.get("href")]
-        _drop(root, DROPPED | {"nav"})
         page = root.first("html")
         out["toc_path"] = page.attrs.get("data-mc-toc-path") if page is not None else None
         heading = root.first("h1")

@@ -1,3 +1,5 @@
+import time
+
 from cmdspark.functions.html import page_fields
 from cmdspark.operators import manual
 from cmdspark.sources import manuals, models
@@ -81,3 +83,13 @@ def test_html_source_drops_bad_bytes(spark, tmp_path):
     (tmp_path / "other.htm").write_bytes(b"x")
     rows = manuals.read_html(spark, str(tmp_path)).collect()
     assert [r["html"] for r in rows] == ["<h1>a</h1>"]
+
+
+def test_pages_of_many_scripts_and_nested_navigation():
+    page = "<html><nav><a href='man_a.htm'>a</a><nav class='related-links'><a href='man_b.htm'>b</a><script>x</script></nav></nav>" + "<script>var x = 1;</script><style>p {}</style>" * 20_000 + "<h1>t<script>no</script></h1><p>kept</p></html>"
+    began = time.perf_counter()
+    fields = page_fields(page)
+    assert time.perf_counter() - began < 3
+    assert (fields["hrefs"], fields["title"], fields["paragraphs"], fields["error"]) == (["man_b.htm"], "t", ["kept"], None)
+    outer = page_fields("<nav class='related-links'><a href='man_a.htm'>a</a><nav><a href='man_b.htm'>b</a></nav></nav><nav><a href='man_c.htm'></a></nav>")
+    assert outer["hrefs"] == ["man_a.htm", "man_b.htm"]
