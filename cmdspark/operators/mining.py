@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cmdspark.functions.bloom import bloom_filter, might_contain
 from cmdspark.functions.storage import materialize
 
 from .cleaning import clean
@@ -71,24 +72,45 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 def match_commands(lines: DataFrame, commands: list[str] | DataFrame) -> DataFrame:
     """Lines with their command, the first of their first three words whose lower case is known; others are dropped.
 
-    A list of names becomes a constant of the plan; a catalogue table (command) is joined to each of the
-    three words, by broadcast if Spark finds it small enough. Every line stays a row of its own.
+    A list of names becomes a constant of the plan; a table (command) may have any size, see
+    ``match_catalogue``. Every line stays a row of its own.
     """
     words = F.slice(F.split(F.col("line"), r"(?U)\s+", 4), 1, 3)  # the rest of a line isn't split
     lower = F.transform(words, F.lower)
     if isinstance(commands, DataFrame):
-        known = commands.select("command").distinct()
-        tried = lines.withColumn("tried", lower)
-        for at in range(3):
-            word = known.select(F.col("command").alias(f"word_{at}"))
-            tried = tried.join(word, F.get("tried", F.lit(at)) == F.col(f"word_{at}"), "left")
-        words = [f"word_{at}" for at in range(3)]
-        return tried.withColumn("command", F.coalesce(*words)).filter("command is not null").drop("tried", *words)
+        return match_catalogue(lines, lower, commands)
     names = F.array(*[F.lit(c) for c in commands])
     found = F.filter(lower, lambda w: F.array_contains(names, w))
     return lines.withColumn("command", F.get(found, F.lit(0))).filter("command is not null")
 
 
+def match_catalogue(lines: DataFrame, words: Column, catalogue: DataFrame) -> DataFrame:
+    """Lines with the first of their (three) ``words`` that is a command of the catalogue.
+
+    A Bloom filter of the names goes to all tasks and says there which words may be commands: lines without
+    any end where they are, before any shuffle. Of the others nearly all have one such word, and one join
+    by it decides; where Spark doesn't broadcast the names it splits the words that many lines begin with. Lines
+    with several are joined by one after the other.
+    """
+    known = catalogue.select("command").filter("command is not null").distinct()
+    bits, size = bloom_filter(known, "command")
+    tried = lines.withColumn("__words", words)
+    tried = tried.select(*lines.columns, *[F.get("__words", F.lit(at)).alias(f"__word_{at}") for at in range(3)])
+    one, two, three = (F.col(f"__word_{at}") for at in range(3))
+    may = [might_contain(F.col("bits"), w, size) for w in (one, two, three)]
+    first = F.when(may[0], one).when(may[1], two).when(may[2], three)
+    second = F.when(may[0] & may[1], two).when((may[0] | may[1]) & may[2], three)
+    third = F.when(may[0] & may[1] & may[2], three)
+    asked = tried.crossJoin(F.broadcast(bits)).select(*lines.columns, *[c.alias(f"__try_{k}") for k, c in enumerate((first, second, third))])  # one row
+    left = materialize(asked.filter("__try_0 is not null"), "may-be-commands")
+    single = left.filter("__try_1 is null").join(known, F.col("__try_0") == F.col("command")).select(*lines.columns, "command")
+    several, names = left.filter("__try_1 is not null"), []
+    for k in range(3):
+        name = known.select(F.col("command").alias(f"__name_{k}"))
+        several, names = several.join(name, F.col(f"__try_{k}") == F.col(f"__name_{k}"), "left"), [*names, f"__name_{k}"]
+    return single.unionByName(several.withColumn("command", F.coalesce(*names)).filter("command is not null").select(*lines.columns, "command"))
+
+
 def sequences(lines: DataFrame, split_over: int | None = None) -> DataFrame:
     """(session struct, pos from 0, command) of lines that have a command; a session is a block of a script.
 

@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from cmdspark.functions.bloom import bloom_filter, might_contain
 from cmdspark.operators import mining
 
 COMMANDS = ["read_netlist", "run_drc", "add_faults", "run_atpg", "report_faults", "set_patterns"]
@@ -77,3 +80,25 @@ def test_empty_input(spark):
     assert seq.count() == 0
     stats = mining.corpus_stats(seq, ["script_id", "block_no"]).first()
     assert (stats["scripts_parsed"], stats["total_commands"], stats["avg_script_length"]) == (0, 0, 0.0)
+
+
+def test_a_large_catalogue_matches_like_a_list(spark):
+    names = [f"cmd_{k}" for k in range(3000)]
+    rng = random.Random(4)
+    pick = lambda: rng.choice([f"cmd_{rng.randrange(3000)}", "Cmd_7", f"word{rng.randrange(9000)}", "the"])
+    rows = [("s", i, " ".join(pick() for _ in range(rng.randint(1, 5)))) for i in range(2000)] + [("s", -1, ""), ("s", -2, None), ("s", 5, "cmd_1 cmd_2 cmd_3")]
+    lines = spark.createDataFrame(rows, "script_id string, line_no int, line string").repartition(3)
+    table = spark.createDataFrame([(c,) for c in [*names, names[0], None]], "command string")
+    a, b = (sorted(mining.match_commands(lines, x).collect(), key=repr) for x in (names, table))
+    assert a == b
+    assert len(a) > 1000
+    assert mining.match_commands(lines, table.limit(0)).count() == 0
+
+
+def test_filter_lets_members_and_few_strangers_pass(spark):
+    values = spark.range(5000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    bits, size = bloom_filter(values.filter("v < 'v5'"), "v")
+    passed = {r["v"] for r in values.crossJoin(bits).filter(might_contain(F.col("bits"), F.col("v"), size)).select("v").collect()}
+    members = {f"v{k}" for k in range(5000) if f"v{k}" < "v5"}
+    assert members <= passed
+    assert len(passed - members) < 0.03 * (5000 - len(members)) + 5
