@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hot_keys, materialize, skew_join
+from .common import HOT_SHARE, bound_batches, hot_keys, materialize, skew_join
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -283,16 +283,18 @@ def near_duplicates(
         signed.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.max("bands").alias("bands"), F.max("signature").alias("signature")), "nodes"
     )
     entry = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("bucket"))
-    leaders = (
+    leaders = materialize(
         entry.groupBy("bucket")
         .agg(F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node"))).alias("least"), F.count(F.lit(1)).alias("members"))
         .filter("members > 1")
-        .select("bucket", F.col("least.node").alias("leader"), "members")
-    )
-    members = materialize(entry.select("node", "bucket").join(leaders, "bucket"), "buckets")
-    pairs = materialize(
-        members.filter("node <> leader").select(F.least("node", "leader").alias("left"), F.greatest("node", "leader").alias("right")).distinct(), "pairs"
+        .select("bucket", F.col("least.node").alias("leader"), "members"),
+        "leaders",
     )
+    # a bucket with over 1/HOT_SHARE of the entries, so fewer than HOT_SHARE of them, meets its leader by broadcast
+    entries = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
+    hot = leaders.filter(F.col("members") * HOT_SHARE > F.lit(entries)).select("bucket")
+    members = materialize(skew_join(entry.select("node", "bucket"), leaders, "bucket", hot), "buckets")
+    pairs = materialize(members.filter("node <> leader").select("node", "leader").distinct(), "pairs")
     # texts are read again for the nodes that have a candidate
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first.id").alias("wanted"))
     sets = materialize(
@@ -340,10 +342,19 @@ def near_duplicates(
 
 
 def _check_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (left, right) whose shingle sets are similar enough."""
-    left = sets.select(F.col("node").alias("left"), F.col("shingles").alias("left_set"))
-    right = sets.select(F.col("node").alias("right"), F.col("shingles").alias("right_set"))
-    joined = pairs.join(left, "left").join(right, "right").select("left", "right", "left_set", "right_set")
+    """The pairs (node, leader) whose shingle sets are similar enough, as (left, right).
+
+    A node's set travels to its leaders. A leader with over 1/HOT_SHARE of the pairs has a copy for each such
+    share of them, fewer than 2 * HOT_SHARE copies in all, and its nodes are dealt to the copies.
+    """
+    total = pairs.count()
+    often = pairs.groupBy("leader").count().filter(F.col("count") * HOT_SHARE > F.lit(total))
+    copies = F.broadcast(materialize(often.select("leader", F.ceil(F.col("count") * HOT_SHARE / F.lit(max(1, total))).cast("int").alias("copies")), "hot-leaders"))
+    own = pairs.join(sets.select("node", F.col("shingles").alias("left_set")), "node").join(copies, "leader", "left")
+    own = own.withColumn("copy", F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    led = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("right_set")).join(copies, "leader", "left")
+    led = led.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    joined = own.join(led, ["leader", "copy"]).select(F.col("node").alias("left"), F.col("leader").alias("right"), "left_set", "right_set")
     return joined.mapInArrow(lambda it: _verify(it, threshold), "left binary, right binary")
 
 
