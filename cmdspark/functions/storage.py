@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_noted: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,4 +33,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    for tables in _noted:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def noted_tables() -> Iterator[list[str]]:
+    """The paths of the tables that are materialized in the block, for ``drop_tables`` once nothing reads them any more."""
+    tables: list[str] = []
+    _noted.append(tables)
+    try:
+        yield tables
+    finally:
+        _noted[:] = [x for x in _noted if x is not tables]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of one's own; those that are gone already are left out."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cmdspark.functions import storage
 from cmdspark.jobs import session_jobs
 from cmdspark.operators import advice, mining, scan
 
@@ -67,3 +68,17 @@ def test_operators_do_not_depend_on_the_cut(spark, sf_dir):
     assert whole(advice.advise(log, prob, session_jobs.RULES, split_over=50)) == whole(advice.advise(log, prob, session_jobs.RULES, split_over=None))
     lines = spark.createDataFrame([("s", i, random.Random(i).choice(["", " ", "a command line", "x"])) for i in range(300)] + [(None, 1, "a line without a script")], "script_id string, line_no int, line string")
     assert whole(mining.blocks_of_lines(lines, split_over=7)) == whole(mining.blocks_of_lines(lines, split_over=None))
+
+
+def test_noted_tables_are_dropped(spark):
+    df = spark.range(5)
+    with storage.noted_tables() as outer:
+        first = storage.materialize(df, "first")
+        with storage.noted_tables() as inner:
+            second = storage.materialize(first, "second")
+    third = storage.materialize(df, "third")
+    assert len(outer) == 2 and inner == outer[1:]
+    storage.drop_tables(spark, [*inner, *inner])
+    assert first.count() == third.count() == 5
+    with pytest.raises(Exception, match="not exist|FAILED_READ_FILE|FileNotFound"):
+        second.count()
