@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cmdspark.functions.storage import drop_tables, noted_tables
 from cmdspark.llm.common import materialize, words_count
 from cmdspark.llm.exact_dedup import exact_dedup, normalise, sha256
 from cmdspark.llm.minhash import near_duplicates
@@ -77,7 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. Once a stage's result is written, the tables that led to it are deleted, the stage's input among them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with noted_tables() as tables:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(spark, [*before, *tables[:-1]])
+        before = tables[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

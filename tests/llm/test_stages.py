@@ -1,5 +1,6 @@
 """The pipeline's near and mixing stages decide by row, whatever ids the rows have."""
 
+import os
 import re
 from collections import Counter
 
@@ -7,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cmdspark.functions.storage import noted_tables
 from cmdspark.llm import packing, toxicity
 from cmdspark.llm.common import materialize
 from tests.llm.test_operators import brute_classes, water_fill
@@ -109,3 +111,12 @@ def test_stages_against_brute_force(spark, sf_dir):
             ends += length
         assert ends <= 2048
     assert len(sequences) <= packing.lower_bound(np.array([r["length"] for r in rows]), 2048) + 1
+
+
+def test_a_run_leaves_only_the_tables_of_its_last_stages(spark, sf_dir):
+    with noted_tables() as tables:
+        out = corpus_pipeline.run(spark, sf_dir)
+    left = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in tables if os.path.exists(p.removeprefix("file://"))]
+    assert "mixing" in left
+    assert not {"toxicity", "exact-dedup", "near-dedup", "signatures", "shingle-sets", "numbered", "mix-sizes"} & set(left)
+    assert out.filter("piece = 0").count() > 0
