@@ -75,7 +75,8 @@ def a8_long_advise(spark, sf_dir):
 def session_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's command line validated at three levels, then advised on in its session."""
     lines = validation_jobs.lines(spark, sf_dir).withColumn("session_id", F.col("session_id").cast("long"))
-    done = validation_jobs.validated(spark, sf_dir).select("cmd_line", "command", "valid", F.col("command_exists").alias("exists"))
+    # the log is read twice, to find long sessions and to replay it, and lines should be judged once
+    done = materialize(validation_jobs.validated(spark, sf_dir).select("cmd_line", "command", "valid", F.col("command_exists").alias("exists")), "validated")
     log = lines.withColumnRenamed("event_id", "seq").join(done, "cmd_line")
     return advice.advise(log, model(spark, sf_dir), RULES)
 

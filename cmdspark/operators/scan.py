@@ -55,7 +55,8 @@ def ordered(
 
     ``last``: the last value that isn't null in the rows before; ``following``: the value so many rows
     further on; ``running``: the sum up to and with the row. ``split_over`` None means that no session is
-    long, for sessions that come from one row each, such as the blocks of a text.
+    long, for sessions that come from one row each, such as the blocks of a text; else ``rows`` are counted by session
+    first, so they should be a table or cheap to make.
     """
     last, following, running = last or {}, following or {}, running or {}
     if split_over is None:
