@@ -138,6 +138,14 @@ class _Range(InputPartition):
         self.name, self.start, self.end, self.size = name, start, end, size
 
 
+#: Bytes of a range unless the option says otherwise, and ranges beyond which they grow, so that planning stays small; an archive has one at least.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 100_000
+
+
+def range_bytes(total: int) -> int:
+    return max(RANGE_BYTES, -(-total // MOST_RANGES))
+
+
 class _MediaReader(DataSourceReader):
     """Plans ranges of bytes over the archives; a range yields the members whose header begins in it.
 
@@ -150,14 +158,15 @@ class _MediaReader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.range = int(options.get("range", 32 << 20))
+        self.range = int(options["range"]) if "range" in options else None
         self.batch, self.tries = int(options.get("batch", 8 << 20)), int(options.get("tries", 3))
 
     def partitions(self) -> list[InputPartition]:
         system, path = locate(self.path)
         with system.open_input_stream(f"{path}/manifest.json") as f:
             files = json.loads(f.read())
-        return [_Range(name, a, min(a + self.range, size), size) for name, size in files for a in range(0, size, self.range)] or [_Range("", 0, 0, 0)]
+        step = self.range or range_bytes(sum(size for _, size in files))
+        return [_Range(name, a, min(a + step, size), size) for name, size in files for a in range(0, size, step)] or [_Range("", 0, 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0

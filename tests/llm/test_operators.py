@@ -309,6 +309,11 @@ def test_chat_empty(spark):
     assert chat.render(chat.reconstruct(chat.message_log(chat_rows(spark, []).filter(F.lit(False))))).count() == 0
 
 
+def test_ranges_grow_with_the_archives():
+    assert media.range_bytes(0) == media.range_bytes(1 << 40) == media.RANGE_BYTES
+    assert (100 << 40) / media.range_bytes(100 << 40) <= media.MOST_RANGES
+
+
 # language ID
 
 
