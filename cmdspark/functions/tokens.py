@@ -6,32 +6,33 @@ import re
 from itertools import accumulate, groupby
 from operator import itemgetter
 
-_BLANK = " \t"
 TOKENS = "struct<plain:array<string>,items:array<struct<kind:string,name:string,args:array<string>>>>"
+_WORD, _BRACE = re.compile(r'[ \t]*("[^"]*"?|\{|[^ \t]+)'), re.compile(r"[{}]")
+
+
+def _block_end(line: str, start: int) -> int:
+    """Where the block that opens at ``start`` has been closed, or the line's end."""
+    depth = 0
+    for brace in _BRACE.finditer(line, start):
+        depth += 1 if brace[0] == "{" else -1
+        if not depth:
+            return brace.end()
+    return len(line)
 
 
 def tokenise(line: str, keep_quotes: bool = False) -> list[str]:
     """Words between blanks and tabs; ``{...}`` with inner braces and ``"..."`` are one word each where one begins there."""
-    out, at = [], 0
-    line = line.strip()
-    while match := re.compile(r"[^ \t]").search(line, at):
-        at = start = match.start()
-        if line[at] == '"':
-            end = line.find('"', at + 1)
-            end = len(line) if end < 0 else end
-            out.append(line[start : end + 1] if keep_quotes else line[start + 1 : end])
-            at = end + 1
-        elif line[at] == "{":
-            depth = 0
-            for brace in re.finditer(r"[{}]", line[start:]):
-                depth += 1 if brace[0] == "{" else -1
-                if not depth:
-                    break
-            at = start + brace.end() if not depth else len(line)
-            out.append(line[start:at])
-        else:
-            at = re.compile(r"[ \t]|$").search(line, start).start()
-            out.append(line[start:at])
+    line, out, at = line.strip(), [], 0
+    if "{" not in line and '"' not in line:
+        return [w for w in line.replace("\t", " ").split(" ") if w]
+    while match := _WORD.match(line, at):
+        word, at = match[1], match.end()
+        if word == "{":
+            at = _block_end(line, match.start(1))
+            word = line[match.start(1) : at]
+        elif word[0] == '"' and not keep_quotes:
+            word = word[1:-1] if len(word) > 1 and word[-1] == '"' else word[1:]
+        out.append(word)
     return out
 
 
@@ -57,7 +58,9 @@ def structure(tokens: list[str]) -> list[tuple[str, str, list[str]]]:
 
 def line_tokens(lines: list[str | None]) -> list[dict]:
     """Plain tokens (quotes dropped) and structured items (quotes kept) of each line; null counts as empty."""
-    return [
-        {"plain": tokenise(x or ""), "items": [dict(zip(("kind", "name", "args"), i, strict=True)) for i in structure(tokenise(x or "", True))]}
-        for x in lines
-    ]
+    out = []
+    for line in lines:
+        plain = tokenise(line or "")
+        quoted = tokenise(line, True) if line and '"' in line else plain
+        out.append({"plain": plain, "items": [{"kind": kind, "name": name, "args": args} for kind, name, args in structure(quoted)]})
+    return out
