@@ -7,6 +7,7 @@ line and of its command's catalogue row, which one join brings. No check shuffle
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,11 @@ def each(values: Column, level: int, severity: str, code: str) -> Column:
     return F.coalesce(F.transform(values, lambda v: finding(level, severity, code, v)), none())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: inside lambdas nothing else shares it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def repeated(values: Column) -> Column:
     """Sorted distinct values that occur more than once."""
     return F.array_sort(F.array_distinct(F.filter(values, lambda v: F.size(F.filter(values, lambda w: w == v)) > 1)))
@@ -153,20 +159,21 @@ def _used(found: DataFrame) -> DataFrame:
 
 def _flag_checks() -> Column:
     """V13 to V16 for each flag used that the syntax declares, in order of use."""
-    def check(use: Column) -> Column:
-        rule = F.get(F.filter("rules.flags", lambda r: r["flag"] == use["flag"]), F.lit(0))
+    def check(use: Column, rule: Column) -> Column:
         count, first = F.size(use["args"]), F.coalesce(F.get(use["args"], F.lit(0)), F.lit(""))
         error = lambda code, expected=None, given=None: finding(2, "error", code, use["flag"], expected, given)
         allowed = F.transform(rule["choices"], unbraced)
         return (
-            F.when((rule["type"] == "boolean") & (count > 0), error("takes_no_argument", F.lit("0"), listed(use["args"])))
+            F.when(rule.isNull(), F.lit(None))
+            .when((rule["type"] == "boolean") & (count > 0), error("takes_no_argument", F.lit("0"), listed(use["args"])))
             .when(rule["type"].isin("value", "block", "choice") & (count == 0), error("needs_argument", rule["type"]))
             .when((rule["type"] == "value") & (count != rule["n_args"]), error("argument_count", rule["n_args"], count))
             .when((rule["type"] == "block") & (unbraced(first) == ""), error("empty_block", F.lit("{...}"), first))
             .when((rule["type"] == "choice") & (F.size(rule["choices"]) > 0) & ~F.array_contains(allowed, unbraced(first)), error("not_a_choice", listed(rule["choices"]), first))
         )
 
-    return F.array_compact(F.transform("given", check))
+    rule = lambda use: F.get(F.filter("rules.flags", lambda r: r["flag"] == use["flag"]), F.lit(0))
+    return F.array_compact(F.transform("given", lambda use: let(rule(use), lambda r: check(use, r))))
 
 
 def _group_checks() -> Column:
@@ -174,8 +181,8 @@ def _group_checks() -> Column:
     def members(group: Column) -> Column:
         return F.concat(F.filter(group, lambda m: F.array_contains(F.col("used"), m)), F.filter(group, lambda m: F.array_contains(F.col("loose"), m)))
 
-    hit = F.filter("rules.mutex", lambda g: F.size(members(g)) > 1)
-    return F.transform(hit, lambda g: finding(2, "error", "mutually_exclusive", F.array_join(members(g), ", ")))
+    hit = F.filter(F.transform("rules.mutex", members), lambda found: F.size(found) > 1)
+    return F.transform(hit, lambda found: finding(2, "error", "mutually_exclusive", F.array_join(found, ", ")))
 
 
 def _positional_checks() -> Column:
@@ -234,8 +241,11 @@ def _type_check(use: Column) -> Column:
     """V22 to V25 for one use of a flag with arguments: an array of findings."""
     rule = F.get(F.filter("types", lambda t: t["flag"] == use["name"]), F.lit(0))
     first = F.get(use["args"], F.lit(0))
-    value, kind = unbraced(first), rule["datatype"]
-    name = use["name"]
+    return let(rule, lambda r: F.when(r.isNull() | first.isNull(), none()).otherwise(let(unbraced(first), lambda value: _value_check(use["name"], r, first, value))))
+
+
+def _value_check(name: Column, rule: Column, first: Column, value: Column) -> Column:
+    kind = rule["datatype"]
     error = lambda code, expected, given: F.array(finding(3, "error", code, name, expected, given))
     number = F.regexp_replace(F.trim(value), "_", "").try_cast("double")
     tokens = F.filter(F.split(F.substring(first, F.lit(2), F.length(first) - 2), r"(?U)\s+"), lambda t: t != "")
@@ -251,8 +261,7 @@ def _type_check(use: Column) -> Column:
         one(kind.isin("int", "float") & (number > rule["max"]), 3, "error", "above_max", name, bound(rule["max"]), value),
     )
     return (
-        F.when(rule.isNull() | first.isNull(), none())
-        .when((kind == "enum"), one(~F.array_contains(F.coalesce(rule["choices"], F.array().cast("array<string>")), value), 3, "error", "not_in_enum", name, listed(rule["choices"]), value))
+        F.when((kind == "enum"), one(~F.array_contains(F.coalesce(rule["choices"], F.array().cast("array<string>")), value), 3, "error", "not_in_enum", name, listed(rule["choices"]), value))
         .when(kind.isNotNull() & ~has_type(value, kind), error("wrong_type", kind, value))
         .otherwise(F.concat(F.when(kind.isNull(), none()).otherwise(F.coalesce(in_range, none())), block))
     )
