@@ -179,13 +179,14 @@ def mix(
     and documents of a length are drawn in the order of a seeded hash. ``buckets`` ranges of that hash
     are counted first, so that ranking is needed in one of them only and no length is sorted whole.
 
-    Null text has size 0, null sources form the last source, null ids draw as one id. Sizes of 0 take
+    Null text has size 0, null sources form the last source, null ids draw each by its row. Sizes of 0 take
     part (copies may be 0 or more) and cost nothing. Ties between repeated rows are settled by row;
     which of identical rows is drawn doesn't matter. ``rid`` is a row's number: ``row_col``, unique numbers
     stored with the rows, else one made here. An empty table gives an empty result; names of
     other columns are never looked at.
     """
-    order = F.xxhash64(F.lit(seed), F.col("id"))
+    # rows without an id can't be told apart by what is returned, so any of them may be drawn, and they needn't lie in one bucket
+    order = F.when(F.col("id").isNull(), F.xxhash64(F.lit(seed), F.col("rid"))).otherwise(F.xxhash64(F.lit(seed), F.col("id")))
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     table = materialize(
         bound_batches(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), number.alias("rid"))

@@ -887,6 +887,15 @@ def test_rules_of_the_longest_fit(spark):
     assert got[13][2] is None
 
 
+def test_rows_without_an_id_are_drawn_like_others(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 1000 + [(k, "d e f", "t") for k in range(1000)], "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.mix(docs, words_count(F.col("text")), buckets=64)
+    first = sorted((r["source"], r["copies"]) for r in mixed.collect())
+    assert first == sorted((r["source"], r["copies"]) for r in mixing.mix(docs.repartition(5), words_count(F.col("text")), buckets=64).collect())
+    assert abs(sum(3 * c for s, c in first if s == "s") - mixed.filter("source = 's'").first()["target"]) < 3
+    assert len({r["copies"] for r in mixed.filter("source = 's'").collect()}) <= 2
+
+
 @pytest.mark.parametrize("top", [30, 5_000, 400_000])
 def test_no_choice_of_documents_comes_nearer(top):
     """Lengths of any size, also beyond the table's reach."""
