@@ -58,8 +58,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def only_if(shown: Column, found: Column) -> Column:
+    """``found``, an array of findings, where ``shown`` says that there may be some.
+
+    Set operations on whole arrays run in generated code and tell for most lines that a check has nothing to
+    say; only for the others the check's lambdas run.
+    """
+    return F.when(shown, found).otherwise(none())
+
+
 def repeated(values: Column) -> Column:
     """Sorted distinct values that occur more than once."""
+    return F.when(F.size(F.array_distinct(values)) == F.size(values), F.array().cast("array<string>")).otherwise(_repeated(values))
+
+
+def _repeated(values: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(values, lambda v: F.size(F.filter(values, lambda w: w == v)) > 1)))
 
 
@@ -90,7 +103,7 @@ def look_up(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
 def level1(found: DataFrame) -> DataFrame:
     """V3, V5 to V7: adds unknown_options, l1 (findings) and l1_valid."""
     options = F.coalesce("options", F.array().cast("array<string>"))
-    unknown = F.filter("flags", lambda f: ~F.array_contains(options, f))
+    unknown = F.when(F.size(F.array_except("flags", options)) > 0, F.filter("flags", lambda f: ~F.array_contains(options, f))).otherwise(F.array().cast("array<string>"))
     exists = F.col("command_exists")
     marked = found.withColumn("unknown_options", F.when(exists, unknown).otherwise(F.array().cast("array<string>")))
     return marked.withColumn(
@@ -173,7 +186,8 @@ def _flag_checks() -> Column:
         )
 
     rule = lambda use: F.get(F.filter("rules.flags", lambda r: r["flag"] == use["flag"]), F.lit(0))
-    return F.array_compact(F.transform("given", lambda use: let(rule(use), lambda r: check(use, r))))
+    declared = F.arrays_overlap("used", F.transform("rules.flags", lambda r: r["flag"]))
+    return only_if((F.size("used") > 0) & declared, F.array_compact(F.transform("given", lambda use: let(rule(use), lambda r: check(use, r)))))
 
 
 def _group_checks() -> Column:
@@ -182,7 +196,8 @@ def _group_checks() -> Column:
         return F.concat(F.filter(group, lambda m: F.array_contains(F.col("used"), m)), F.filter(group, lambda m: F.array_contains(F.col("loose"), m)))
 
     hit = F.filter(F.transform("rules.mutex", members), lambda found: F.size(found) > 1)
-    return F.transform(hit, lambda found: finding(2, "error", "mutually_exclusive", F.array_join(found, ", ")))
+    two = F.size(F.array_intersect(F.flatten("rules.mutex"), F.concat("used", "loose"))) + F.size("loose") > 1  # a positional may stand in a group twice
+    return only_if(two, F.transform(hit, lambda found: finding(2, "error", "mutually_exclusive", F.array_join(found, ", "))))
 
 
 def _positional_checks() -> Column:
@@ -196,7 +211,8 @@ def _positional_checks() -> Column:
 
     grouped = F.flatten("rules.mutex")
     stray = F.filter("loose", lambda p: ~F.array_contains(grouped, p))
-    return F.when(F.size("rules.positionals") > 0, F.array_compact(F.transform("rules.positionals", check))).otherwise(each(stray, 2, "error", "unexpected_positional"))
+    unexpected = only_if(F.size("loose") > 0, each(stray, 2, "error", "unexpected_positional"))
+    return F.when(F.size("rules.positionals") > 0, F.array_compact(F.transform("rules.positionals", check))).otherwise(unexpected)
 
 
 def level2(checked: DataFrame) -> DataFrame:
@@ -277,7 +293,7 @@ def level3(checked: DataFrame, pairs=PAIRS, limits=LIMITS) -> DataFrame:
         one((F.col("command") == c) & (value_or_null(uses, a) == x) & value_or_null(uses, b).rlike("^[0-9]+$") & (value_or_null(uses, b).cast("double") < below), 3, "warning", "low_limit", F.lit(f"{a} {b}"))
         for c, a, x, b, below in limits
     ]
-    checks = F.flatten(F.transform(uses, _type_check))
+    checks = only_if((F.size("types") > 0) & (F.size("used") > 0), F.flatten(F.transform(uses, _type_check)))
     ruled = F.col("command_exists") & F.col("types").isNotNull()
     out = checked.withColumn("l3", F.when(F.col("command_exists"), F.concat(F.when(ruled, F.coalesce(checks, none())).otherwise(none()), *[F.coalesce(w, none()) for w in warnings])).otherwise(none()))
     return out.withColumn("valid", F.col("l2_valid") & ~F.exists("l3", lambda f: f["severity"] == "error"))
