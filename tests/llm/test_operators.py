@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cmdspark.llm import chat, exact_dedup, langid, media, minhash, mixing, packing, toxicity, url_filter, warc
@@ -776,6 +777,57 @@ def test_learned_stem(spark):
     assert list(lexicon) == ["zorgex*"]
 
 
+def brute_lexicon(docs, labels, share=0.75):
+    """Stems and weights counted document by document: the ties to toxic ones that chance would hardly make."""
+    bags = {}
+    for d, text in docs:
+        if d in labels:
+            bag = frozenset(regex.findall(toxicity.WORD, toxicity.fold(text or "")))
+            bags[bag] = max(bags.get(bag, 0), labels[d])
+    total, bad = len(bags), sum(bags.values())
+    counts = defaultdict(lambda: [0, 0])
+    for bag, label in bags.items():
+        for stem in {w[:n] for w in bag for n in range(4, min(12, len(w)) + 1)}:
+            counts[stem][0] += label
+            counts[stem][1] += 1
+    base, needed, strong = bad / total, math.log(100.0 * len(counts)), {}
+    for stem, (b, n) in counts.items():
+        rate = b / n
+        strength = n * (rate * math.log(rate / base) + ((1 - rate) * math.log((1 - rate) / (1 - base)) if rate < 1 else 0.0)) if b else 0.0
+        if rate >= share and strength >= needed:
+            strong[stem] = strength
+    kept = []
+    for stem in sorted(strong, key=lambda x: (-strong[x], -len(x), x)):
+        begins_kept = any(stem.startswith(k) for k in kept)
+        covered = max((counts[k][0] for k in kept if k.startswith(stem)), default=0)
+        if not begins_kept and covered < 0.5 * counts[stem][0]:
+            kept.append(stem)
+    weight = lambda b, n: math.log((b + 0.5) / (bad + 1)) - math.log((n - b + 0.5) / (total - bad + 1))
+    return {f"{k}*": pytest.approx(weight(*counts[k])) for k in kept}
+
+
+def test_lexicon_against_brute_force(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 14))) for _ in range(150)]
+    docs, labels = [], {}
+    for d in range(500):
+        text = rng.choices(words, k=rng.randint(1, 30))
+        toxic = rng.random() < 0.2
+        if toxic:
+            text += rng.sample(["xylobad", "xylobadly", "xylobar", "qwordness"], 2)
+        elif rng.random() < 0.02:
+            text.append("qwordness")
+        docs.append((d, " ".join(rng.sample(text, len(text)))))
+        if d % 7:
+            labels[d] = int(toxic)
+    docs += [(1000, docs[1][1]), (1001, None)]
+    labels |= {1000: 1, 1001: 0}
+    rows = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    found = toxicity.learn_lexicon(spark.createDataFrame(docs, "doc_id long, text string"), rows, seed={})
+    want = brute_lexicon(docs, labels)
+    assert found == want and len(want) > 1
+
+
 # mixing
 
 
