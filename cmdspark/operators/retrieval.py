@@ -17,6 +17,8 @@ from cmdspark.functions.storage import materialize
 DIMENSIONS = 256
 #: Queries or documents of one block, and documents that are multiplied with a block of queries at once.
 BLOCK_ROWS, PRODUCT_ROWS = 4096, 1024
+#: Tasks' shares that documents are dealt to, about; with more documents each share has more of them, so that a query is sent to no more places.
+PLACES = 256
 
 
 def normalise(text: Column) -> Column:
@@ -77,7 +79,21 @@ def _local_top(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.n
         with np.errstate(divide="ignore", invalid="ignore"):
             sim = queries @ matrix.T / (norm[:, None] * length[None, :])
         sim = np.where(np.isfinite(sim), sim, -np.inf)
-        best_sim, best_doc = np.hstack([best_sim, sim]), np.hstack([best_doc, np.broadcast_to(doc[good], sim.shape)])
+        own = doc[good]
+        if sim.shape[1] > k:
+            # only what reaches the k-th best is sorted, with all its ties
+            least = np.maximum(np.partition(sim, -k, axis=1)[:, -k], best_sim[:, -1] if best_sim.shape[1] == k else -np.inf)
+            row, at = np.nonzero(sim >= least[:, None])
+            value = sim[row, at]
+            order = np.lexsort((own[at], -value, row))
+            row, at, value = row[order], at[order], value[order]
+            turn = np.arange(len(row)) - np.searchsorted(row, row)
+            row, at, value, turn = (x[turn < k] for x in (row, at, value, turn))
+            sim, docs = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+            sim[row, turn], docs[row, turn] = value, own[at]
+        else:
+            docs = np.broadcast_to(own, sim.shape)
+        best_sim, best_doc = np.hstack([best_sim, sim]), np.hstack([best_doc, docs])
         order = np.lexsort((best_doc, -best_sim), axis=1)[:, :k]
         best_sim, best_doc = np.take_along_axis(best_sim, order, 1), np.take_along_axis(best_doc, order, 1)
     q, at = np.nonzero(np.isfinite(best_sim))
@@ -118,13 +134,15 @@ class Cells:
     """Documents around pivots, which are some of the documents, each near its own, in rings by the angle to it.
 
     ``pivots`` has the unit vectors of each width. A block is a stretch of rings of one cell: ``low`` and
-    ``high`` are the least and greatest angle that its documents may have, and its documents are dealt to ``parts`` tasks.
+    ``high`` are the least and greatest angle that its documents may have. Small blocks in a row share a ``place``;
+    the documents of a place are dealt to ``parts`` tasks.
     """
 
     pivots: dict[int, np.ndarray]
     cell: dict[int, np.ndarray]
     low: dict[int, np.ndarray]
     high: dict[int, np.ndarray]
+    place: dict[int, np.ndarray]
     parts: dict[int, np.ndarray]
 
     def wanted(self, unit: np.ndarray, k: int) -> list[np.ndarray]:
@@ -160,6 +178,16 @@ def _place_documents(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.nda
         yield out.filter(pa.array(cell >= 0))
 
 
+def _places(sizes: np.ndarray, size: int) -> np.ndarray:
+    """The place of each block: blocks in a row share one while they have no more than ``size`` documents."""
+    of, now, held = np.zeros(len(sizes), np.int64), -1, size
+    for k, n in enumerate(sizes.tolist()):
+        if held + n > size:
+            now, held = now + 1, 0
+        of[k], held = now, held + n
+    return of
+
+
 def _blocks(rings: pd.DataFrame, block: int) -> tuple[list[int], np.ndarray]:
     """The block of each ring of a width (in order of cell and ring), and of each block its cell, least and greatest angle and documents."""
     of, blocks = [], []
@@ -173,7 +201,9 @@ def _blocks(rings: pd.DataFrame, block: int) -> tuple[list[int], np.ndarray]:
 
 
 def build_cells(docs: DataFrame, pivots: int = 512, block: int = BLOCK_ROWS) -> tuple[Cells, DataFrame]:
-    """Cells of documents (doc_id, embedding) around about ``pivots`` of them for each width, taken by a hash; and the documents with (width, block, parts).
+    """Cells of documents (doc_id, embedding) around about ``pivots`` of them for each width, taken by a hash; and the documents with (width, place, parts).
+
+    A place has ``block`` documents or, of many, the ``PLACES``-th part: the number of places that a query is sent to has a limit.
 
     The driver gets the pivots and one row for each ring that has documents, at most pivots x pi x RING for
     a width. Where each document lies is written once, so that all that is said of its ring is true of it.
@@ -193,18 +223,21 @@ def build_cells(docs: DataFrame, pivots: int = 512, block: int = BLOCK_ROWS) ->
     placed = docs.mapInArrow(lambda it: _place_documents(it, chosen), f"doc_id long, embedding {kind}, width long, cell long, angle double")
     placed = materialize(placed.withColumn("ring", F.floor(F.col("angle") * RING)), "cells")
     rings = placed.groupBy("width", "cell", "ring").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("width", "cell", "ring").toPandas()
-    arrays: dict[str, dict] = {k: {} for k in ("cell", "low", "high", "parts")}
+    arrays: dict[str, dict] = {k: {} for k in ("cell", "low", "high", "place", "parts")}
     lookup = []
     for width in chosen:
         own = rings[rings["width"] == width]
         of, table = _blocks(own, block)
-        parts = np.maximum(1, -(-table[:, 3].astype(np.int64) // block))
-        lookup += [(int(width), int(c), int(r), int(b), int(parts[b])) for c, r, b in zip(own["cell"], own["ring"], of, strict=True)]
+        held = table[:, 3].astype(np.int64)
+        size = max(block, -(-int(held.sum()) // PLACES))
+        place = _places(held, size)
+        parts = np.maximum(1, -(-np.bincount(place, held).astype(np.int64) // size))
+        lookup += [(int(width), int(c), int(r), int(place[b]), int(parts[place[b]])) for c, r, b in zip(own["cell"], own["ring"], of, strict=True)]
         bounded = len(units[width]) > 0
-        arrays["cell"][width], arrays["parts"][width] = table[:, 0].astype(np.int64), parts
+        arrays["cell"][width], arrays["place"][width], arrays["parts"][width] = table[:, 0].astype(np.int64), place, parts
         arrays["low"][width], arrays["high"][width] = (table[:, 1], table[:, 2]) if bounded else (np.zeros(len(table)), np.full(len(table), np.pi))
-    known = spark.createDataFrame(lookup, "width long, cell long, ring long, block long, parts long")
-    return Cells(chosen, **arrays), placed.join(F.broadcast(known), ["width", "cell", "ring"]).select("doc_id", "embedding", "width", "block", "parts")
+    known = spark.createDataFrame(lookup, "width long, cell long, ring long, place long, parts long")
+    return Cells(chosen, **arrays), placed.join(F.broadcast(known), ["width", "cell", "ring"]).select("doc_id", "embedding", "width", "place", "parts")
 
 
 def _deal_queries(batches: Iterator[pa.RecordBatch], cells: Cells, k: int) -> Iterator[pa.RecordBatch]:
@@ -213,20 +246,21 @@ def _deal_queries(batches: Iterator[pa.RecordBatch], cells: Cells, k: int) -> It
         for width in {len(x) for x in rows} & set(cells.pivots):
             good, unit = _unit(rows, width)
             for at, wanted in zip(np.flatnonzero(good).tolist(), cells.wanted(unit, k), strict=True):
-                # each block's parts, one row each
+                # each place's parts, one row each
+                wanted = np.unique(cells.place[width][wanted])
                 part = np.concatenate([np.arange(n) for n in cells.parts[width][wanted]]) if len(wanted) else np.zeros(0, np.int64)
-                block = np.repeat(wanted, cells.parts[width][wanted])
+                place = np.repeat(wanted, cells.parts[width][wanted])
                 same = pa.array(np.full(len(part), at))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(same), batch.column("embedding").take(same), pa.array(np.full(len(part), width)), pa.array(block.astype(np.int64)), pa.array(part.astype(np.int64))],
-                    ["query_id", "embedding", "width", "block", "part"],
+                    [batch.column("query_id").take(same), batch.column("embedding").take(same), pa.array(np.full(len(part), width)), pa.array(place.astype(np.int64)), pa.array(part.astype(np.int64))],
+                    ["query_id", "embedding", "width", "place", "part"],
                 )
 
 
 def deal_queries(asked: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """(query_id, embedding, width, block, part): a row for each block part that a query must look at."""
+    """(query_id, embedding, width, place, part): a row for each part of a place that a query must look at."""
     kind = asked.schema["embedding"].dataType.simpleString()
-    return asked.mapInArrow(lambda it: _deal_queries(it, cells, k), f"query_id long, embedding {kind}, width long, block long, part long")
+    return asked.mapInArrow(lambda it: _deal_queries(it, cells, k), f"query_id long, embedding {kind}, width long, place long, part long")
 
 
 def top_documents(docs: DataFrame, queries: DataFrame, k: int = 3, query_block: int = BLOCK_ROWS, doc_block: int = BLOCK_ROWS, pivots: int = 512) -> DataFrame:
@@ -235,7 +269,8 @@ def top_documents(docs: DataFrame, queries: DataFrame, k: int = 3, query_block:
     Up to ``query_block`` queries go to the documents, which stay where they are. More of them are dealt
     to cells of documents: documents lie in blocks by their nearest pivot and the angle to it, and a query is sent only to
     blocks that can hold one of its k best (``Cells``), which loses none. Documents are shuffled once, to
-    their block; a block that over ``query_block`` queries look at has a copy for each such number of them.
+    their place; one that over ``query_block`` queries, and over ``BLOCK_ROWS``, look at has a copy for each such number of them.
+    A query is sent to ``PLACES`` or so at most; where bounds spare nothing, products of whole blocks still grow with both sides.
     Neither side has a limit.
     """
     ship_package(docs.sparkSession)
@@ -249,8 +284,8 @@ def top_documents(docs: DataFrame, queries: DataFrame, k: int = 3, query_block:
     cells, dealt = build_cells(held, pivots, doc_block)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "embedding"), F.col("parts")))
     sent = materialize(deal_queries(asked, cells, k), "asked")
-    place = ["width", "block", "part"]
-    loads = sent.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / query_block).alias("turns")).filter("turns > 1")
+    place = ["width", "place", "part"]
+    loads = sent.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / max(query_block, BLOCK_ROWS)).alias("turns")).filter("turns > 1")
     right = sent.join(loads, place, "left").withColumn("turn", F.pmod(F.xxhash64("query_id", "embedding"), F.coalesce("turns", F.lit(1))))
     copies = loads.select(*[F.col(c).alias(c) for c in place], F.col("turns").alias("copies"))
     left = dealt.join(copies, place, "left").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)))

@@ -1,6 +1,7 @@
 """Nearest documents against brute force: many queries, small blocks, ties, nulls, other widths."""
 
 import numpy as np
+import pyarrow as pa
 
 from cmdspark.operators import retrieval
 
@@ -80,3 +81,23 @@ def test_few_queries_leave_documents_in_place(spark):
     assert plan.count("Exchange") == 1  # of the ranked rows
     assert retrieval.top_documents(d, q.limit(0)).count() == 0
     assert retrieval.top_documents(d.limit(0), q, query_block=0).count() == 0
+
+
+def test_places_do_not_grow_in_number(spark):
+    """Far from each other, so that bounds spare nothing: a query is sent to few places, whose documents have few copies."""
+    rng = np.random.default_rng(5)
+    docs, queries = [(i, rng.normal(size=24).tolist()) for i in range(3000)], [(i, rng.normal(size=24).tolist()) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, embedding array<double>")
+    q = spark.createDataFrame(queries, "query_id long, embedding array<double>")
+    cells, dealt = retrieval.build_cells(d, 512, 2)
+    assert dealt.count() == 3000
+    assert retrieval.deal_queries(q, cells, 3).groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 2 * retrieval.PLACES + 1
+    got = {(r["query_id"], r["rank"], r["doc_id"]) for r in retrieval.top_documents(d, q, 3, query_block=2, doc_block=2).collect()}
+    assert got == brute_top(docs, queries, 3)
+
+
+def test_the_best_of_a_block_with_ties():
+    docs = pa.table({"doc_id": [5, 3, 9, 1, 7, 8], "embedding": [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 1.0], [1.0, 0.0]]})
+    queries = pa.table({"query_id": [0, 1], "embedding": [[2.0, 0.0], [0.0, 1.0]]})
+    got = [(r["query_id"], r["doc_id"]) for r in retrieval._pair_top(docs, queries, 3).to_pylist()]
+    assert got == [(0, 1), (0, 3), (0, 5), (1, 9), (1, 7), (1, 1)]
