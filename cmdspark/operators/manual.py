@@ -61,7 +61,7 @@ def mentions(text: Column, command: Column) -> Column:
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """One command record per page (path, html), with the flat record's fields and ``error``."""
-    raw = append_column(pages.select("path", "html"), "p", PAGE, read_pages, "html")
+    raw = append_column(pages.select("path", "html"), "p", PAGE, read_pages, "html", drop=("html",))
     command = command_name(F.col("path"))
     full = F.coalesce(F.col("p.description"), F.lit(""))
     examples = F.coalesce(F.col("p.examples_graph"), F.lit(""))

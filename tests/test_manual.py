@@ -1,10 +1,13 @@
 import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from cmdspark.functions import batches
 from cmdspark.functions.html import page_fields
 from cmdspark.jobs import manual_jobs, source_jobs
-from cmdspark.operators import manual
+from cmdspark.operators import manual, rules
 from cmdspark.sources import manuals, models
 
 from .compare import TABLES, assert_same
@@ -114,3 +117,25 @@ def test_references_that_were_cut_off_are_text(spark, sf_dir, tmp_path, name):
     spark.createDataFrame([(n, "u", html) for n in (4, 5)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     jobs = manual_jobs if name in manual_jobs.QUERIES else source_jobs
     assert_same(jobs.QUERIES[name](spark, str(tmp_path)), jobs.SQL[name], str(tmp_path))
+
+
+def test_few_rows_are_python_values_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"html": ["x" * 100_000] * 3000, "n": list(range(3000))})
+    parts = list(batches.pieces(batch, "html"))
+    assert max(p.column("html").nbytes for p in parts) <= 2 * batches.PIECE_BYTES
+    assert [n for p in parts for n in p.column("n").to_pylist()] == list(range(3000))
+    assert max(p.num_rows for p in batches.pieces(batch, "n")) <= batches.PIECE_ROWS
+
+
+def test_syntaxes_of_one_file_are_read_by_many_tasks(spark):
+    syntaxes = spark.createDataFrame([(str(n), f"c{n} [-a] <x | y>") for n in range(400)], "command string, syntax string").coalesce(1)
+    ruled = rules.with_rules(syntaxes)
+    assert ruled.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    assert ruled.filter("rules.status = 'ok'").select("command").distinct().count() == 400
+
+
+def test_graph_files_are_read_once(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{\n "commands": {\n  "a": {"category": "x"}\n },\n "categories": {\n  "x": ["a"]\n }\n}')
+    for part in models.load_graph_file(spark, f"file://{tmp_path}/g.json"):
+        assert "command_graph" not in part._jdf.queryExecution().optimizedPlan().toString()
+        assert part.count() == 1
