@@ -12,8 +12,13 @@ TYPE_RULE = "command string, flag string, datatype string, min double, max doubl
 
 
 def with_rules(catalogue: DataFrame) -> DataFrame:
-    """The catalogue with a column ``rules``, a struct of flags, mutex, positionals and status."""
-    return append_column(catalogue, "rules", RULES, rules_of, "syntax")
+    """The catalogue with a column ``rules``, a struct of flags, mutex, positionals and status.
+
+    Rows are small and each is much work, while a file of many may be one task's: they are dealt to all tasks.
+    """
+    spark = catalogue.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return append_column(catalogue.repartition(tasks), "rules", RULES, rules_of, "syntax")
 
 
 #: How an option's line begins in a section text, and a flag in a syntax.
