@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cmdspark.functions.storage import materialize
+
 from .graph_file import RANGE_BYTES, graph_entries
 
 RECORD = "category string, syntax string, options map<string,string>, description string, examples string, related array<string>, depends_on array<string>"
@@ -33,6 +35,7 @@ def graph_documents(records: DataFrame, commands_each: int = 1000) -> DataFrame:
     A document's categories list its own commands, in order; commands without a category are in none.
     """
     fields = [f.split(" ")[0] for f in RECORD.split(", ")]
+    records = materialize(records, "records")  # they are counted, and dealt twice
     documents = max(1, -(-records.count() // commands_each))
     dealt = records.withColumn("part", F.pmod(F.xxhash64("command"), F.lit(documents)))
     commands = dealt.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("command", F.struct(*fields)))).alias("commands"))
@@ -70,7 +73,7 @@ def load_categories_json(spark: SparkSession, path: str, lines: bool = False) ->
 
 def load_graph_file(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Records (command, category, ...) and index (category, command) of graph documents that are too large for a task; self edges dropped."""
-    entries = graph_entries(spark, path, range_bytes)
+    entries = materialize(graph_entries(spark, path, range_bytes), "graph-entries")
     record = F.from_json("body", f"struct<{RECORD.replace(' string', ':string').replace(' map', ':map').replace(' array', ':array')}>")
     records = entries.filter("kind = 'command'").select(F.col("name").alias("command"), record.alias("r")).select("command", "r.*")
     index = entries.filter("kind = 'category'").select(F.col("name").alias("category"), F.explode(F.from_json("body", "array<string>")).alias("command"))
