@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -11,10 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cmdspark.functions.batches import append_column
 from cmdspark.functions.shipping import ship_package
 from cmdspark.functions.storage import materialize
 
 DIMENSIONS = 256
+#: What Spark takes for white space, and what Python does besides.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 #: Queries or documents of one block, and documents that are multiplied with a block of queries at once.
 BLOCK_ROWS, PRODUCT_ROWS = 4096, 1024
 #: Tasks' shares that documents are dealt to, about; with more documents each share has more of them, so that a query is sent to no more places.
@@ -31,22 +38,32 @@ def expand(query: Column, hint: Column) -> Column:
     return F.concat_ws(" ", query, hint)
 
 
+def _words(text: str) -> list[str]:
+    """Words between white space; the four separators that only Python counts as such belong to words."""
+    return text.split() if _SEPARATORS.isdisjoint(text) else [w for w in _SPACE.split(text) if w]
+
+
+def _slot_counts(texts: list[str]) -> list[np.ndarray]:
+    slots: dict[str, int] = {}
+    out = []
+    for text in texts:
+        counts = np.zeros(DIMENSIONS, np.int64)
+        for word, n in Counter(_words(text)).items():
+            slot = slots.get(word)
+            if slot is None:
+                slot = slots[word] = hashlib.md5(word.encode()).digest()[0]
+            counts[slot] += n
+        out.append(counts.astype(np.float32))
+    return out
+
+
 def hashed_terms(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The offline encoder: (id, embedding) with the counts of the normalised text's words by a byte of their hash.
 
-    One row per input row. Words are counted by (row, slot) with map-side combining, so a text of any
-    length leaves at most DIMENSIONS rows. Null texts have no terms.
+    One row per input row, made where the text lies: nothing is shuffled. Null texts have no terms.
     """
-    words = F.filter(F.split(normalise(F.coalesce(F.col(text_col), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
-    slot = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int")
-    # rows are numbered, as ids may be repeated or null; a row without words stays as one without a word
-    numbered = texts.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
-    each = numbered.select("row", "id", F.explode_outer("words").alias("word"))
-    counts = each.groupBy("row", "id", slot.alias("slot")).agg(F.count("word").cast("float").alias("n"))
-    entry = F.when(F.col("slot").isNotNull(), F.struct("slot", "n"))
-    sparse = counts.groupBy("row", "id").agg(F.map_from_entries(F.collect_list(entry)).alias("slots"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("slots", i), F.lit(0.0).cast("float")))
-    return sparse.select(F.col("id").alias(id_col), dense.alias("embedding"))
+    normal = texts.select(F.col(id_col), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
+    return append_column(normal, "embedding", "array<float>", _slot_counts, "__text", drop=("__text",))
 
 
 def embed(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:

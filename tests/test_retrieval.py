@@ -1,5 +1,7 @@
 """Nearest documents against brute force: many queries, small blocks, ties, nulls, other widths."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -101,3 +103,13 @@ def test_the_best_of_a_block_with_ties():
     queries = pa.table({"query_id": [0, 1], "embedding": [[2.0, 0.0], [0.0, 1.0]]})
     got = [(r["query_id"], r["doc_id"]) for r in retrieval._pair_top(docs, queries, 3).to_pylist()]
     assert got == [(0, 1), (0, 3), (0, 5), (1, 9), (1, 7), (1, 1)]
+
+
+def test_hashed_terms_stay_where_the_texts_are(spark):
+    df = spark.createDataFrame([(1, "a\x1cb \u2003a_B\x85c\x0bd\u3000d"), (2, None)], "id long, text string")
+    out = retrieval.hashed_terms(df, "id", "text")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = np.zeros(256)
+    for word in ("a\x1cb", "a", "b", "c", "d", "d"):
+        want[hashlib.md5(word.encode()).digest()[0]] += 1
+    assert {r["id"]: r["embedding"] for r in out.collect()} == {1: want.tolist(), 2: [0.0] * 256}
