@@ -19,6 +19,8 @@ from cmdspark.functions.storage import materialize
 SPLIT_OVER = 100_000
 #: Long sessions at most; with more of them only those with a greater share of the rows are cut, so that their names stay small enough to be broadcast.
 MOST_LONG = 100_000
+#: Chunks at most, while they have no more than SPLIT_OVER rows: each is a task and a file of its own.
+MOST_CHUNKS = 1000
 
 _OWN = "__scan_"
 CHUNK = _OWN + "#chunk"
@@ -32,7 +34,7 @@ def long_sessions(rows: DataFrame, session: list[str], split_over: int) -> tuple
     """Sessions of more than ``split_over`` rows, the rows that they have in all, and the rows that a chunk should have."""
     counts = materialize(rows.groupBy(*session).agg(F.count(F.lit(1)).alias(_OWN + "#n")).filter(F.col(_OWN + "#n") > split_over), "long-sessions")
     total = counts.agg(F.sum(_OWN + "#n")).first()[0] or 0
-    size = max(split_over, total // MOST_LONG)
+    size = max(split_over, total // MOST_LONG, min(SPLIT_OVER, total // MOST_CHUNKS))
     return counts.filter(F.col(_OWN + "#n") > size).select(*session), total, size
 
 

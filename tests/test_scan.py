@@ -56,6 +56,12 @@ def test_a_session_with_most_rows_lies_in_many_tasks(spark):
     assert sum(sizes) == 18_000 and len(sizes) > 25 and max(sizes) < 4 * size
 
 
+def test_chunks_of_long_sessions_stay_few(spark):
+    events = spark.range(2_000_000).select(F.lit(1).alias("s"), "id")
+    _, total, size = scan.long_sessions(events, ["s"], 500)
+    assert (total, size) == (2_000_000, 2_000)
+
+
 def test_no_rows_and_no_long_session(spark):
     df = rows(spark, 1, 20)
     assert scan.ordered(df.filter(F.lit(False)), ["s"], ["t", "i"], **specs()).count() == 0
