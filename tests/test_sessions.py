@@ -1,8 +1,9 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cmdspark.operators import advice
-from cmdspark.streaming.advisor import advise_stream, replay_stream
+from cmdspark.streaming.advisor import KEY, SessionReplay, advise_stream, replay_stream
 
 LOG = [
     ("s", 1, "run_atpg", "run_atpg", True), ("s", 2, "read_netlist", "read_netlist a.SPF", True), ("s", 3, "add_clocks", "add_clocks 0 c", True), ("s", 4, "remove_clocks", "remove_clocks -all", False),
@@ -99,3 +100,51 @@ def test_stream_replays_nulls_and_clearing_like_the_batch(spark, tmp_path):
     assert query.awaitTermination(120)
     columns = ["session_id", "seq", "a", "b", "prev"]
     assert sorted(spark.read.parquet(f"{tmp_path}/out").select(*columns).collect(), key=repr) == sorted(advice.replay(log, rules).select(*columns).collect(), key=repr)
+
+
+def many_sessions(spark):
+    """Sessions that end at different places, one of them without a name."""
+    command, n = F.element_at(F.array(*map(F.lit, ("read_netlist", "run_drc", "add_clocks", "remove_clocks", "run_atpg", "x", None))), (F.xxhash64("id") % 4 + 4).cast("int")), F.col("id") % 97
+    return spark.range(1500).select(
+        F.when(n > 0, n).alias("session_id"), (F.col("id") * 7 % 1500).alias("seq"), command.alias("command"), F.lit("-f a.SPF").alias("cmd_line"), (F.col("id") % 5 > 0).alias("valid"), F.lit(True).alias("exists")
+    )
+
+
+def test_stream_with_many_sessions_in_a_bucket(spark, prob, tmp_path):
+    """Some sessions have a state at the start, all have rows in two runs on one checkpoint."""
+    log = many_sessions(spark)
+    early = log.filter("seq < 400 and (session_id % 3 = 0 or session_id is null)")
+    later = log.filter("seq >= 400 or session_id % 3 > 0")
+    state = advice.final_state(early)
+    for part in ("seq < 900", "seq >= 900"):
+        later.filter(part).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
+        told = advise_stream(stream, prob, idle_minutes=None, initial=state, buckets=3)
+        query = told.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+        assert query.awaitTermination(120)
+    want = [r for r in advice.advise(log, prob).collect() if not (r["seq"] < 400 and (r["session_id"] is None or r["session_id"] % 3 == 0))]
+    columns = ["session_id", "seq", "warnings", "suggestions"]
+    got = spark.read.parquet(f"{tmp_path}/out").select(*columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((tuple(r[c] for c in columns) for r in want), key=repr)
+
+
+def test_one_call_takes_all_sessions_of_a_bucket():
+    """A call of the processor has a cost of its own, so its number may not be that of the sessions."""
+    held, rules = {}, advice.StateRules(flags=("a",), sets={"a": ("x",)}, clears={"a": ("y",)})
+
+    class Sessions:
+        containsKey, getValue, updateValue = held.__contains__, held.__getitem__, held.__setitem__  # noqa: N815
+
+    replay = SessionReplay(rules, ["session_id", "seq", "command", "valid"], None)
+    replay.sessions = Sessions()
+    rows = [(s, seq, "xyz"[(s + seq) % 3], (s * seq) % 4 > 0) for seq in (2, 1, 3) for s in range(30_000)]
+    bucket = pd.DataFrame([(*r, f"k{r[0]}", {"x": "1", "y": "0"}.get(r[2], "-") if r[3] else "-") for r in rows], columns=["session_id", "seq", "command", "valid", KEY, "stream_effects"])
+    told = pd.concat(replay.handleInputRows((0,), iter([bucket[:50_000], bucket[50_000:]]), None))
+    want, state = [], {}
+    for s, seq, command, valid in sorted(rows):
+        a, prev = state.get(s, (False, None))
+        want.append((s, seq, a, prev))
+        if valid:
+            state[s] = ({"x": True, "y": False}.get(command, a), command)
+    assert sorted(told[["session_id", "seq", "a", "prev"]].itertuples(index=False, name=None)) == want
+    assert held == {(f"k{s}",): v for s, v in state.items() if v != (False, None)}
