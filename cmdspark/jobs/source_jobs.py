@@ -36,7 +36,7 @@ def s6_section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as section texts, a folder each, and read back from there."""
     folder = fresh_path(spark, "sections")
     manuals.write_section_text(manual_jobs.section_records(spark, sf_dir), folder)
-    return manual_jobs.sections_read(manuals.read_sections(spark, f"{folder}/*"))
+    return manual_jobs.sections_read(manuals.read_section_folders(spark, folder))
 
 
 def _graph_rows(records: DataFrame, index: DataFrame) -> DataFrame:

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cmdspark.functions.batches import PIECE_BYTES, PIECE_ROWS
 from cmdspark.functions.shipping import ship_package
 
 SECTIONS = ("COMMAND", "TITLE", "DESCRIPTION", "SYNTAX", "OPTIONS", "EXAMPLES")
+#: What Spark escapes in the names of partitions' folders, and its name for a value that is null or empty.
+ESCAPES, NO_VALUE = str.maketrans({c: f"%{ord(c):02X}" for c in (*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^")}), "__HIVE_DEFAULT_PARTITION__"
+#: Folders that a task reads.
+TASK_FOLDERS = 2000
 
 
 def read_html(spark: SparkSession, folder: str, pattern: str = "man_*.htm") -> DataFrame:
@@ -55,6 +65,52 @@ def read_sections(spark: SparkSession, folder: str) -> DataFrame:
     return parse_sections(texts)
 
 
+def _known(path: JavaObject) -> str | None:
+    """The path as an URI, if Arrow knows its file system."""
+    uri = path.toUri().toString()
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError):
+        return None
+    return uri
+
+
+def _read_each(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """(path, content) of the files in each of the named folders; few are held at a time."""
+    system, path = fs.FileSystem.from_uri(folder)
+    paths, contents, size = [], [], 0
+    for batch in batches:
+        for name in batch.column("name").to_pylist():
+            for file in system.get_file_info(fs.FileSelector(f"{path}/{name}")):
+                if file.is_file and not file.base_name.startswith((".", "_")):
+                    with system.open_input_stream(file.path, compression=None) as data:
+                        contents.append(data.read())
+                    paths.append(f"{folder}/{name}/{file.base_name}")
+                    size += len(contents[-1])
+                if len(paths) >= PIECE_ROWS or size >= PIECE_BYTES:
+                    yield pa.RecordBatch.from_pydict({"path": paths, "content": contents})
+                    paths, contents, size = [], [], 0
+    if paths:
+        yield pa.RecordBatch.from_pydict({"path": paths, "content": contents})
+
+
+def read_section_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """S2 from what S6 wrote: the driver lists the folders of commands, tasks list and read their files.
+
+    Spark's reader keeps the states of all files in the driver and takes many times as long for a file; it serves where Arrow doesn't know the file system.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    of = _known(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at))
+    if of is None:
+        return read_sections(spark, f"{folder}/*")
+    ship_package(spark)
+    system, path = fs.FileSystem.from_uri(of)
+    names = [x.base_name for x in system.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.Directory and not x.base_name.startswith((".", "_"))]
+    folders = spark.createDataFrame(pa.table({"name": pa.array(names, pa.string())})).repartition(len(names) // TASK_FOLDERS + 1)
+    files = folders.mapInArrow(lambda it: _read_each(it, of), "path string, content binary")
+    return parse_sections(files.select("path", F.col("content").cast("string").alias("value")))
+
+
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """S3: (script_id, text), a file each."""
     texts = spark.read.text(path, wholetext=True)
@@ -67,6 +123,43 @@ def section_text(records: DataFrame) -> DataFrame:
     return records.select("command", F.concat_ws("\n", *parts).alias("value"))
 
 
+def _write_texts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Each text as a file in its command's folder. A name is made of the task, the text and the number of equal ones so far, so a task that is repeated gives the same names; no file shows before it is whole."""
+    system, path = fs.FileSystem.from_uri(folder)
+    task, equal = TaskContext.get(), Counter()
+    for batch in batches:
+        for command, value in zip(batch.column("command").to_pylist(), batch.column("value"), strict=True):
+            own, text = f"{path}/command={(command or NO_VALUE).translate(ESCAPES)}", value.as_buffer().to_pybytes() + b"\n"
+            digest = hashlib.md5(text).digest()
+            equal[own, digest] += 1
+            name = f"part-{task.partitionId():05d}-{digest.hex()}-{equal[own, digest]}.txt"
+            system.create_dir(own, recursive=True)
+            with system.open_output_stream(f"{own}/.{name}.{task.taskAttemptId()}", compression=None) as out:
+                out.write(text)
+            system.move(f"{own}/.{name}.{task.taskAttemptId()}", f"{own}/{name}")
+        yield batch.select(["command"])
+
+
 def write_section_text(records: DataFrame, folder: str) -> None:
-    """A folder per command. The command is a directory name, so its number of values should stay a catalogue's."""
-    section_text(records).write.mode("overwrite").partitionBy("command").text(folder)
+    """A folder per command, named as by ``partitionBy``, with a file for each record. What was in the folder is replaced once all are written.
+
+    Tasks write the files themselves: Spark's writer takes many times as long for a file and moves each folder from the driver; it serves where Arrow doesn't know the file system.
+    The command is a directory name, so its number of values should stay a catalogue's.
+    """
+    spark, texts, hadoop_path = records.sparkSession, section_text(records), records.sparkSession._jvm.org.apache.hadoop.fs.Path
+    system = hadoop_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    target = system.makeQualified(hadoop_path(folder))
+    new = hadoop_path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    to = _known(new)
+    if to is None:
+        texts.write.mode("overwrite").partitionBy("command").text(folder)
+        return
+    ship_package(spark)
+    try:
+        system.mkdirs(new)
+        texts.mapInArrow(lambda it: _write_texts(it, to), "command string").count()
+        system.delete(target, True)
+        if not system.rename(new, target):
+            raise OSError(f"{new.toString()} can't be renamed to {folder}")
+    finally:
+        system.delete(new, True)

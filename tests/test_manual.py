@@ -129,6 +129,49 @@ def test_titles_of_whole_records_have_the_references_that_sql_reads(spark, sf_di
     assert_same(manual_jobs.m1_pages(spark, str(tmp_path)), manual_jobs.SQL["m1_pages"], str(tmp_path))
 
 
+RECORD = "command string, title string, description string, syntax string, options string, examples string"
+
+
+def test_section_texts_of_one_command_are_files_of_their_own(spark, tmp_path):
+    """Records of one command, equal ones too, are all read back, and folders have the names that Spark gives."""
+    rows = [("c", t, "", "", "", "") for t in ("T", "U", "T")] + [(c, "V", "", "", "", "") for c in ("a/b=c %é'", "{d}", "x y", "", None)]
+    records = spark.createDataFrame(rows, RECORD).coalesce(1)
+    manuals.write_section_text(records, f"{tmp_path}/own folder")
+    back = manuals.read_section_folders(spark, f"{tmp_path}/own folder").collect()
+    assert sorted((r["command"], r["title"]) for r in back) == sorted((r[0] or "", r[1]) for r in rows)
+    manuals.section_text(records).write.partitionBy("command").text(f"{tmp_path}/spark")
+    assert {x.name for x in (tmp_path / "own folder").iterdir()} == {x.name for x in (tmp_path / "spark").iterdir() if x.is_dir()}
+    assert manuals.read_sections(spark, f"{tmp_path}/own folder/*").count() == len(rows)
+
+
+def test_section_folders_are_replaced_whole(spark, tmp_path):
+    folder = f"file://{tmp_path}/s"
+    old, new = (spark.createDataFrame([(c, "T", "", "", "", "") for c in x], RECORD) for x in ("ab", "bc"))
+    manuals.write_section_text(old, folder)
+    with pytest.raises(Exception, match="lost"):
+        manuals.write_section_text(new.withColumn("title", F.raise_error(F.lit("lost")).cast("string")), folder)
+    assert {r["command"] for r in manuals.read_section_folders(spark, folder).collect()} == set("ab")
+    manuals.write_section_text(manuals.read_section_folders(spark, folder).unionByName(new.withColumn("path", F.lit(""))).drop("path"), folder)
+    assert sorted(r["command"] for r in manuals.read_section_folders(spark, folder).collect()) == list("abbc")
+    manuals.write_section_text(new.limit(0), folder)
+    assert manuals.read_section_folders(spark, folder).count() == 0
+    assert [x.name for x in tmp_path.iterdir()] == ["s"]
+
+
+def test_section_folders_where_arrow_does_not_know_the_file_system(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manuals, "_known", lambda path: None)
+    manuals.write_section_text(spark.createDataFrame([(c, "T", "", "", "", "") for c in "ab"], RECORD), f"{tmp_path}/s")
+    assert {(r["command"], r["title"]) for r in manuals.read_section_folders(spark, f"{tmp_path}/s").collect()} == {("a", "T"), ("b", "T")}
+
+
+def test_many_section_folders_take_a_task_little_time(spark, tmp_path):
+    records = spark.range(1500).select(F.concat(F.lit("c"), "id").alias("command"), *[F.lit("x").alias(c) for c in ("title", "description", "syntax", "options", "examples")]).coalesce(1)
+    began = time.perf_counter()
+    manuals.write_section_text(records, f"{tmp_path}/s")
+    assert time.perf_counter() - began < 8
+    assert manuals.read_section_folders(spark, f"{tmp_path}/s").select("command").distinct().count() == 1500
+
+
 def test_few_rows_are_python_values_at_a_time():
     batch = pa.RecordBatch.from_pydict({"html": ["x" * 100_000] * 3000, "n": list(range(3000))})
     parts = list(batches.pieces(batch, "html"))
