@@ -33,9 +33,9 @@ def s3_script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s6_section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written as section texts, a folder each, and read back from there."""
+    """Records written as section texts, a folder each, and read back from there; packed, so that most take one block of disk."""
     folder = fresh_path(spark, "sections")
-    manuals.write_section_text(manual_jobs.section_records(spark, sf_dir), folder)
+    manuals.write_section_text(manual_jobs.section_records(spark, sf_dir), folder, "gzip")
     return manual_jobs.sections_read(manuals.read_section_folders(spark, folder))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections import Counter
@@ -76,14 +77,14 @@ def _known(path: JavaObject) -> str | None:
 
 
 def _read_each(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """(path, content) of the files in each of the named folders; few are held at a time."""
+    """(path, content) of the files in each of the named folders, unpacked as their endings say; few are held at a time."""
     system, path = fs.FileSystem.from_uri(folder)
     paths, contents, size = [], [], 0
     for batch in batches:
         for name in batch.column("name").to_pylist():
             for file in system.get_file_info(fs.FileSelector(f"{path}/{name}")):
                 if file.is_file and not file.base_name.startswith((".", "_")):
-                    with system.open_input_stream(file.path, compression=None) as data:
+                    with system.open_input_stream(file.path) as data:
                         contents.append(data.read())
                     paths.append(f"{folder}/{name}/{file.base_name}")
                     size += len(contents[-1])
@@ -123,7 +124,7 @@ def section_text(records: DataFrame) -> DataFrame:
     return records.select("command", F.concat_ws("\n", *parts).alias("value"))
 
 
-def _write_texts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _write_texts(batches: Iterator[pa.RecordBatch], folder: str, compression: str | None) -> Iterator[pa.RecordBatch]:
     """Each text as a file in its command's folder. A name is made of the task, the text and the number of equal ones so far, so a task that is repeated gives the same names; no file shows before it is whole."""
     system, path = fs.FileSystem.from_uri(folder)
     task, equal = TaskContext.get(), Counter()
@@ -132,32 +133,34 @@ def _write_texts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
             own, text = f"{path}/command={(command or NO_VALUE).translate(ESCAPES)}", value.as_buffer().to_pybytes() + b"\n"
             digest = hashlib.md5(text).digest()
             equal[own, digest] += 1
-            name = f"part-{task.partitionId():05d}-{digest.hex()}-{equal[own, digest]}.txt"
+            name = f"part-{task.partitionId():05d}-{digest.hex()}-{equal[own, digest]}.txt{'.gz' if compression else ''}"
             system.create_dir(own, recursive=True)
             with system.open_output_stream(f"{own}/.{name}.{task.taskAttemptId()}", compression=None) as out:
-                out.write(text)
+                out.write(gzip.compress(text, 3, mtime=0) if compression else text)
             system.move(f"{own}/.{name}.{task.taskAttemptId()}", f"{own}/{name}")
         yield batch.select(["command"])
 
 
-def write_section_text(records: DataFrame, folder: str) -> None:
-    """A folder per command, named as by ``partitionBy``, with a file for each record. What was in the folder is replaced once all are written.
+def write_section_text(records: DataFrame, folder: str, compression: str | None = None) -> None:
+    """A folder per command, named as by ``partitionBy``, with a file for each record, plain or packed (``gzip``). What was in the folder is replaced once all are written.
 
     Tasks write the files themselves: Spark's writer takes many times as long for a file and moves each folder from the driver; it serves where Arrow doesn't know the file system.
     The command is a directory name, so its number of values should stay a catalogue's.
     """
+    if compression not in (None, "gzip"):
+        raise ValueError(f"section texts are plain or packed by gzip, not {compression}")
     spark, texts, hadoop_path = records.sparkSession, section_text(records), records.sparkSession._jvm.org.apache.hadoop.fs.Path
     system = hadoop_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     target = system.makeQualified(hadoop_path(folder))
     new = hadoop_path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
     to = _known(new)
     if to is None:
-        texts.write.mode("overwrite").partitionBy("command").text(folder)
+        texts.write.mode("overwrite").partitionBy("command").text(folder, compression=compression)
         return
     ship_package(spark)
     try:
         system.mkdirs(new)
-        texts.mapInArrow(lambda it: _write_texts(it, to), "command string").count()
+        texts.mapInArrow(lambda it: _write_texts(it, to, compression), "command string").count()
         system.delete(target, True)
         if not system.rename(new, target):
             raise OSError(f"{new.toString()} can't be renamed to {folder}")

@@ -164,6 +164,20 @@ def test_section_folders_where_arrow_does_not_know_the_file_system(spark, tmp_pa
     assert {(r["command"], r["title"]) for r in manuals.read_section_folders(spark, f"{tmp_path}/s").collect()} == {("a", "T"), ("b", "T")}
 
 
+def test_section_texts_are_plain_or_packed(spark, tmp_path):
+    records = spark.createDataFrame([(c, "T" * 5000 + "é", "", "", "", c) for c in "ab"], RECORD)
+    for compression, ending in ((None, ".txt"), ("gzip", ".txt.gz")):
+        folder = f"{tmp_path}/{compression}"
+        manuals.write_section_text(records, folder, compression)
+        files = [x for x in (tmp_path / str(compression)).glob("*/*")]
+        assert len(files) == 2
+        assert all(x.name.endswith(ending) and (x.stat().st_size < 500) == (compression == "gzip") for x in files)
+        for back in (manuals.read_section_folders(spark, folder), manuals.read_sections(spark, f"{folder}/*")):
+            assert {(r["command"], r["title"], r["examples"]) for r in back.collect()} == {(c, "T" * 5000 + "é", c) for c in "ab"}
+    with pytest.raises(ValueError, match="gzip"):
+        manuals.write_section_text(records, folder, "lz4")
+
+
 def test_many_section_folders_take_a_task_little_time(spark, tmp_path):
     records = spark.range(1500).select(F.concat(F.lit("c"), "id").alias("command"), *[F.lit("x").alias(c) for c in ("title", "description", "syntax", "options", "examples")]).coalesce(1)
     began = time.perf_counter()
